@@ -37,7 +37,7 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 32, 6
 #: Bins of the one-permutation samples, bits of the odd sketch.
-BINS_LOG, BITS_LOG = 10, 11
+BINS_LOG, BITS_LOG = 12, 12
 BITS = 1 << BITS_LOG
 ERRORS = 5.0
 CHUNK = 2048
@@ -243,18 +243,35 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of every node in a link: the smallest id it reaches.  Each round takes the least
-    label among neighbours and then that label's label; tables in the shared folder cut lineage."""
-    ends = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-ends")
-    labels = saved(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "near-labels")
-    while True:
-        near = ends.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        new = saved(step.join(jump, "comp").select("id", F.least("comp", "next").alias("comp"), "old"), "near-labels")
-        labels = new.select("id", "comp")
-        if new.where("comp <> old").isEmpty():
-            return labels
+    """(id, comp) of every node in a link: the smallest id it reaches.
+
+    Each round gives every node its smallest neighbour, contracts the graph to these and drops
+    links within; what is left shrinks fast.  The rounds' maps are then followed from the last to
+    the first.  Tables in the shared folder cut the lineage.
+    """
+    edges, maps = saved(links.select("a", "b").distinct(), "near-edges"), []
+    while not maps or not edges.isEmpty():
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        maps.append(saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "near-map"))
+        ends = edges
+        for end in ("a", "b"):
+            ends = ends.join(maps[-1].select(F.col("id").alias(end), F.col("comp").alias(f"to_{end}")), end)
+        shrunk = ends.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        edges = saved(shrunk.distinct(), "near-edges")
+    out = maps.pop()
+    while maps:
+        up = out.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+        out = maps.pop().join(up, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+    return saved(out, "near-components")
+
+
+def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links as links between the components of their ends; a node in none stands for itself."""
+    out = links.select("a", "b")
+    for end in ("a", "b"):
+        out = out.join(comp.select(F.col("id").alias(end), F.col("comp").alias(f"c_{end}")), end, "left")
+    out = out.select(F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
+    return out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -291,7 +308,10 @@ def groups(docs: DataFrame) -> DataFrame:
     dealt = dealt.join(nodes.select("id", "s", F.col("n_shingles").alias("n"), "sketch", "bands"), "id").repartition(parts, "key", "lo", "hi")
     across = dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(_across, "a long, b long")
     more = _confirmed(across, nodes, docs)
-    comp = components(links.union(more))
+    # Links between components, then each node's component in the final graph.
+    top = components(_between(more, comp))
+    comp = comp.join(top.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "full")
+    comp = comp.select(F.coalesce("id", "comp").alias("id"), F.coalesce("top", "comp").alias("comp"))
 
     label = nodes.select("id", "rep", "digest").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
