@@ -56,8 +56,8 @@ def aggregate(samples: Sequence[DataFrame], columns: Sequence[str] | None = None
 
 # ---- batch correction ----------------------------------------------------------------------------
 
-#: Points of a batch that matching uses, those with the smallest md5 of their id; neighbours; kernel width factor.
-ANCHORS, NEAREST = 2000, 20
+#: Points of a batch that matching uses, those with the smallest md5 of their id; neighbours; rounds.
+ANCHORS, NEAREST, ROUNDS = 2000, 20, 4
 
 
 def _principal(x: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +99,14 @@ def batch_correct(df: DataFrame, columns: Sequence[str], batch: str = "patient",
     placed: np.ndarray | None = None
     for b in sorted(points, key=lambda b: (-sizes[b], str(b))):
         own = points[b]
-        if placed is not None:
+        # Matches across a gap are the closest points and understate it, so they are sought again.
+        for _ in range(ROUNDS if placed is not None else 0):
             pairs = mutual_pairs((own - mean) @ axes, (placed - mean) @ axes)
-            if len(pairs):
-                at, vector = own[pairs[:, 0]], placed[pairs[:, 1]] - own[pairs[:, 0]]
-                width = np.median(((at - at.mean(0)) ** 2).sum(1)) + 1e-12
-                moves[b] = (at, vector, width)
-                own = _moved(own, *moves[b])
+            if not len(pairs):
+                break
+            at, vector = own[pairs[:, 0]], placed[pairs[:, 1]] - own[pairs[:, 0]]
+            moves.setdefault(b, []).append((at, vector, np.median(((at - at.mean(0)) ** 2).sum(1)) + 1e-12))
+            own = _moved(own, *moves[b][-1])
         placed = own if placed is None else np.vstack([placed, own])[-4 * anchors:]
     shared = df.sparkSession.sparkContext.broadcast(moves)
 
@@ -113,8 +114,8 @@ def batch_correct(df: DataFrame, columns: Sequence[str], batch: str = "patient",
         for frame in frames:
             values = frame[list(columns)].to_numpy(float)
             for b, at in frame.groupby(batch).indices.items():
-                if b in shared.value:
-                    values[at] = _moved(values[at], *shared.value[b])
+                for move in shared.value.get(b, ()):
+                    values[at] = _moved(values[at], *move)
             frame[list(columns)] = values
             yield frame
 

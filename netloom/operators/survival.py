@@ -62,7 +62,7 @@ def kaplan_meier(df: DataFrame, variable: str, duration: str, event: str, thresh
     z = stats.normal_quantile(1 - alpha / 2)
     theta = z * F.sqrt("_g") / F.nullif(F.ln(F.nullif("survival", F.lit(0.0))), F.lit(0.0))
     bound = lambda sign: F.when(F.col("survival").between(1e-300, 1 - 1e-15), F.pow("survival", F.exp(sign * -theta))).otherwise(F.col("survival"))
-    return curve.select("above", "time", "n", "d", "survival", bound(-1).alias("low"), bound(1).alias("high"))
+    return curve.select("above", "time", "n", "d", "survival", bound(1).alias("low"), bound(-1).alias("high"))
 
 
 def hazard_table(coefs: DataFrame, alpha: float = 0.05) -> DataFrame:
