@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -96,6 +96,22 @@ def grouped(rows: Iterable[dict], schema: pa.Schema, most: int = 128) -> Iterato
         yield pa.RecordBatch.from_pylist(group, schema)
 
 
+#: Bits that ``marked`` looks rows up in: a fixed size.
+FILTER_LOG = 24
+
+
+def marked(df: DataFrame, value: Column, keys: DataFrame, key: Column) -> DataFrame:
+    """Adds ``maybe``: false only where ``value`` (a hash) is among no ``key`` of ``keys``.
+
+    The keys' bits, at most 2^FILTER_LOG / 64 rows of two numbers whatever the input, go to every
+    task, so rows that cannot match are told apart before any shuffle.
+    """
+    low = lambda c: c.bitwiseAND(F.lit((1 << FILTER_LOG) - 1))
+    bits = keys.select(low(key).alias("h")).groupBy(F.expr("h div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("_bits"))
+    met = df.withColumn("_h", low(value)).join(F.broadcast(bits), F.expr("_h div 64") == F.col("_word"), "left")
+    return met.withColumn("maybe", F.expr("coalesce(getbit(_bits, cast(_h % 64 as int)) = 1, false)")).drop("_h", "_word", "_bits")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which it sizes for the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

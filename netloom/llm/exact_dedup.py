@@ -8,7 +8,8 @@ equality: rows meet by the characters themselves.
 
 A round counts its groups with a map-side pre-aggregation and joins the groups of two or more
 back, so a group that holds a third of all rows crosses the network as a few partial counts,
-and the join splits its rows (adaptive skew join).  Digits widen eightfold, so the number of
+and the join splits its rows (adaptive skew join).  Documents alone with their first digit are
+told apart by bits of fixed size before that, and never cross the network.  Digits widen eightfold, so the number of
 rounds is logarithmic in the longest text, and only documents that still share a class with
 another carry their text along.
 
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import UPPER, saved
+from netloom.llm.common import UPPER, marked, saved
 
 FIRST, WIDER = 64, 8
 
@@ -34,6 +35,10 @@ def lowered(text: F.Column) -> F.Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def _single(rows: DataFrame, more: list[str]) -> DataFrame:
+    return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *more)
+
+
 def _rounds(docs: DataFrame, carried: list[str]) -> DataFrame:
     """Every row with (keep_id, group_size, kept, text_sha256) and the columns in ``carried``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -53,6 +58,11 @@ def _rounds(docs: DataFrame, carried: list[str]) -> DataFrame:
             .withColumn("next", F.monotonically_increasing_id()),
             "radix-groups",
         )
+        if not settled:
+            # Most documents share their first digits with no other; they need no shuffle.
+            told = marked(active, F.xxhash64(*keys), groups, F.xxhash64(*(f"g_{k}" for k in keys)))
+            settled.append(_single(told.where("not maybe"), carried))
+            active = told.where("maybe").drop("maybe")
         met = active.join(groups, reduce(F.Column.__and__, [F.col(k) == F.col(f"g_{k}") for k in keys]), "left")
         ended = F.col("len") <= done
         table = saved(
@@ -62,8 +72,7 @@ def _rounds(docs: DataFrame, carried: list[str]) -> DataFrame:
                 F.when(F.col("n").isNull(), "single").when(ended, "ended").otherwise("active").alias("status"),
             ), "radix-round", by="status",
         )
-        single = table.where("status = 'single'")
-        settled.append(single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *carried))
+        settled.append(_single(table.where("status = 'single'"), carried))
         # Rows equal in id and text cannot be told apart, so they are counted and dealt out again.
         ids = ["cls", "doc_id", "n", "keep", "sha"]
         same = table.where("status = 'ended'").groupBy(*ids, *carried).agg(F.count(F.lit(1)).alias("m"))
