@@ -39,9 +39,9 @@ def nas(nodes: DataFrame, edges: DataFrame, attributes: Sequence[str], order: in
     lacks are 0; ``stats`` may be a name like "mean-max" or functions by name."""
     named = stats if isinstance(stats, Mapping) else {s: STATS[s] for s in (stats.split("-") if isinstance(stats, str) else stats)}
     have = set(nodes.columns)
-    values = nodes.select(*keys, F.col("node_id").alias("m"), *((F.col(f"`{a}`") if a in have else F.lit(0)).cast("double").alias(a) for a in attributes))
+    values = nodes.select(*keys, F.col("node_id").alias("m"), *((F.col(f"`{a}`") if a in have else F.lit(0)).cast("double").alias(f"_v{i}") for i, a in enumerate(attributes)))
     around = k_hop(nodes, edges, order, keys).select(*keys, "n", "m").join(values, [*keys, "m"])
-    wanted = [f(F.col(f"`{a}`")).alias(f"{a}{sep}{s}") for s, f in named.items() for a in attributes]
+    wanted = [f(F.col(f"_v{i}")).alias(f"{a}{sep}{s}") for s, f in named.items() for i, a in enumerate(attributes)]
     return around.groupBy(*keys, "n").agg(*wanted).withColumnRenamed("n", "node_id")
 
 

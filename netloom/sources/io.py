@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.model import KEYS
@@ -27,15 +27,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_files(spark: SparkSession, folder: str, kind: str, levels: Sequence[str] = KEYS, extension: str = "parquet", index: Sequence[tuple] | None = None) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, kind: str, levels: Sequence[str] = KEYS, extension: str = "parquet", index: Sequence[tuple] | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """All files ``{kind}_{level}-{id}[_{level}-{id}].{extension}`` of a folder as one table with the
     ids as string columns.  Ids may hold ``_``; one level will do; ``index`` chooses networks.
-    Columns a file lacks are null."""
+    Columns a file lacks are null; ``extra`` adds columns of the scan's metadata."""
     reader = spark.read.option("mergeSchema", "true") if _format(extension) == "parquet" else spark.read.option("header", "true").option("inferSchema", "true")
     table = reader.option("pathGlobFilter", f"{kind}_*.{extension}").format(extension).load(folder)
     name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
     pattern = f"^{kind}_" + "_".join(rf"{level}-(.+{'?' if i + 1 < len(levels) else ''})" for i, level in enumerate(levels)) + rf"\.{extension}$"
-    out = table.withColumns({level: F.regexp_extract(name, pattern, i + 1) for i, level in enumerate(levels)})
+    out = table.withColumns({level: F.regexp_extract(name, pattern, i + 1) for i, level in enumerate(levels)} | dict(extra or {}))
     if index is not None:
         chosen = spark.createDataFrame([tuple(map(str, i)) for i in index], ", ".join(f"{level} string" for level in levels))
         out = out.join(chosen, [*levels], "left_semi")
