@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from netloom.operators import graphs, neighbors
@@ -99,3 +100,18 @@ def test_link_isolated(spark):
     nodes, edges = fixtures.network(spark, "low")
     linked = graphs.link_isolated(nodes, edges.where("source <> 3 and target <> 3"))
     assert sorted((r["source"], r["target"]) for r in linked.where("source = 3 or target = 3").collect()) == [(2, 3), (3, 4)]
+
+
+def test_user_statistics(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    nodes, edges = network(spark, [(0, 1), (1, 2)])
+    nodes = nodes.withColumn("n", F.col("node_id").cast("double"))
+    by_name = neighbors.nas(nodes, edges, ["n"], 1, {"range": lambda c: F.max(c) - F.min(c)}, keys=K)
+    assert {r["node_id"]: r["n range"] for r in by_name.collect()} == {0: 1, 1: 2, 2: 1}
+    assert {r["node_id"]: r["n spread"] for r in neighbors.nas(nodes, edges, ["n"], 1, {"spread": spread}, keys=K).collect()} == {0: 1, 1: 2, 2: 1}
