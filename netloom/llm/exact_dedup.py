@@ -39,8 +39,9 @@ def _single(rows: DataFrame, more: list[str]) -> DataFrame:
     return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *more)
 
 
-def _rounds(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Every row with (keep_id, group_size, kept, text_sha256) and the columns in ``carried``."""
+def _rounds(docs: DataFrame, carried: list[str], whole: bool = False) -> DataFrame:
+    """Every row with (keep_id, group_size, kept, sha) and the columns in ``carried``; with
+    ``whole`` also its text, which else stays with documents that go on to the next round only."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     start = docs.withColumn("len", F.octet_length(text).cast("long"))
     head = start.select("doc_id", "len", lowered(F.substring(text, 1, FIRST)).alias("digit"))
@@ -48,6 +49,7 @@ def _rounds(docs: DataFrame, carried: list[str]) -> DataFrame:
         "doc_id", "len", lowered(F.substring(text, 1, FIRST)).alias("digit"),
         F.sha2(lowered(text).cast("binary"), 256).alias("sha"), "text", *carried,
     )
+    more = [*carried, "text"] if whole else carried
     settled: list[DataFrame] = []
     keys, done, width = ["len", "digit"], FIRST, FIRST
     while True:
@@ -61,29 +63,28 @@ def _rounds(docs: DataFrame, carried: list[str]) -> DataFrame:
         if not settled:
             # Most documents share their first digits with no other; they need no shuffle.
             told = marked(active, F.xxhash64(*keys), groups, F.xxhash64(*(f"g_{k}" for k in keys)))
-            settled.append(_single(told.where("not maybe"), carried))
+            settled.append(_single(told.where("not maybe"), more))
             active = told.where("maybe").drop("maybe")
         met = active.join(groups, reduce(F.Column.__and__, [F.col(k) == F.col(f"g_{k}") for k in keys]), "left")
         ended = F.col("len") <= done
         table = saved(
             met.select(
                 "doc_id", "len", "sha", F.col("next").alias("cls"), "n", "keep",
-                F.when(F.col("n").isNotNull() & ~ended, F.col("text")).alias("text"), *carried,
+                F.when(F.lit(whole) | (F.col("n").isNotNull() & ~ended), F.col("text")).alias("text"), *carried,
                 F.when(F.col("n").isNull(), "single").when(ended, "ended").otherwise("active").alias("status"),
             ), "radix-round", by="status",
         )
-        settled.append(_single(table.where("status = 'single'"), carried))
-        # Rows equal in id and text cannot be told apart, so they are counted and dealt out again.
-        ids = ["cls", "doc_id", "n", "keep", "sha"]
-        same = table.where("status = 'ended'").groupBy(*ids, *carried).agg(F.count(F.lit(1)).alias("m"))
+        settled.append(_single(table.where("status = 'single'"), more))
+        # Rows alike in all that is carried cannot be told apart, so they are counted and dealt out again.
+        same = table.where("status = 'ended'").groupBy("cls", "doc_id", "n", "keep", "sha", *more).agg(F.count(F.lit(1)).alias("m"))
         stays = F.col("doc_id").eqNullSafe(F.col("keep"))
-        if carried:
-            best = same.where(stays).groupBy(F.col("cls").alias("best_cls")).agg(F.min(F.struct(*carried)).alias("best"))
+        if more:
+            best = same.where(stays).groupBy(F.col("cls").alias("best_cls")).agg(F.min(F.struct(*more)).alias("best"))
             same = same.join(best, F.col("cls") == F.col("best_cls"), "left")
-            stays = stays & F.struct(*carried).eqNullSafe(F.col("best"))
+            stays = stays & F.struct(*more).eqNullSafe(F.col("best"))
         settled.append(
             same.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
-            .select("doc_id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), (stays & (F.col("k") == 1)).alias("kept"), "sha", *carried)
+            .select("doc_id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), (stays & (F.col("k") == 1)).alias("kept"), "sha", *more)
         )
         rest = table.where("status = 'active'")
         if rest.isEmpty():
@@ -103,7 +104,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; rows alike in id and text fall to the
     smallest of their other columns."""
-    names = docs.columns
-    plain = docs.select(F.col("doc_id"), F.col("text"), *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)))
-    out = _rounds(plain, [f"p_{i}" for i in range(len(names))]).where("kept")
-    return out.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(names)))
+    names, others = docs.columns, [c for c in docs.columns if c != "text"]
+    place = {c: f"p_{i}" for i, c in enumerate(others)}
+    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(p) for c, p in place.items()))
+    out = _rounds(plain, list(place.values()), whole=True).where("kept")
+    return out.select(*(F.col("text") if c == "text" else F.col(place[c]).alias(c) for c in names))
