@@ -36,25 +36,22 @@ CELLS, SEGMENT = 4096, 65536
 SEED = "mix"
 
 
-def _same(a: F.Column, b: F.Column) -> F.Column:
-    return a.eqNullSafe(b)
-
-
 def _sized(docs: DataFrame, carried: list[str]) -> DataFrame:
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}")).cast("binary"))
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_SQL)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), key.alias("key"), *carried).withColumn(
-        "slice", F.substring("key", 1, 3)
-    )
+    # A key without nulls, so that windows and joins share one partitioning.
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    return docs.select("doc_id", source.alias("source"), words.alias("size"), key.alias("key"), *carried).withColumn("slice", F.substring("key", 1, 3))
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, target, lo, hi, total, block): one row per source.
+    """(source, source_size, target, lo, hi, total, block): one row per source, named by "=" and its
+    name, or "" for null.
 
     ``lo``..``hi`` is the source's part of the unit interval.  Targets share SHARE of all words by
     weight and stop at REPEAT times the source's size; the excess goes to the others by weight.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    order = Window.orderBy(F.col("source") == "", "source")
     each = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # Windows over all sources: one short row each, after the sum.
     each = each.withColumn("place", F.row_number().over(order))
@@ -107,30 +104,30 @@ def schedule(of: DataFrame) -> DataFrame:
 
 
 def _placed(sized: DataFrame, of: DataFrame) -> DataFrame:
-    """Adds each document's first position in its source's shuffled stream of words."""
+    """Adds each document's first position in its source's shuffled stream of words, and its
+    source's columns in ``of``.  Documents cross the network once, to the window of their slice;
+    the short table that joins them there has that partitioning too."""
     sums = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s_source"), F.col("slice").alias("s_slice"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    sums = sums.select("source", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")).join(of, "source")
     inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("upto", F.sum("size").over(inside))
-    placed = placed.join(sums, _same(F.col("source"), F.col("s_source")) & (F.col("slice") == F.col("s_slice")))
-    of = of.select(F.col("source").alias("t_source"), "source_size", "target", "block")
-    return placed.join(of, _same(F.col("source"), F.col("t_source"))).withColumn("start", F.col("offset") + F.col("upto") - F.col("size"))
+    placed = sized.withColumn("upto", F.sum("size").over(inside)).join(sums, ["source", "slice"])
+    return placed.withColumn("start", F.col("offset") + F.col("upto") - F.col("size"))
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken): what the mix takes of every document."""
     sized = _sized(docs, [])
     of = targets(sized)
-    placed = _placed(sized, of).select("doc_id", "source", "size", "source_size", "target", "start", "block")
-    slots = schedule(of).select(F.col("source").alias("b_source"), F.col("rank").alias("b_rank"))
+    placed = _placed(sized, of.select("source", "source_size", "target", "block")).select("doc_id", "source", "size", "source_size", "target", "start", "block")
+    slots = schedule(of).select("source", "rank", F.lit(True).alias("read"))
     read = placed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1)))).withColumn("from", F.col("start") + F.col("at") * F.col("source_size"))
     parts = read.withColumn("rank", F.explode(F.when(F.col("size") > 0, F.sequence(F.expr("`from` div block"), F.expr("(`from` + size - 1) div block"))).otherwise(F.array(F.lit(-1).cast("long")))))
     overlap = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * F.col("block")) - F.greatest(F.col("from"), F.col("rank") * F.col("block"))
-    met = parts.withColumn("words", overlap).join(slots, _same(F.col("source"), F.col("b_source")) & (F.col("rank") == F.col("b_rank")), "left")
+    met = parts.withColumn("words", overlap).join(slots, ["source", "rank"], "left")
     # Documents with words have a start of their own in their source; those without give a row each already.
     words = met.where("size > 0").groupBy("doc_id", "source", "start", "size", "source_size", "target").agg(
-        F.sum(F.when(F.col("b_rank").isNotNull(), F.col("words")).otherwise(0)).alias("taken")
+        F.sum(F.when(F.col("read"), F.col("words")).otherwise(0)).alias("taken")
     )
     columns = ["doc_id", "size", "source_size", "target", "taken"]
     empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -144,8 +141,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", "source", "text", *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)))
     carried = [f"p_{i}" for i in range(len(names))]
     of = targets(_sized(docs, []))
-    counts = schedule(of).groupBy(F.col("source").alias("c_source")).agg(F.count(F.lit(1)).alias("slots"))
-    placed = _placed(_sized(plain, carried), of).join(counts, _same(F.col("source"), F.col("c_source")))
+    counts = schedule(of).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
+    placed = _placed(_sized(plain, carried), of.select("source", "source_size", "block").join(counts, "source"))
     read = placed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1))))
     chosen = read.where("(start + at * source_size) div block < slots")
     return chosen.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(names)))
