@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import WORD, grouped, partitions, remove, saved, texts
+from netloom.llm.common import WORD, grouped, marked, partitions, remove, saved, texts
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -41,8 +41,6 @@ BINS_LOG, BITS_LOG = 12, 12
 BITS = 1 << BITS_LOG
 ERRORS = 5.0
 CHUNK = 2048
-#: Bits of the filter that keeps unneeded texts away from the confirmation: a fixed size.
-FILTER_LOG = 24
 
 _random = np.random.Generator(np.random.PCG64(20250101))
 _MULTIPLY = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
@@ -230,11 +228,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     pairs = saved(pairs, "near-pairs")
     needed = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct()
     needed = saved(needed.join(nodes.select("id", "rep", "digest"), F.col("x") == F.col("id")).select("id", "rep", "digest"), "near-needed")
-    place = lambda c: F.xxhash64(F.col(c)).bitwiseAND(F.lit((1 << FILTER_LOG) - 1))
-    bits = needed.select(place("rep").alias("h")).groupBy(F.expr("h div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
-    # At most 2^FILTER_LOG / 64 rows of two numbers.
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", place("doc_id"))
-    cut = cut.join(F.broadcast(bits), F.expr("h div 64") == F.col("word")).where("getbit(bits, cast(h % 64 as int)) = 1")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cut = marked(cut, F.xxhash64("doc_id"), needed, F.xxhash64("rep")).where("maybe")
     sets = cut.select("doc_id", "text").mapInArrow(_sets, "s_digest binary, items binary")
     sets = sets.join(needed.select("id", "digest"), F.col("s_digest") == F.col("digest")).groupBy("id").agg(F.first("items").alias("items"))
     sets = saved(sets, "near-sets")
@@ -323,6 +318,11 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one for each group, with all their columns."""
-    stay = groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long") == F.col("dropped"), "left_anti")
+    """The documents that stay, one for each group, with all their columns.  Only documents that
+    may be dropped are dealt out by id; the others never leave their tasks."""
+    dropped = saved(groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct(), "near-dropped")
+    names = docs.columns
+    plain = docs.select(F.col("doc_id").cast("long").alias("key"), *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)))
+    told = marked(plain, F.xxhash64("key"), dropped, F.xxhash64("dropped"))
+    stay = told.where("maybe").join(dropped, F.col("key") == F.col("dropped"), "left_anti")
+    return told.where("not maybe").unionAll(stay).select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(names)))
