@@ -15,12 +15,11 @@ from netloom.operators.graphs import knn
 UMAP_MOST = 50_000
 
 
-def reducer_name(kind: str, n_dimensions: int | None = None, n_neighbors: int | None = None, metric: str | None = None, min_dist: float | None = None) -> str:
-    if kind == "umap":
-        return f"reducer-umap_dim-{n_dimensions}_nneigh-{n_neighbors}_metric-{metric}_min_dist-{min_dist}"
-    if kind in ("none", "pca"):
-        return f"reducer-{kind}" + (f"_dim-{n_dimensions}" if kind == "pca" else "")
-    raise ValueError("a reducer is 'umap', 'pca' or 'none'")
+def reducer_name(kind: str, **params) -> str:
+    """A name that tells reducers and their parameters apart."""
+    if kind not in ("umap", "pca", "none"):
+        raise ValueError("a reducer is 'umap', 'pca' or 'none'")
+    return ",".join([kind, *(f"{k}={v}" for k, v in sorted(params.items()) if v is not None)])
 
 
 def assembled(df: DataFrame, columns: list[str], node_id: str = "node_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: (labels in node order, edges, x, y) of each network.
+#: Fixed values: (labels in node order, edges, x, y) of the networks that known answers exist for.
 NETWORKS = {
     "triangle": ("abc", [(0, 1), (1, 2), (2, 0)], [1, 3, 2], [2, 2, 1]),
     "trigonal": ("abcabc", [(0, 1), (1, 2), (2, 0), (0, 3), (1, 4), (2, 5)], [1, 3, 2, 0, 4, 2], [2, 2, 1, 3, 3, 0]),

@@ -58,7 +58,7 @@ def test_reducers(spark):
     assert reduce.reduce(df, ["f0"], "none").count() == 90
     with pytest.raises(ValueError):
         reduce.reduce(df, ["f0"], "tsne")
-    assert reduce.reducer_name("none") == "reducer-none" and "dim-2" in reduce.reducer_name("umap", 2, 15, "euclidean", 0.0)
+    assert reduce.reducer_name("none") == "none" and reduce.reducer_name("umap", n_components=2, metric="cosine") == "umap,metric=cosine,n_components=2"
 
 
 def test_screen_resumes(spark, tmp_path):
