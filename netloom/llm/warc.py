@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import _place, grouped, partitions, saved, shared_dir, texts
+from netloom.llm.common import _place, grouped, marked, partitions, saved, shared_dir, texts
 
 #: Compressed bytes after which a task starts its next archive; bytes that the reader asks for at once.
 ARCHIVE_BYTES, READ_BYTES = 64 << 20, 1 << 18
@@ -138,10 +138,14 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = saved(cut.mapInArrow(digests, "row long, page_id long, url string, payload binary, digest string, bytes long"), "warc-rows")
     first = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("g_digest"), F.col("bytes").alias("g_bytes"))
-    first = first.agg(F.max(F.struct("page_id", "row")).alias("first"))
-    met = rows.join(first, (F.col("digest") == F.col("g_digest")) & (F.col("bytes") == F.col("g_bytes")), "left")
+    first = first.agg(F.max(F.struct("page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Most payloads are alone; only those that may repeat are dealt out.
+    told = marked(rows, F.xxhash64("digest"), first, F.xxhash64("g_digest"))
+    met = told.where("maybe").join(first, (F.col("digest") == F.col("g_digest")) & (F.col("bytes") == F.col("g_bytes")), "left")
     revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
-    written = met.select("page_id", "url", "payload", "digest", F.col("first.page_id").alias("refers_to"), revisit.alias("revisit"))
+    common = ["page_id", "url", "payload", "digest"]
+    written = met.select(*common, F.col("first.page_id").alias("refers_to"), revisit.alias("revisit"))
+    written = told.where("not maybe").select(*common, F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit")).unionAll(written)
     return saved(written.mapInArrow(archive, "file string"), "warc-files")
 
 
