@@ -60,7 +60,7 @@ class Words(dict):
     """64-bit hashes of words, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -136,16 +136,18 @@ SIGNED = "doc_id long, n_shingles long, digest binary, s int, sketch binary, ban
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("s", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
     known = Words()
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-            items = shingles(text, known)
-            row = {"doc_id": doc_id, "n_shingles": len(items)}
-            if len(items):
-                s, bits = sketch(items)
-                row |= {"digest": digest(items), "s": s, "sketch": bits, "bands": bands(items)}
-            rows.append(row)
-        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+                items = shingles(text, known)
+                row = {"doc_id": doc_id, "n_shingles": len(items)}
+                if len(items):
+                    s, bits = sketch(items)
+                    row |= {"digest": digest(items), "s": s, "sketch": bits, "bands": bands(items)}
+                yield row
+
+    yield from grouped(rows(), schema, 512)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
