@@ -126,4 +126,5 @@ def scan(files: DataFrame, separator: int, block_bytes: int = BLOCK_BYTES) -> Da
 def counts(docs: DataFrame, vocabulary: str, pattern: str, separator: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens): write the documents as token files, then count them by the scan alone."""
     order = write(docs, vocabulary, pattern, separator)
-    return scan(order, separator, block_bytes).join(order, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # Its files are small, its rows as many as documents: too many to broadcast.
+    return scan(order, separator, block_bytes).join(order.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
