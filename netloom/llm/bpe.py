@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netloom.llm.common import blocks, grouped, pack_ints, partitions, read_block, unpack_ints, unpack_words
+from netloom.llm.common import blocks, grouped, pack_ints, partitions, read_block, trim, unpack_ints, unpack_words
 
 
 @functools.lru_cache(maxsize=2)
@@ -109,6 +109,8 @@ def _assembled(docs: DataFrame, vocabulary: str, pattern: str, finish: Callable,
         for (doc_id, _), n in zip(docs, lens.tolist(), strict=True):
             out.append(make(doc_id, flat[start : start + n].tolist()))
             start += n
+        del own, make, flat
+        trim()
         return pa.Table.from_pylist(out, arrow)
 
     return answers.groupBy("block").applyInArrow(assemble, schema)

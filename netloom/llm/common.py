@@ -7,6 +7,7 @@ Files that one task writes and another reads go to the folder named by
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
 import re
 import tempfile
@@ -84,6 +85,15 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
+def trim() -> None:
+    """Give memory back at the end of a task: idle Python workers would keep it for good."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def grouped(rows: Iterable[dict], schema: pa.Schema, most: int = 128) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of ``most`` rows."""
     group: list[dict] = []
@@ -94,6 +104,8 @@ def grouped(rows: Iterable[dict], schema: pa.Schema, most: int = 128) -> Iterato
             group = []
     if group:
         yield pa.RecordBatch.from_pylist(group, schema)
+    group.clear()
+    trim()
 
 
 #: Bits that ``marked`` looks rows up in: a fixed size.
@@ -244,6 +256,8 @@ def blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], mod: int, buc
                     number, block = number + 1, Block()
         if block.docs:
             yield from grouped(block.rows(number, buckets, folder), BLOCK_ARROW)
+        block = None
+        trim()
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut.mapInArrow(run, BLOCK_SCHEMA), folder

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import WORD, held_out, texts
+from netloom.llm.common import WORD, held_out, texts, trim
 
 #: Labelled documents that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -144,6 +144,7 @@ def score(docs: DataFrame, model: Trees, mod: int = 3) -> DataFrame:
             ids, p = batch.column(0), shared.value.score(features(list(texts(batch))))
             out = [held_out(i, mod) for i in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(out), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=pa.schema(fields))
+        trim()
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -158,6 +159,7 @@ def accepted(docs: DataFrame, model: Trees) -> DataFrame:
         for batch in batches:
             good = pa.array(shared.value.score(features(list(texts(batch, "q_text")))) >= 0.5)
             yield batch.select([c for c in batch.schema.names if c != "q_text"]).filter(good)
+        trim()
 
     plain = docs.select(*(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)), F.col("text").cast("string").alias("q_text"))
     out = plain.mapInArrow(run, plain.drop("q_text").schema)
