@@ -13,13 +13,19 @@ def hash_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary"))
 
 
-def ranked(df: DataFrame, keys: Sequence[str], key: str, tie: str, name: str) -> DataFrame:
+#: Rows of a group that one task ranks; larger groups are cut into slices.
+LARGE = 1 << 16
+
+
+def ranked(df: DataFrame, keys: Sequence[str], key: str, tie: str, name: str, size: str | None = None) -> DataFrame:
     """Adds ``name``, the rank from 1 of each row among rows of equal ``keys`` by an md5 ``key``.
 
     Rows are counted by the key's first two digits, so a group of any size is ranked by up to
-    256 tasks instead of one.
+    256 tasks instead of one; where the column ``size`` tells a group's rows, only large ones are
+    cut.
     """
-    sliced = df.withColumn("_slice", F.substring(key, 1, 2))
+    cut = F.substring(key, 1, 2)
+    sliced = df.withColumn("_slice", F.when(F.col(size) > LARGE, cut).otherwise("") if size else cut)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -83,9 +83,10 @@ def randomized(labels: DataFrame, n_shuffle: int = SHUFFLES, keys: Sequence[str]
     """(keys, node_id, shuffled): each node's label sets under ``n_shuffle`` permutations of the
     network's nodes; labels of one node stay together.  Permutation k orders ids by md5 of k and id,
     so any partitioning and any engine gives the same."""
-    base = ranked(labels.withColumn("_key", hash_key(F.lit("base"), F.col("node_id"))), keys, "_key", "node_id", "_place").select(*keys, "_place", "labels")
-    every = labels.select(*keys, "node_id", F.explode(F.sequence(F.lit(0), F.lit(n_shuffle - 1))).alias("k"))
-    every = ranked(every.withColumn("_key", hash_key(F.col("k"), F.col("node_id"))), [*keys, "k"], "_key", "node_id", "_place")
+    labels = labels.join(labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), [*keys])
+    base = ranked(labels.withColumn("_key", hash_key(F.lit("base"), F.col("node_id"))), keys, "_key", "node_id", "_place", "_size").select(*keys, "_place", "labels")
+    every = labels.select(*keys, "node_id", "_size", F.explode(F.sequence(F.lit(0), F.lit(n_shuffle - 1))).alias("k"))
+    every = ranked(every.withColumn("_key", hash_key(F.col("k"), F.col("node_id"))), [*keys, "k"], "_key", "node_id", "_place", "_size")
     moved = every.join(base, [*keys, "_place"]).groupBy(*keys, "node_id")
     return moved.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "labels"))), lambda x: x["labels"]).alias("shuffled"))
 

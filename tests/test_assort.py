@@ -67,6 +67,15 @@ def test_randomized_keep_totals_and_repeat(spark):
     assert {r["count"] for r in shuffled.collect()} == {4}
 
 
+def test_large_networks_are_ranked_in_slices(spark, monkeypatch):
+    from netloom.functions import ranks
+
+    nodes, _ = fixtures.network(spark, "low")
+    one = sorted(map(str, assort.randomized(labels_of(nodes), 9, K).collect()))
+    monkeypatch.setattr(ranks, "LARGE", 3)
+    assert sorted(map(str, assort.randomized(labels_of(nodes), 9, K).collect())) == one
+
+
 def test_sample_stats_columns(spark):
     nodes, edges = fixtures.cohort(spark)
     row = {r["sample"]: r.asDict() for r in assort.sample_stats(nodes, edges, ["a", "b", "c"], K, 10).collect()}["high"]
