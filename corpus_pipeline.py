@@ -24,10 +24,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept(docs)
 
 
+#: Documents whose 5-word shingle sets have a Jaccard similarity of so many hundredths are near copies.
+NEAR_PERCENT = 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each near-duplicate group, the one with the smallest id."""
     ship(spark)
-    return near_dedup.kept(docs)
+    return near_dedup.kept(docs, NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

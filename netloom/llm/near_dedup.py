@@ -1,8 +1,8 @@
 """Near-duplicate groups: banded MinHash candidates, odd sketches, exact confirmation.
 
 A document is its set of distinct 5-word shingles.  Documents with equal sets are one node.
-Nodes that agree on all MinHash values of a band share a bucket (BANDS x ROWS; a pair at the
-threshold is missed by all bands with a probability below 1e-6).  Within buckets, pairs are
+Nodes that agree on all MinHash values of a band share a bucket (BANDS x ROWS; a pair at a
+threshold of 0.85 is missed by all bands with a probability below 1e-6, one at 0.8 below 1e-4).  Within buckets, pairs are
 judged by odd sketches: one-permutation MinHash samples folded into a parity bitmap, where the
 population count of the XOR gives the number of samples that differ, and so a high similarity,
 to a fraction of a percent.  What may reach the threshold, five standard errors granted, is
@@ -23,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import WORD, grouped, marked, partitions, remove, saved, texts
 
 SHINGLE = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this is op4's.
 PERCENT = 85
 BANDS, ROWS = 32, 6
 #: Bins of the one-permutation samples, bits of the odd sketch.
@@ -107,10 +108,10 @@ def sketch(items: np.ndarray) -> tuple[int, bytes]:
     return len(samples), np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def possible(z: np.ndarray, s_a: np.ndarray, s_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def possible(z: np.ndarray, s_a: np.ndarray, s_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sets of these sizes and samples, whose sketches differ in ``z`` bits, may reach the
     threshold: their sizes allow it and the estimate lies within ERRORS standard errors."""
-    level = PERCENT / 100
+    level = percent / 100
     n_a, n_b = n_a.astype(float), n_b.astype(float)
     differ = -BITS / 2 * np.log(np.maximum(1 - 2 * z / BITS, 1e-3))
     same = np.maximum((s_a + s_b - differ) / 2, 0)
@@ -122,12 +123,12 @@ def possible(z: np.ndarray, s_a: np.ndarray, s_b: np.ndarray, n_a: np.ndarray, n
     load = 4 * differ / BITS
     folded = np.exp(load / 2) * np.sqrt(BITS / 4 * np.maximum(1 - np.exp(-load) * (1 + load), 0)) / ((1 + both) * np.maximum(union, 1))
     error = np.sqrt(level * (1 - level) / np.maximum(union, 1) * (1 - taken) + folded**2)
-    return (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)) & (estimate + ERRORS * error + 1e-9 >= level)
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (estimate + ERRORS * error + 1e-9 >= level)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 SIGNED = "doc_id long, n_shingles long, digest binary, s int, sketch binary, bands array<long>"
@@ -163,9 +164,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from grouped(rows(), pa.schema([("s_digest", pa.binary()), ("items", pa.binary())]), 256)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True)]
+        keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -173,16 +174,16 @@ def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) with both nodes' sketches: those that may link."""
     for batch in batches:
         number = lambda name: batch.column(name).to_numpy()  # noqa: E731, B023
         z = np.bitwise_count(_bits(batch.column("sketch_a")) ^ _bits(batch.column("sketch_b"))).sum(1, dtype=np.int64)
-        good = possible(z, number("s_a"), number("s_b"), number("n_a"), number("n_b"))
+        good = possible(z, number("s_a"), number("s_b"), number("n_a"), number("n_b"), percent)
         yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket and chunks: pairs of different components that may link, each in the
     first band that its nodes share."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -202,7 +203,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(j):
                 continue
             z = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            j = j[possible(z, np.full(len(j), s[i]), s[j], np.full(len(j), n[i]), n[j])]
+            j = j[possible(z, np.full(len(j), s[i]), s[j], np.full(len(j), n[i]), n[j], percent)]
             j = j[(keys[j] == keys[i]).argmax(1) == band[i]] if len(j) else j
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], schema=schema)
@@ -223,7 +224,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs()
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets link.  Only the texts of nodes in a pair are read again:
     a bit filter of fixed size keeps the others out before any shuffle."""
     spark = docs.sparkSession
@@ -236,7 +237,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     sets = sets.join(needed.select("id", "digest"), F.col("s_digest") == F.col("digest")).groupBy("id").agg(F.first("items").alias("items"))
     sets = saved(sets, "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-    return saved(both.mapInArrow(_confirm, "a long, b long"), "near-links")
+    return saved(both.mapInArrow(partial(_confirm, percent=percent), "a long, b long"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,8 +272,8 @@ def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
     return out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; links are at ``percent``."""
     spark = docs.sparkSession
     parts = max(partitions(spark), 12)
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -291,8 +292,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
     features = lambda end: nodes.select(F.col("id").alias(end), *(F.col(c).alias(f"{k}_{end}") for c, k in (("s", "s"), ("n_shingles", "n"), ("sketch", "sketch"))))
     stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    judged = stars.join(features("a"), "a").join(features("b"), "b").mapInArrow(_judge, "a long, b long")
-    links = _confirmed(judged, nodes, docs)
+    judged = stars.join(features("a"), "a").join(features("b"), "b").mapInArrow(partial(_judge, percent=percent), "a long, b long")
+    links = _confirmed(judged, nodes, docs, percent)
     comp = components(links)
 
     # Buckets that still hold several components, in chunks.
@@ -303,8 +304,8 @@ def groups(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("key", "band", "id", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
     dealt = dealt.join(nodes.select("id", "s", F.col("n_shingles").alias("n"), "sketch", "bands"), "id").repartition(parts, "key", "lo", "hi")
-    across = dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(_across, "a long, b long")
-    more = _confirmed(across, nodes, docs)
+    across = dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(partial(_across, percent=percent), "a long, b long")
+    more = _confirmed(across, nodes, docs, percent)
     # Links between components, then each node's component in the final graph.
     top = components(_between(more, comp))
     comp = comp.join(top.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "full")
@@ -319,10 +320,10 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def kept(docs: DataFrame) -> DataFrame:
+def kept(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, one for each group, with all their columns.  Only documents that
     may be dropped are dealt out by id; the others never leave their tasks."""
-    dropped = saved(groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct(), "near-dropped")
+    dropped = saved(groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct(), "near-dropped")
     names = docs.columns
     plain = docs.select(F.col("doc_id").cast("long").alias("key"), *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)))
     told = marked(plain, F.xxhash64("key"), dropped, F.xxhash64("dropped"))

@@ -37,7 +37,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
-    return near_dedup.groups(_table(spark, sf_dir, "documents"))
+    return near_dedup.groups(_table(spark, sf_dir, "documents"), near_dedup.PERCENT)
 
 
 def op5_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,16 @@ def test_plans_use_no_cross_join(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id long, text string")
     plan = exact_dedup.classes(df)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and F.col("x") is not None
+
+
+def test_near_threshold_of_the_pipeline(spark):
+    """Sets of 82 in 100 shingles: near copies in the pipeline, none for op4."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(95)]
+    # 91 shingles each, of which nine differ: 82 / 100.
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:86], *(f"v{i}" for i in range(9))])), (3, " ".join(f"u{i}" for i in range(60)))]
+    df = spark.createDataFrame([(*r, True, 1, "en") for r in rows], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {1, 3}
+    assert {r["doc_id"] for r in near_dedup.kept(df).collect()} == {1, 2, 3}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.groups(df, 80).collect()} == {1: 1, 2: 1, 3: 3}
