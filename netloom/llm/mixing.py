@@ -10,7 +10,8 @@ with the blocks taken, at most twice its size, since no target exceeds twice its
 No window runs over a whole source: positions come from sums per (source, slice of the shuffle)
 and a running sum within the slice; ranks likewise from counts per (source, segment of slots).
 A block has at least ``BLOCK`` words and grows with the corpus so that the schedule stays below
-``SLOTS`` slots per corpus pass; a target is then met to a few blocks.
+``SLOTS`` slots per corpus pass; a target is then met to a few blocks.  ``mixed`` reads a source
+whose target is below FEW blocks up to its target instead, since no slot may fall to it.
 
 Defined results: a null or empty text has size 0 and gives nothing; null is a source, the last
 in order; ids order the shuffle as text, null as the empty text; rows that agree in source, id
@@ -29,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 #: The mix's words for each word of the corpus, and the most a source may repeat.
 SHARE, REPEAT = 1.5, 2
 BLOCK, SLOTS = 64, 1 << 24
+#: Targets of fewer blocks are met by the word in ``mixed``.
+FEW = 4
 #: Fractional part of the golden ratio.
 PHI = 0.6180339887498949
 #: Cells of the unit interval that slots and targets meet in; slots that a segment ranks.
@@ -136,15 +139,17 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns: one row for each reading of the source's
-    stream in which the document's first word lies in a block taken, so whole texts only."""
+    stream in which the document's first word lies in a block taken, or before the target where
+    that is below FEW blocks, so whole texts only."""
     names = docs.columns
     plain = docs.select("doc_id", "source", "text", *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)))
     carried = [f"p_{i}" for i in range(len(names))]
     of = targets(_sized(docs, []))
     counts = schedule(of).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
-    placed = _placed(_sized(plain, carried), of.select("source", "source_size", "block").join(counts, "source"))
+    placed = _placed(_sized(plain, carried), of.select("source", "source_size", "target", "block").join(counts, "source", "left"))
     read = placed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1))))
-    chosen = read.where("(start + at * source_size) div block < slots")
+    upto = F.when(F.col("target") < FEW * F.col("block"), F.col("target")).otherwise(F.coalesce("slots", F.lit(0)) * F.col("block"))
+    chosen = read.where(F.col("start") + F.col("at") * F.col("source_size") < upto)
     return chosen.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(names)))
 
 

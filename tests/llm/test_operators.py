@@ -296,3 +296,11 @@ def test_search_skips_most_vectors():
 def test_components_too_large_raise(spark):
     with pytest.raises(Exception, match="too large"):
         vafile.top_k(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_mix_keeps_a_source_below_a_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 299)
+    rows = [(i, "w " * 50, "big") for i in range(200)] + [(1000 + i, "w " * 10, "small") for i in range(2)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'small'").collect()
+    # The target is twice the source: both documents, read twice.
+    assert sorted(r["doc_id"] for r in got) == [1000, 1000, 1001, 1001]
