@@ -232,31 +232,38 @@ BLOCK_SCHEMA = "block long, bucket int, a binary, b binary, c binary"
 BLOCK_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], mod: int, buckets: int, name: str) -> tuple[DataFrame, str]:
+def blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], mod: int, buckets: int, name: str, also: Callable[[int, list[tuple[bool, list[bytes]]], str], Iterator[dict]] | None = None) -> tuple[DataFrame, str]:
     """Cut documents into blocks: (rows of distinct words by bucket, folder with the documents).
 
     One pass reads the texts.  It leaves each block's documents, as word numbers by position,
     in a file of the shared folder, and returns the block's distinct words in packed rows
     (a: words, b: their local numbers, c: occurrences in flagged documents).  A block's number
     joins the partition's number with a running one, so a task that runs again writes the same
-    file; every block gives at least one row.
+    file; every block gives at least one row.  ``also`` may add rows: it is given a block's number,
+    its documents as (flag, words) and the folder.
     """
     folder = shared_dir(docs.sparkSession, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, block = TaskContext.get().partitionId() << 32, Block()
+        number, block, whole = TaskContext.get().partitionId() << 32, Block(), []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 words = split(text)
                 block.add(doc_id, not held_out(doc_id, mod), words, len(words), len(text) + 16)
+                if also:
+                    whole.append((not held_out(doc_id, mod), words))
                 if block.size >= BLOCK_BYTES:
                     yield from grouped(block.rows(number, buckets, folder), BLOCK_ARROW)
-                    number, block = number + 1, Block()
+                    if also:
+                        yield from grouped(also(number, whole, folder), BLOCK_ARROW)
+                    number, block, whole = number + 1, Block(), []
         if block.docs:
             yield from grouped(block.rows(number, buckets, folder), BLOCK_ARROW)
-        block = None
+            if also:
+                yield from grouped(also(number, whole, folder), BLOCK_ARROW)
+        block = whole = None
         trim()
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

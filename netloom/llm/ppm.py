@@ -2,9 +2,10 @@
 
 The model is a trie of byte contexts with the counts of the symbols that followed them in the
 training documents.  A text is its lower-cased words, each coded byte by byte with a closing
-space, then one end symbol.  The context of a byte is at most ``ORDER`` bytes back and never
-reaches beyond the space before its word, so a word costs the same wherever it stands and the
-corpus' distinct words are coded once each.  A symbol is predicted from the longest context
+space, then one end symbol.  The context of a byte is the ``ORDER`` bytes before it in the running
+text (``running``; a text starts after a space), or never reaches beyond the space before its
+word: then a word costs the same wherever it stands and the corpus' distinct words are coded once
+each.  A symbol is predicted from the longest context
 that the trie has; where it hasn't followed, an escape (distinct symbols / (occurrences +
 distinct symbols)) leads to the next shorter context, in which the symbols of the longer one
 are excluded; below order 0 all 257 symbols not yet excluded are alike.
@@ -12,7 +13,10 @@ are excluded; below order 0 all 257 symbols not yet excluded are alike.
 A pass over the text leaves documents as word numbers and each block's distinct words (see
 ``common.blocks``).  Words meet by hash: their counts are summed over all blocks, their contexts
 counted, contexts meet by their last two bytes so that every context finds its shorter ones,
-and the costs go back the same way.  Only contexts of at most one byte (at most 257 x 257
+and the costs go back the same way.  With running contexts each block also leaves its text and
+its distinct longest contexts with their symbols, dealt by the context's last two bytes; there
+they are summed over all blocks, give the shorter contexts and are priced, and the costs go back
+to the block, where every position looks up its own.  Only contexts of at most one byte (at most 257 x 257
 counts, a fixed bound) are sent to all tasks.
 
 Defined results: a null text is empty and consists of the end token alone; a null id is never
@@ -22,6 +26,7 @@ held out; with no training documents every symbol costs log10(257) and c is 0 th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import (
-    WORD, blocks, grouped, pack_doubles, pack_words, partitions, read_block, saved, unpack_doubles, unpack_ints, unpack_words,
+    SEP, WORD, blocks, get_file, grouped, pack_doubles, pack_ints, pack_words, partitions, put_file, read_block, saved, squeeze, swell, unpack_doubles,
+    unpack_ints, unpack_words,
 )
 
 ORDER, SYMBOLS, END = 5, 257, 256
@@ -37,8 +43,11 @@ SPACE = 32
 #: A key holds, from the top, the order, ORDER context bytes and nine bits of symbol.
 _SYM, _CTX = np.int64(9), np.int64(8 * ORDER)
 _TOP = np.int64(_SYM + _CTX)
-#: Words whose contexts one numpy call handles.
-CHUNK = 1 << 17
+#: Words whose contexts one numpy call handles; bytes of running text.
+CHUNK, CHUNK_BYTES = 1 << 17, 1 << 20
+#: Running contexts are dealt by a hash of their last two bytes; rows of contexts of one byte.
+DEALS = 256
+ONES = -1 - DEALS
 
 
 def words(text: bytes) -> list[bytes]:
@@ -48,8 +57,14 @@ def words(text: bytes) -> list[bytes]:
 def _positions(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, window, reach, word) of each coded byte: ``window`` has the ORDER bytes before it,
     of which ``reach`` belong to the context."""
-    lens = np.fromiter(map(len, batch), np.int64, len(batch)) + 2
-    flat = np.frombuffer(b"".join([b" " + w + b" " for w in batch]), np.uint8).astype(np.int64)
+    return _windows([b" " + w + b" " for w in batch])
+
+
+def _windows(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_positions``, of parts whose first byte is context only; SEP stands for the end symbol."""
+    lens = np.fromiter(map(len, batch), np.int64, len(batch))
+    flat = np.frombuffer(b"".join(batch), np.uint8).astype(np.int64)
+    flat[flat == SEP[0]] = END
     start = np.repeat(np.cumsum(lens) - lens, lens)
     back = np.arange(len(flat)) - start
     window = np.zeros(len(flat), np.int64)
@@ -87,6 +102,108 @@ def grams(batch: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _summed(np.concatenate(keys), np.concatenate(sums))
 
 
+# ---- running contexts ----------------------------------------------------------------------------
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of their differences."""
+    return squeeze(np.diff(keys, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(swell(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel())
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about CHUNK_BYTES, each with the place of its first."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= CHUNK_BYTES or i == len(texts) - 1:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+
+
+def _running(block: int, documents: list[tuple[bool, list[bytes]]], folder: str) -> Iterator[dict]:
+    """Leave a block's running texts in the shared folder; rows of its distinct longest contexts and
+    symbols (a: keys, b: counts in training documents), by deal, and of its contexts of one byte."""
+    own = [b" " + b"".join([w + b" " for w in words_]) + SEP for _, words_ in documents]
+    put_file(f"{folder}/{block}.text", squeeze(b"".join(own)))
+    learnt = np.array([flag for flag, _ in documents], np.int64)
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start, piece in _pieces(own):
+        symbol, window, reach, part = _windows(piece)
+        more, n = _summed(_key(reach, window, symbol), learnt[start + part])
+        keys, sums = _summed(np.concatenate([keys, more]), np.concatenate([sums, n]))
+    one, n = _summed(_key(1, (keys >> _SYM) & 255, keys & 511), sums)
+    yield {"block": block, "bucket": ONES, "a": _pack_keys(one), "b": pack_ints(n), "c": b""}
+    deal = ((((keys >> _SYM) & 0xFFFF) * 0x9E3779B1) & 0xFFFFFFFF) >> 24
+    order = np.argsort(deal, kind="stable")
+    keys, sums, deal = keys[order], sums[order], deal[order]
+    cuts = np.flatnonzero(deal[1:] != deal[:-1]) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+        yield {"block": block, "bucket": -1 - int(deal[i]), "a": _pack_keys(keys[i:j]), "b": pack_ints(sums[i:j]), "c": b""}
+
+
+def _nested(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct longest contexts with their counts, and all shorter ones of two bytes and more."""
+    levels, carried = [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for order in range(ORDER, 1, -1):
+        own = keys >> _TOP == order
+        levels.append(_summed(np.concatenate([keys[own], carried[0]]), np.concatenate([sums[own], carried[1]])))
+        k, n = levels[-1]
+        carried = _key(order - 1, k >> _SYM, k & 511), n
+    return tuple(np.concatenate(x) for x in zip(*levels[::-1], strict=True))
+
+
+def _priced(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by deal: all contexts that end alike are summed, priced and given back by block.
+    A deal's rows stay packed, so only its distinct contexts are in memory as numbers."""
+    schema = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("costs", pa.binary())])
+    held: list[dict] = []
+
+    def rows() -> Iterator[dict]:
+        keys, sums, more = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for i, row in enumerate(held):
+            more.append((_unpack_keys(row["a"]), unpack_ints(row["b"]).astype(np.int64)))
+            if sum(len(k) for k, _ in more) > max(len(keys), 1 << 18) or i == len(held) - 1:
+                keys, sums = _summed(np.concatenate([keys, *(k for k, _ in more)]), np.concatenate([sums, *(n for _, n in more)]))
+                more = []
+        log = costs(*_nested(keys, sums), keys, shared.value)
+        for row in held:
+            yield {"block": row["block"], "keys": row["a"], "costs": pack_doubles(log[np.searchsorted(keys, _unpack_keys(row["a"]))])}
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["bucket"] != held[0]["bucket"]:
+                yield from grouped(rows(), schema, 64)
+                held.clear()
+            held.append(row)
+    if held:
+        yield from grouped(rows(), schema, 64)
+        held.clear()
+
+
+def _ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(_unpack_keys(a.as_py())), pa.array(unpack_ints(b.as_py()).astype(np.int64))], ["key", "n"])
+
+
+def _text_costs(folder: str, block: int, prices: list[dict]) -> np.ndarray:
+    """The cost of each of a block's texts."""
+    keys, log = np.concatenate([_unpack_keys(r["keys"]) for r in prices]), np.concatenate([unpack_doubles(r["costs"]) for r in prices])
+    order = np.argsort(keys)
+    keys, log = keys[order], log[order]
+    own = [t + SEP for t in swell(get_file(f"{folder}/{block}.text")).split(SEP)[:-1]]
+    out = np.zeros(len(own))
+    for start, piece in _pieces(own):
+        symbol, window, reach, part = _windows(piece)
+        out[start : start + len(piece)] = np.bincount(part, log[np.searchsorted(keys, _key(reach, window, symbol))], len(piece))
+    return out
+
+
 class Short:
     """Counts of contexts of no and of one byte."""
 
@@ -171,52 +288,8 @@ def costs(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, short: Short)
     return out
 
 
-def score(docs: DataFrame, mod: int = 5) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
-
-    ``base_score`` is that of a word model with half a count added to every token; ``score`` is
-    the log10 probability of the text under PPM.  Both learn from documents whose crc32
-    remainder is not 1.
-    """
-    spark = docs.sparkSession
-    parts = max(partitions(spark), 12)
-    found, folder = blocks(docs, words, mod, max(64, 2 * parts), "ppm-blocks")
-    found = saved(found, "ppm-words")
-
-    # Distinct words of each bucket with their counts in training documents, over all blocks.
-    lexicon_schema = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-
-    def lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            bucket, count = None, {}
-            packed = lambda: {"bucket": bucket, "words": pack_words(list(count)), "counts": pack_doubles(np.fromiter(count.values(), float, len(count)))}
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if row["bucket"] != bucket:
-                        if bucket is not None:
-                            yield packed()
-                        bucket, count = row["bucket"], {}
-                    for word, n in zip(unpack_words(row["a"]), unpack_ints(row["c"]).tolist(), strict=True):
-                        count[word] = count.get(word, 0) + n
-            if bucket is not None:
-                yield packed()
-
-        yield from grouped(rows(), lexicon_schema, 8)
-
-    dealt = found.select("bucket", "a", "c").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    lexicon_rows = saved(dealt.mapInArrow(lexicon, "bucket int, words binary, counts binary"), "ppm-lexicon")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = unpack_doubles(row["counts"]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], ["n", "v"])
-
-    # The end token: one of each training document; the two numbers of the corpus are one row.
-    ends = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod, F.lit(0)) != 1).count()
-    total = lexicon_rows.mapInArrow(counted, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    tokens, kinds = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
-
+def _word_values(lexicon_rows: DataFrame, ends: int, parts: int) -> tuple[DataFrame, float]:
+    """(bucket, words, counts, costs) of all words, contexts restarting at each, and the end's cost."""
     gram_schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +308,7 @@ def score(docs: DataFrame, mod: int = 5) -> DataFrame:
     if ends:
         extra = np.array([_key(0, np.int64(0), np.int64(END)), _key(1, np.int64(SPACE), np.int64(END))]).ravel()
         keys, sums = np.r_[keys, extra], np.r_[sums, ends, ends]
-    shared = spark.sparkContext.broadcast(Short(keys, sums))
+    shared = lexicon_rows.sparkSession.sparkContext.broadcast(Short(keys, sums))
     end_cost = float(costs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([_key(1, np.int64(SPACE), np.int64(END))]).ravel(), shared.value)[0])
 
     cost_schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("costs", pa.binary())])
@@ -289,7 +362,66 @@ def score(docs: DataFrame, mod: int = 5) -> DataFrame:
             out.append({"bucket": row["bucket"], "words": row["words"], "counts": row["counts"], "costs": pack_doubles(np.concatenate([np.zeros(0), *sums]))})
         return pa.Table.from_pylist(out, value_schema)
 
-    values = lexicon_rows.groupBy("bucket").cogroup(price.groupBy("bucket")).applyInArrow(valued, "bucket int, words binary, counts binary, costs binary")
+    return lexicon_rows.groupBy("bucket").cogroup(price.groupBy("bucket")).applyInArrow(valued, "bucket int, words binary, counts binary, costs binary"), end_cost
+
+
+def score(docs: DataFrame, mod: int = 5, running: bool = False) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
+
+    ``base_score`` is that of a word model with half a count added to every token; ``score`` is
+    the log10 probability of the text under PPM.  Both learn from documents whose crc32
+    remainder is not 1.  ``running`` takes contexts from the running text, not from the word.
+    """
+    spark = docs.sparkSession
+    parts = max(partitions(spark), 12)
+    found, folder = blocks(docs, words, mod, max(64, 2 * parts), "ppm-blocks", _running if running else None)
+    every = saved(found, "ppm-words")
+    found = every.where("bucket >= 0")
+
+    # Distinct words of each bucket with their counts in training documents, over all blocks.
+    lexicon_schema = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+
+    def lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            bucket, count = None, {}
+            packed = lambda: {"bucket": bucket, "words": pack_words(list(count)), "counts": pack_doubles(np.fromiter(count.values(), float, len(count)))}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["bucket"] != bucket:
+                        if bucket is not None:
+                            yield packed()
+                        bucket, count = row["bucket"], {}
+                    for word, n in zip(unpack_words(row["a"]), unpack_ints(row["c"]).tolist(), strict=True):
+                        count[word] = count.get(word, 0) + n
+            if bucket is not None:
+                yield packed()
+
+        yield from grouped(rows(), lexicon_schema, 8)
+
+    dealt = found.select("bucket", "a", "c").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    lexicon_rows = saved(dealt.mapInArrow(lexicon, "bucket int, words binary, counts binary"), "ppm-lexicon")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = unpack_doubles(row["counts"]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], ["n", "v"])
+
+    # The end token: one of each training document; the two numbers of the corpus are one row.
+    ends = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod, F.lit(0)) != 1).count()
+    total = lexicon_rows.mapInArrow(counted, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    tokens, kinds = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
+
+    if running:
+        few = every.where(F.col("bucket") == ONES).select("a", "b").mapInArrow(_ones, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").collect()
+        keys, sums = np.array([r["key"] for r in few], np.int64), np.array([r["n"] for r in few], np.int64)
+        none, n = _summed(_key(0, keys, keys & 511), sums)
+        shared = spark.sparkContext.broadcast(Short(np.r_[keys, none], np.r_[sums, n]))
+        dealt = every.where(f"bucket < 0 and bucket > {ONES}").select("block", "bucket", "a", "b").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        price = dealt.mapInArrow(partial(_priced, shared=shared), "block long, keys binary, costs binary")
+        values, end_cost = lexicon_rows.withColumn("costs", F.col("counts")), 0.0
+    else:
+        values, end_cost = _word_values(lexicon_rows, ends, parts)
 
     answer_schema = pa.schema([("block", pa.int64()), ("lids", pa.binary()), ("counts", pa.binary()), ("costs", pa.binary())])
 
@@ -308,21 +440,25 @@ def score(docs: DataFrame, mod: int = 5) -> DataFrame:
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     low = np.log10(tokens + 0.5 * (kinds + 1))
 
-    def assemble(table: pa.Table) -> pa.Table:
+    def assemble(table: pa.Table, prices: pa.Table | None = None) -> pa.Table:
         rows = table.to_pylist()
         lids = np.concatenate([unpack_ints(r["lids"]) for r in rows]).astype(np.int64)
         count, cost = np.zeros(len(lids)), np.zeros(len(lids))
         count[lids] = np.concatenate([unpack_doubles(r["counts"]) for r in rows])
         cost[lids] = np.concatenate([unpack_doubles(r["costs"]) for r in rows])
         documents, flat, lens = read_block(folder, rows[0]["block"])
+        by_text = _text_costs(folder, rows[0]["block"], prices.to_pylist()) if running else None
         base = np.log10(count + 0.5) - low
         own = np.repeat(np.arange(len(lens)), lens)
         end_base, n = float(np.log10(ends + 0.5) - low), len(lens)
         columns = [
             pa.array([d for d, _ in documents], pa.int64()), pa.array([not learnt for _, learnt in documents]), pa.array(lens.astype(np.int64) + 1),
             pa.array(np.bincount(own, count[flat] > 0, n).astype(np.int64) + (ends > 0)), pa.array(np.full(n, tokens, np.int64)),
-            pa.array(np.bincount(own, base[flat], n) + end_base), pa.array(np.bincount(own, cost[flat], n) + end_cost),
+            pa.array(np.bincount(own, base[flat], n) + end_base), pa.array(by_text if running else np.bincount(own, cost[flat], n) + end_cost),
         ]
         return pa.Table.from_arrays(columns, schema=pa.schema(fields))
 
-    return answers.groupBy("block").applyInArrow(assemble, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    types = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if running:
+        return answers.groupBy("block").cogroup(price.groupBy("block")).applyInArrow(lambda left, right: assemble(left, right), types)
+    return answers.groupBy("block").applyInArrow(lambda table: assemble(table), types)

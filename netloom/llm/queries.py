@@ -27,7 +27,7 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every text under PPM and a word model."""
-    return ppm.score(_table(spark, sf_dir, "documents"))
+    return ppm.score(_table(spark, sf_dir, "documents"), running=True)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

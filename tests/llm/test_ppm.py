@@ -99,3 +99,54 @@ def test_probabilities_of_a_context_sum_to_one(spark):
         window = sum(b << (8 * k) for k, b in enumerate(reversed(context)))
         asked = np.array([ppm._key(reach, np.int64(window), np.int64(s)) for s in range(257)]).ravel()
         assert (10 ** ppm.costs(keys, counts, asked, short)).sum() == pytest.approx(1)
+
+
+def brute_running(rows):
+    """The score of each text, contexts across words, straight from the definition."""
+    train = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
+    coded = [(i, [32, *b"".join(w + b" " for w in WORDS.findall((t or "").encode().lower())), 256]) for i, t in rows]
+    context = defaultdict(Counter)
+    for i, full in coded:
+        for j in range(1, len(full)) if train(i) else ():
+            for o in range(min(j, ppm.ORDER) + 1):
+                context[tuple(full[j - o : j])][full[j]] += 1
+    out = []
+    for i, full in coded:
+        total = 0.0
+        for j in range(1, len(full)):
+            gone, found = set(), False
+            for o in range(min(j, ppm.ORDER), -1, -1):
+                left = {s: k for s, k in context.get(tuple(full[j - o : j]), {}).items() if s not in gone}
+                if not left:
+                    continue
+                weight = sum(left.values()) + len(left)
+                if full[j] in left:
+                    total, found = total + math.log10(left[full[j]] / weight), True
+                    break
+                total += math.log10(len(left) / weight)
+                gone |= set(left)
+            if not found:
+                total -= math.log10(257 - len(gone))
+        out.append((i, total))
+    return out
+
+
+@pytest.mark.parametrize("size", [8 << 20, 200])
+def test_running_contexts_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(common, "BLOCK_BYTES", size)
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", size // 2)
+    rows = [*documents(2, 60), (100, None), (101, ""), (None, "the end of it"), (102, "zzz unseen ☃"), (103, "ab " * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, plain = ppm.score(df, running=True).collect(), {r["doc_id"]: r for r in ppm.score(df).collect()}
+    want = dict(brute_running(rows))
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-9) and len(got) == len(rows)
+    assert all(tuple(r)[1:5] == tuple(plain[r["doc_id"]])[1:5] and r["base_score"] == pytest.approx(plain[r["doc_id"]]["base_score"]) for r in got)
+
+
+def test_query_reads_contexts_across_words(spark):
+    from netloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.op2_ppm(spark, sf).where("held_out").groupBy().sum("score", "n_tokens", "base_score").first()
+    words_ = ppm.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").groupBy().sum("score").first()
+    assert got["sum(score)"] > words_["sum(score)"]
