@@ -2,7 +2,8 @@
 
 Text that a byte-pair vocabulary has seen packs several characters into a token; a random
 string does not.  A long run of key characters whose characters per token fall below a
-threshold is reported, after digests of known lengths, UUIDs and identifiers are set aside.
+threshold is reported, after digests of known lengths, UUIDs and identifiers, whose longer parts
+the vocabulary must pack well, are set aside.
 
 Defined results: a null text is empty; spans count code points, the end exclusive; a random
 string that overlaps a span of a fixed pattern is not reported again; every row gives a row.
@@ -26,13 +27,18 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 HINT = re.compile(r"(?ia)passw|secret|token|api_?key")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Words joined by signs, each with digits at one end at most.
 IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+[0-9]*|[0-9]+[A-Za-z]*)(?:[+/_=-]+|$))*")
+#: Parts of an identifier that are long enough to be random.
+PART = re.compile(r"[A-Za-z0-9]{8,}")
+#: Words of one case or capitalised; other languages' pack less well than the threshold (2 to 2.5),
+#: random letters still worse (1.7; in 97 of 100 below this).
+ONE_CASE, WORD_RATIO = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 2.05
 #: Characters per token below which a run counts as random.
 RATIO = 2.5
 
@@ -57,17 +63,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_known(run: str) -> bool:
-    """Whether a run is a digest, a UUID or an identifier."""
-    return (len(run) in DIGESTS and HEXADECIMAL.fullmatch(run) is not None) or UUID.fullmatch(run) is not None or IDENTIFIER.fullmatch(run) is not None
+    """Whether a run is a digest or a UUID."""
+    return (len(run) in DIGESTS and HEXADECIMAL.fullmatch(run) is not None) or UUID.fullmatch(run) is not None
+
+
+def is_identifier(run: str, encode, ratio: float = RATIO) -> bool:
+    """Whether a run is words joined by signs, with no long part that packs badly."""
+    least = lambda p: min(ratio, WORD_RATIO) if ONE_CASE.fullmatch(p) else ratio
+    return IDENTIFIER.fullmatch(run) is not None and all(len(p) >= least(p) * len(encode(p)) for p in PART.findall(run))
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encode, ratio: float = RATIO) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         start, end, run = m.start(), m.end(), m[0]
-        if run.isalpha() or is_known(run) or any(s < end and start < e for s, _, e in base):
+        if is_known(run) or any(s < end and start < e for s, _, e in base):
             continue
-        if len(run) < ratio * len(encode(run)):
+        if len(run) < ratio * len(encode(run)) and not is_identifier(run, encode, ratio):
             out.append((start, 3, end))
     return out
 

@@ -56,6 +56,20 @@ def test_random_against_the_vocabulary():
     assert secrets.random_spans("the quick brown fox jumps over the lazy dog " * 50, [], encode) == []
 
 
+@pytest.mark.parametrize("letters,size", [("aA", 16), ("aA", 40), ("a", 16), ("a", 30), ("0", 16), ("0", 20), ("aA0", 16), ("aA0", 19)])
+def test_random_strings_of_one_class(letters, size):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ENGLISH, "rb"))}
+    encode = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    of = {"a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}
+    pool, rng = list("".join(of[k] for k in letters)), np.random.default_rng(1)
+    strings = ["".join(rng.choice(pool, size)) for _ in range(100)]
+    found = sum(len(secrets.random_spans(f"a {s} b", [], encode)) for s in strings)
+    # Digits lie close to the threshold, which alone decides.
+    assert found == sum(len(s) < 2.5 * len(encode(s)) for s in strings) > 50 if letters == "0" else found >= 93
+    for plain in ("nichteinungeinkeit", "enverchkeitbelich", "internationalization", "some_long_identifier_name_12", "/usr/local/lib/python/site/packages", "=" * 40):
+        assert secrets.random_spans(f"a {plain} b", [], encode) == []
+
+
 # ---- mixing --------------------------------------------------------------------------------------
 
 
