@@ -255,7 +255,9 @@ def find_survival_variable(df: DataFrame, duration: str, event: str, columns: Se
 
 
 def _single(df: DataFrame, duration: str, event: str, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    frame = df.select(F.col(duration).cast("double").alias("t"), (F.col(event).cast("int") != 0).alias("e"), F.col(f"`{column}`").cast("double").alias("x")).na.drop().limit(COX_MOST).toPandas()
+    frame = df.select(F.col(duration).cast("double").alias("t"), (F.col(event).cast("int") != 0).alias("e"), F.col(f"`{column}`").cast("double").alias("x")).na.drop().limit(COX_MOST + 1).toPandas()
+    if len(frame) > COX_MOST:
+        raise ValueError(f"a Cox model takes at most {COX_MOST} subjects")
     x = frame[["x"]].to_numpy(float)
     return (x - x.mean()) / (x.std() or 1), frame["t"].to_numpy(float), frame["e"].to_numpy(bool)
 

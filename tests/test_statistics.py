@@ -165,3 +165,14 @@ def test_cox_and_univariate(spark):
     assert regress.find_survival_variable(df, "t", "e", ["a", "b"]).first()["variable"] == "a"
     with pytest.raises(NotImplementedError):
         regress.boosted()
+
+
+def test_single_cox_models_never_drop_subjects(spark, monkeypatch):
+    from netloom.operators import regress
+
+    df = spark.createDataFrame([(float(i + 1), i % 2, float(i % 7)) for i in range(30)], "t double, e int, x double")
+    monkeypatch.setattr(regress, "COX_MOST", 30)
+    assert regress.find_survival_variable(df, "t", "e", ["x"]).count() == 1
+    monkeypatch.setattr(regress, "COX_MOST", 29)
+    with pytest.raises(ValueError, match="at most 29 subjects"):
+        regress.find_survival_variable(df, "t", "e", ["x"])
