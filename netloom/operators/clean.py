@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that imputation looks for neighbours in, at most: those with the smallest md5 of all values.
-DONORS = 5000
+#: Distinct rows of a block that imputation pairs with others.
+BLOCK = 2000
 
 
 def finite(column: str) -> Column:
@@ -45,11 +45,12 @@ def clean(df: DataFrame, columns: Sequence[str], method: str = "mixed", thresh:
     return table, selector
 
 
-def _imputed(x: np.ndarray, donors: np.ndarray, k: int) -> np.ndarray:
-    """Missing values as means of the k donors nearest by the values both have, by inverse distance."""
-    out, have = x.copy(), ~np.isnan(donors)
+def _near(x: np.ndarray, donors: np.ndarray, copies: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, column, donors, distances) of each missing value: the nearest donors, by the values both
+    have, that make up k rows with their copies."""
+    have = ~np.isnan(donors)
     filled = np.where(have, donors, 0)
-    for i in np.flatnonzero(np.isnan(x).any(1)):
+    for i in range(len(x)):
         own = ~np.isnan(x[i])
         both = have & own
         n = both.sum(1)
@@ -57,32 +58,53 @@ def _imputed(x: np.ndarray, donors: np.ndarray, k: int) -> np.ndarray:
         d = np.where(n > 0, np.sqrt(d * x.shape[1] / np.maximum(n, 1)), np.inf)
         for j in np.flatnonzero(~own):
             some = np.flatnonzero(have[:, j] & np.isfinite(d))
-            if not len(some):
-                out[i, j] = np.nanmean(donors[:, j]) if have[:, j].any() else np.nan
-                continue
             near = some[np.argsort(d[some], kind="stable")[:k]]
-            same = d[near] == 0
-            w = same.astype(float) if same.any() else 1 / d[near]
-            out[i, j] = (w * donors[near, j]).sum() / w.sum()
-    return out
-
-
-def impute(df: DataFrame, columns: Sequence[str], k: int = 5, categorical: Sequence[str] = (), donors: int = DONORS) -> DataFrame:
-    """Fill nulls from the ``k`` nearest rows; categorical columns are rounded.  Neighbours come from
-    at most ``donors`` rows, a bound that makes them fit every task."""
-    key = F.md5(F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns)).cast("binary"))
-    some = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns), key.alias("_key")).orderBy("_key").limit(donors).drop("_key").toPandas()
-    shared = df.sparkSession.sparkContext.broadcast(some.to_numpy(float))
-
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            near = near[: np.searchsorted(np.cumsum(copies[near]), k) + 1]
+            yield i, int(j), near, d[near]
+
+
+def impute(df: DataFrame, columns: Sequence[str], k: int = 5, categorical: Sequence[str] = ()) -> DataFrame:
+    """Fill nulls with means of the ``k`` nearest of all rows by inverse distance, or the column's mean
+    where no row compares; categorical columns are rounded.
+
+    Equal rows are one with a count.  Blocks of rows with gaps meet blocks of all rows; each pair
+    leaves the nearest of every gap, and the nearest of these fill it.  Ties go to the smaller md5.
+    """
+    spark = df.sparkSession
+    values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns]
+    key = F.md5(F.concat_ws(",", *(F.coalesce(v.cast("string"), F.lit("")) for v in values)).cast("binary"))
+    rows = df.select(key.alias("key"), F.array(*values).alias("x")).groupBy("key").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    gap = F.exists("x", lambda v: v.isNull())
+    sizes = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(gap).alias("gaps")).first()
+    means = df.agg(*(F.avg(v) for v in values)).first()
+    n_all, n_gaps = (max(-(-int(sizes[c]) // BLOCK), 1) for c in ("all", "gaps"))
+    packed = lambda t, n, name: t.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias(f"{name}_block")).agg(F.sort_array(F.collect_list(F.struct("key", "x", "n"))).alias(name))
+    pairs = packed(rows.where(gap), n_gaps, "a").crossJoin(packed(rows, n_all, "b")).repartition(min(n_gaps * n_all, 10_000), "a_block", "b_block")
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = _imputed(frame[list(columns)].to_numpy(float), shared.value, k)
-            for i, c in enumerate(columns):
-                frame[c] = np.round(x[:, i]) if c in categorical else x[:, i]
-            yield frame
-
-    doubled = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in columns})
-    return doubled.mapInPandas(fill, doubled.schema)
+            for a, b in zip(frame["a"], frame["b"], strict=True):
+                x, donors = (np.array([list(r["x"]) for r in side], float) for side in (a, b))
+                copies = np.array([r["n"] for r in b])
+                out = [(a[i]["key"], j, float(d), b[at]["key"], float(donors[at, j]), int(copies[at])) for i, j, near, dist in _near(x, donors, copies, k) for at, d in zip(near, dist, strict=True)]
+                yield pd.DataFrame(out, columns=["key", "j", "d", "donor", "v", "n"])
+
+    def settled(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (name, j), g in frame.sort_values(["key", "j", "d", "donor"]).groupby(["key", "j"], sort=False):
+            copies = np.minimum(g["n"].to_numpy(), k)
+            d, v = (np.repeat(g[c].to_numpy(), copies)[:k] for c in ("d", "v"))
+            w = (d == 0).astype(float) if (d == 0).any() else 1 / d
+            out.append((name, j, (w * v).sum() / w.sum()))
+        return pd.DataFrame(out, columns=["key", "j", "v"])
+
+    found = pairs.mapInPandas(nearest, "key string, j int, d double, donor string, v double, n long")
+    deal = F.pmod(F.xxhash64("key"), F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_gaps)))
+    filled = found.groupBy(deal).applyInPandas(settled, "key string, j int, v double")
+    filled = filled.groupBy(F.col("key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("_filled"))
+    joined = df.withColumn("_own", key).join(filled, F.col("_own") == F.col("_key"), "left")
+    new = {c: F.coalesce(v, F.element_at("_filled", F.lit(i)), F.lit(means[i]).cast("double")) for i, (c, v) in enumerate(zip(columns, values, strict=True))}
+    return joined.withColumns({c: F.rint(v) if c in categorical else v for c, v in new.items()}).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def dummies(df: DataFrame, columns: dict[str, Sequence], thresh: float = 0, drop_first: bool = True) -> DataFrame:

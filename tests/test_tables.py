@@ -127,3 +127,16 @@ def test_plot_tables(spark):
     top = frame(spark, marker=["m", "n", "o"], pval_corr=[0.01, 0.2, 0.001])
     assert [r["marker"] for r in plotdata.top_markers(top, 1).collect()] == ["o"]
     assert [r[0] for r in top.select(plotdata.color_below(F.col("pval_corr"))).collect()].count("background-color: green") == 2
+
+
+def test_imputation_searches_all_rows(spark, monkeypatch):
+    """Each gap's value has one donor at distance 0 among 7,000 distinct rows."""
+    rows = [(i, float(i), float(10 * i)) for i in range(7000)] + [(10_000 + i, float(i), None) for i in range(0, 7000, 500)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = {r["id"]: r["b"] for r in clean.impute(df, ["a", "b"], k=3).where("id >= 10000").collect()}
+    # The donor at distance 0 alone counts.
+    assert got == {10_000 + i: 10.0 * i for i in range(0, 7000, 500)}
+    hot = spark.createDataFrame([(i, 5.0, 1.0) for i in range(50)] + [(60, 5.5, 9.0), (61, 9.0, 8.0), (62, 9.0, None), (63, 5.5, None)], "id long, a double, b double")
+    monkeypatch.setattr(clean, "BLOCK", 2)
+    got = {r["id"]: r["b"] for r in clean.impute(hot, ["a", "b"], k=2).where("b is not null and id > 60").collect()}
+    assert got[62] == 8.0 and got[63] == 9.0
