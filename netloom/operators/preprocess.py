@@ -66,18 +66,20 @@ def _principal(x: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
-    return np.argpartition(d, min(k, len(b)) - 1, 1)[:, : min(k, len(b))]
+    k, step = min(k, len(b)), max((1 << 22) // max(len(b), 1), 1)
+    out = np.empty((len(a), k), np.int64)
+    for i in range(0, len(a), step):
+        own = a[i : i + step]
+        d = (own * own).sum(1)[:, None] + (b * b).sum(1) - 2 * own @ b.T
+        out[i : i + step] = np.argpartition(d, k - 1, 1)[:, :k]
+    return out
 
 
 def mutual_pairs(a: np.ndarray, b: np.ndarray, k: int = NEAREST) -> np.ndarray:
     """(i, j) such that each is among the other's k nearest."""
-    there, back = _nearest(a, b, k), _nearest(b, a, k)
-    one = np.zeros((len(a), len(b)), bool)
-    one[np.arange(len(a))[:, None], there] = True
-    two = np.zeros_like(one)
-    two[back, np.arange(len(b))[:, None]] = True
-    return np.argwhere(one & two)
+    there = np.arange(len(a))[:, None] * len(b) + _nearest(a, b, k)
+    back = _nearest(b, a, k) * len(b) + np.arange(len(b))[:, None]
+    return np.stack(np.divmod(np.intersect1d(there, back), len(b)), 1)
 
 
 def batch_correct(df: DataFrame, columns: Sequence[str], batch: str = "patient", node_id: str = "node_id", max_dims: int = 100, anchors: int = ANCHORS) -> DataFrame:
@@ -107,7 +109,7 @@ def batch_correct(df: DataFrame, columns: Sequence[str], batch: str = "patient",
             at, vector = own[pairs[:, 0]], placed[pairs[:, 1]] - own[pairs[:, 0]]
             moves.setdefault(b, []).append((at, vector, np.median(((at - at.mean(0)) ** 2).sum(1)) + 1e-12))
             own = _moved(own, *moves[b][-1])
-        placed = own if placed is None else np.vstack([placed, own])[-4 * anchors:]
+        placed = own if placed is None else np.vstack([placed, own])
     shared = df.sparkSession.sparkContext.broadcast(moves)
 
     def correct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
