@@ -97,19 +97,22 @@ def _assembled(docs: DataFrame, vocabulary: str, pattern: str, finish: Callable,
     def assemble(answers: pa.Table) -> pa.Table:
         _, table = _tables(shared.value)
         own: list[list[int]] = []
+        told = 0
         for row in answers.to_pylist():
             lids, counts, ids = (unpack_ints(row[k]) for k in ("lids", "counts", "ids"))
             own += [[]] * max(0, int(lids.max(initial=0)) + 1 - len(own))
+            told += len(lids)
             flat, ends = ids.tolist(), np.cumsum(counts).tolist()
             start = 0
             for lid, end in zip(lids.tolist(), ends, strict=True):
                 own[lid], start = flat[start:end], end
-        docs, flat, lens = read_block(folder, answers.column("block")[0].as_py())
+        dealt = read_block(folder, answers.column("block")[0].as_py())
+        dealt.check(told)
         make, start, out = finish(own, table), 0, []
-        for (doc_id, _), n in zip(docs, lens.tolist(), strict=True):
-            out.append(make(doc_id, flat[start : start + n].tolist()))
+        for (doc_id, _), n in zip(dealt.docs, dealt.lens.tolist(), strict=True):
+            out.append(make(doc_id, dealt.flat[start : start + n].tolist()))
             start += n
-        del own, make, flat
+        del own, make, dealt
         trim()
         return pa.Table.from_pylist(out, arrow)
 

@@ -14,9 +14,11 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,6 +187,22 @@ class Ids(dict):
         return n
 
 
+class Dealt(NamedTuple):
+    """A block's documents: (id, flag) of each, all word numbers by position, words per document;
+    the block's distinct words by number where they are kept, and how many they are."""
+
+    docs: list[tuple[int | None, bool]]
+    flat: np.ndarray
+    lens: np.ndarray
+    words: list[bytes]
+    kinds: int
+
+    def check(self, answered: int) -> None:
+        """A task that runs again must find its rows as before; if it hasn't, some answers are missing."""
+        if answered != self.kinds:
+            raise RuntimeError("the input changed while it was read; write it to a table first")
+
+
 class Block:
     """Documents as arrays of local word numbers, and the block's distinct words.
 
@@ -203,67 +221,72 @@ class Block:
         self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.uint32, count))
         self.size += size
 
-    def rows(self, block: int, buckets: int, folder: str) -> Iterator[dict]:
+    def rows(self, number: int, buckets: int, folder: str, also: Also | None = None) -> Iterator[dict]:
         """Write the documents to the shared folder; a row for each bucket of distinct words."""
         flat = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
         lens = np.array([len(p) for p in self.parts], np.uint32)
+        self.parts.clear()
         total = np.bincount(flat, minlength=len(self.ids))
         flagged = np.repeat(np.array([f for _, f in self.docs], bool), lens)
         learnt = np.bincount(flat[flagged], minlength=len(self.ids))
         order = np.argsort(-total, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        put_file(f"{folder}/{block}", pickle.dumps((self.docs, pack_ints(rank[flat]), pack_ints(lens))))
+        every, words = list(self.ids), []
+        if also:
+            words = [every[i] for i in order.tolist()]
+        dealt = Dealt(self.docs, rank[flat], lens, words, len(every))
+        data = pickle.dumps((self.docs, pack_ints(dealt.flat), pack_ints(lens), pack_words(words), len(every)))
+        # The number tells blocks with other documents apart, should a task find others when it runs again.
+        block = number << 23 | xxhash.xxh3_64_intdigest(data) >> 41
+        put_file(f"{folder}/{block}", data)
         deal: dict[int, list[bytes]] = {} if self.ids else {0: []}
-        for word in sorted(self.ids):
+        for word in sorted(every):
             deal.setdefault(zlib.crc32(word) % buckets, []).append(word)
-        for bucket, words in deal.items():
-            own = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-            yield {"block": block, "bucket": bucket, "a": pack_words(words), "b": pack_ints(rank[own]), "c": pack_ints(learnt[own])}
+        for bucket, own_words in deal.items():
+            own = np.fromiter(map(self.ids.__getitem__, own_words), np.int64, len(own_words))
+            yield {"block": block, "bucket": bucket, "a": pack_words(own_words), "b": pack_ints(rank[own]), "c": pack_ints(learnt[own])}
+        if also:
+            yield from also(block, dealt, learnt[order])
 
 
-def read_block(folder: str, block: int) -> tuple[list[tuple[int | None, bool]], np.ndarray, np.ndarray]:
-    """A block's documents: (id, flag) of each, all word numbers by position, words per document."""
-    docs, flat, lens = pickle.loads(get_file(f"{folder}/{block}"))
-    return docs, unpack_ints(flat), unpack_ints(lens)
+def read_block(folder: str, block: int) -> Dealt:
+    docs, flat, lens, words, kinds = pickle.loads(get_file(f"{folder}/{block}"))
+    return Dealt(docs, unpack_ints(flat), unpack_ints(lens), unpack_words(words), kinds)
 
 
+#: What makes more rows of a block: its number, its documents and its words' counts in flagged ones.
+Also = Callable[[int, Dealt, np.ndarray], Iterator[dict]]
 BLOCK_SCHEMA = "block long, bucket int, a binary, b binary, c binary"
 BLOCK_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], mod: int, buckets: int, name: str, also: Callable[[int, list[tuple[bool, list[bytes]]], str], Iterator[dict]] | None = None) -> tuple[DataFrame, str]:
+def blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], mod: int, buckets: int, name: str, also: Also | None = None) -> tuple[DataFrame, str]:
     """Cut documents into blocks: (rows of distinct words by bucket, folder with the documents).
 
     One pass reads the texts.  It leaves each block's documents, as word numbers by position,
     in a file of the shared folder, and returns the block's distinct words in packed rows
     (a: words, b: their local numbers, c: occurrences in flagged documents).  A block's number
-    joins the partition's number with a running one, so a task that runs again writes the same
-    file; every block gives at least one row.  ``also`` may add rows: it is given a block's number,
-    its documents as (flag, words) and the folder.
+    joins the partition's number, a running one and bits of its content, so a task that runs
+    again writes the same file; every block gives at least one row.  ``also`` may add rows, and
+    then the file keeps the words too.
     """
     folder = shared_dir(docs.sparkSession, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, block, whole = TaskContext.get().partitionId() << 32, Block(), []
+        number, block = TaskContext.get().partitionId() << 16, Block()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 words = split(text)
                 block.add(doc_id, not held_out(doc_id, mod), words, len(words), len(text) + 16)
-                if also:
-                    whole.append((not held_out(doc_id, mod), words))
                 if block.size >= BLOCK_BYTES:
-                    yield from grouped(block.rows(number, buckets, folder), BLOCK_ARROW)
-                    if also:
-                        yield from grouped(also(number, whole, folder), BLOCK_ARROW)
-                    number, block, whole = number + 1, Block(), []
+                    yield from grouped(block.rows(number, buckets, folder, also), BLOCK_ARROW)
+                    number, block = number + 1, Block()
         if block.docs:
-            yield from grouped(block.rows(number, buckets, folder), BLOCK_ARROW)
-            if also:
-                yield from grouped(also(number, whole, folder), BLOCK_ARROW)
-        block = whole = None
+            yield from grouped(block.rows(number, buckets, folder, also), BLOCK_ARROW)
+        block = None
         trim()
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,40 +1,41 @@
 """Language-model scoring by prediction by partial matching (PPM, escape method C).
 
 The model is a trie of byte contexts with the counts of the symbols that followed them in the
-training documents.  A text is its lower-cased words, each coded byte by byte with a closing
-space, then one end symbol.  The context of a byte is the ``ORDER`` bytes before it in the running
-text (``running``; a text starts after a space), or never reaches beyond the space before its
-word: then a word costs the same wherever it stands and the corpus' distinct words are coded once
-each.  A symbol is predicted from the longest context
-that the trie has; where it hasn't followed, an escape (distinct symbols / (occurrences +
-distinct symbols)) leads to the next shorter context, in which the symbols of the longer one
-are excluded; below order 0 all 257 symbols not yet excluded are alike.
+training documents.  A text is its lower-cased words, each closed by a space, then one end
+symbol; it starts after a space.  The context of a byte is the ``ORDER`` bytes before it, across
+words.  A symbol is predicted from the longest context that the trie has; where it hasn't
+followed, an escape (distinct symbols / (occurrences + distinct symbols)) leads to the next
+shorter context, in which the symbols of the longer one are excluded; below order 0 all 257
+symbols not yet excluded are alike.
 
 A pass over the text leaves documents as word numbers and each block's distinct words (see
-``common.blocks``).  Words meet by hash: their counts are summed over all blocks, their contexts
-counted, contexts meet by their last two bytes so that every context finds its shorter ones,
-and the costs go back the same way.  With running contexts each block also leaves its text and
-its distinct longest contexts with their symbols, dealt by the context's last two bytes; there
-they are summed over all blocks, give the shorter contexts and are priced, and the costs go back
-to the block, where every position looks up its own.  Only contexts of at most one byte (at most 257 x 257
-counts, a fixed bound) are sent to all tasks.
+``common.blocks``), and the block's distinct longest contexts with their symbols.  From a word's
+fifth byte on a context lies within the word, so it is made once per distinct word; the first
+four bytes are made per position.  Words meet by hash and contexts by their last two bytes, so
+that every context finds its shorter ones: counts are summed (first within a task, then per
+deal), priced once per distinct context, and costs go back to the blocks, where every position
+looks up its own.  A deal's sums are all that a task holds; what the blocks ask streams past
+them, hot deals in several tasks.  Only contexts of at most one byte (at most 257 x 257 counts,
+a fixed bound) are sent to all tasks.
 
 Defined results: a null text is empty and consists of the end token alone; a null id is never
-held out; with no training documents every symbol costs log10(257) and c is 0 throughout.
+held out; repeated rows each have a row, and count as often as they occur; a text or word of any
+length is coded whole; other columns are ignored; with no training documents every symbol costs
+log10(257) and c is 0 throughout; an empty table has no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import (
-    SEP, WORD, blocks, get_file, grouped, pack_doubles, pack_ints, pack_words, partitions, put_file, read_block, saved, squeeze, swell, unpack_doubles,
+    SEP, WORD, Dealt, blocks, grouped, pack_doubles, pack_ints, pack_words, partitions, read_block, saved, squeeze, swell, trim, unpack_doubles,
     unpack_ints, unpack_words,
 )
 
@@ -43,25 +44,22 @@ SPACE = 32
 #: A key holds, from the top, the order, ORDER context bytes and nine bits of symbol.
 _SYM, _CTX = np.int64(9), np.int64(8 * ORDER)
 _TOP = np.int64(_SYM + _CTX)
-#: Words whose contexts one numpy call handles; bytes of running text.
-CHUNK, CHUNK_BYTES = 1 << 17, 1 << 20
-#: Running contexts are dealt by a hash of their last two bytes; rows of contexts of one byte.
-DEALS = 256
-ONES = -1 - DEALS
+#: Positions that one numpy call handles; contexts that a task sums before they leave it.
+CHUNK, SUMS = 1 << 20, 1 << 22
+#: Contexts are dealt by a hash of their last two bytes; rows of contexts of one byte.
+DEALS_LOG = 9
+ONES = -1 - (1 << DEALS_LOG)
+#: Blocks that one task answers for a deal, at most.
+ASKED = 1 << 16
 
 
 def words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
-def _positions(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, window, reach, word) of each coded byte: ``window`` has the ORDER bytes before it,
-    of which ``reach`` belong to the context."""
-    return _windows([b" " + w + b" " for w in batch])
-
-
 def _windows(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``_positions``, of parts whose first byte is context only; SEP stands for the end symbol."""
+    """(symbol, window, back, part) of each byte but the first of every part: ``window`` has the
+    ORDER bytes before it, of which the part has ``back``; SEP stands for the end symbol."""
     lens = np.fromiter(map(len, batch), np.int64, len(batch))
     flat = np.frombuffer(b"".join(batch), np.uint8).astype(np.int64)
     flat[flat == SEP[0]] = END
@@ -69,11 +67,9 @@ def _windows(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     back = np.arange(len(flat)) - start
     window = np.zeros(len(flat), np.int64)
     for k in range(1, ORDER + 1):
-        before = np.zeros(len(flat), np.int64)
-        before[k:] = flat[:-k]
-        window |= np.where(back >= k, before, 0) << (8 * (k - 1))
+        window[k:] |= np.where(back[k:] >= k, flat[:-k], 0) << (8 * (k - 1))
     coded = back > 0
-    return flat[coded], window[coded], np.minimum(back, ORDER)[coded], np.repeat(np.arange(len(batch)), lens)[coded]
+    return flat[coded], window[coded], back[coded], np.repeat(np.arange(len(batch)), lens)[coded]
 
 
 def _key(order, window, symbol) -> np.ndarray:
@@ -90,19 +86,33 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def grams(batch: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, count) of every context and symbol in distinct words with their counts.  The longest
-    context of each byte is there even with a count of 0: its cost is needed."""
-    symbol, window, reach, word = _positions(batch)
-    n, keys, sums = counts[word], [_key(reach, window, symbol)], [counts[word]]
-    for order in range(ORDER):
-        some = (reach > order) & (n > 0)
-        keys.append(_key(np.full(int(some.sum()), order), window[some], symbol[some]))
-        sums.append(n[some])
-    return _summed(np.concatenate(keys), np.concatenate(sums))
+def _counted(keys: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the number of their flags: one sort of plain numbers."""
+    both = np.sort((keys << 1) | flag)
+    keys = both >> 1
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(both & 1, first) if len(first) else both
+
 
+class Sums:
+    """Distinct keys with their counts; what is added waits until it is as much as is there."""
 
-# ---- running contexts ----------------------------------------------------------------------------
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.wait: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.wait.append((keys, counts))
+        self.size += len(keys)
+        if self.size > max(len(self.keys), 1 << 18):
+            self.close()
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.wait:
+            self.keys, self.counts = _summed(np.concatenate([self.keys, *(k for k, _ in self.wait)]), np.concatenate([self.counts, *(n for _, n in self.wait)]))
+            self.wait, self.size = [], 0
+        return self.keys, self.counts
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -115,35 +125,114 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel())
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about CHUNK_BYTES, each with the place of its first."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK_BYTES or i == len(texts) - 1:
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
-
-
-def _running(block: int, documents: list[tuple[bool, list[bytes]]], folder: str) -> Iterator[dict]:
-    """Leave a block's running texts in the shared folder; rows of its distinct longest contexts and
-    symbols (a: keys, b: counts in training documents), by deal, and of its contexts of one byte."""
-    own = [b" " + b"".join([w + b" " for w in words_]) + SEP for _, words_ in documents]
-    put_file(f"{folder}/{block}.text", squeeze(b"".join(own)))
-    learnt = np.array([flag for flag, _ in documents], np.int64)
-    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for start, piece in _pieces(own):
-        symbol, window, reach, part = _windows(piece)
-        more, n = _summed(_key(reach, window, symbol), learnt[start + part])
-        keys, sums = _summed(np.concatenate([keys, more]), np.concatenate([sums, n]))
-    one, n = _summed(_key(1, (keys >> _SYM) & 255, keys & 511), sums)
+# ---- the positions of a block --------------------------------------------------------------------
+
+
+class Coded:
+    """A block's texts as keys of longest contexts and symbols.
+
+    ``own`` are the keys from the fifth byte of each distinct word on, ``own_word`` their words.
+    ``heads[k]`` holds a word's k-th byte with the bytes of the word before it and the space
+    before the word, -1 where the word is closed already; the end symbol is the last "word".
+    """
+
+    def __init__(self, vocabulary: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
+        n = len(vocabulary)
+        self.heads = np.full((ORDER - 1, n + 1), -1, np.int64)
+        self.heads[0, n] = (SPACE << int(_SYM)) | END
+        # The last bytes of a space and the word, and how many: what the next word sees before its space.
+        self.tail, self.reach = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        self.vocabulary, self.end = vocabulary, n
+        # Tokens with an end for each document; a token's place in its document.
+        ends = np.cumsum(lens.astype(np.int64))
+        self.tokens = np.insert(flat.astype(np.int64), ends, n)
+        sizes = lens.astype(np.int64) + 1
+        self.doc = np.repeat(np.arange(len(lens)), sizes)
+        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def own(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(keys, words) within distinct words; fills in what ``first`` needs, so it comes before."""
+        upto = np.cumsum(np.fromiter(map(len, self.vocabulary), np.int64, self.end) + 2)
+        start = 0
+        while start < self.end:
+            stop = max(start + 1, int(np.searchsorted(upto, CHUNK + (upto[start - 1] if start else 0))))
+            symbol, window, back, part = _windows([b" " + w + b" " for w in self.vocabulary[start:stop]])
+            coded = (window << _SYM) | symbol
+            last = upto[start:stop] - (upto[start - 1] if start else 0) - np.arange(1, stop - start + 1) - 1
+            begin = np.r_[0, last[:-1] + 1]
+            for k in range(ORDER - 1):
+                self.heads[k, start:stop] = np.where(last - begin >= k, coded[np.minimum(begin + k, len(coded) - 1)], -1)
+            self.tail[start:stop] = window[last] & ((np.int64(1) << (8 * (ORDER - 1))) - 1)
+            self.reach[start:stop] = np.minimum(back[last], ORDER - 1)
+            inner = back >= ORDER
+            yield (np.int64(ORDER) << _TOP) | coded[inner], part[inner] + start
+            start = stop
+
+    def first(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, at, keys): the first bytes of tokens start..end, ``at`` their tokens."""
+        for start in range(0, len(self.tokens), CHUNK):
+            end = min(start + CHUNK, len(self.tokens))
+            token, place = self.tokens[start:end], self.place[start:end]
+            # Two words back are enough: with their spaces they have ORDER - 1 bytes or more.
+            before = [np.where(place >= b, self.tokens[np.maximum(np.arange(start, end) - b, 0)], self.end) for b in (1, 2)]
+            tail = self.tail[before[0]] | (self.tail[before[1]] << (8 * self.reach[before[0]]))
+            reach = self.reach[before[0]] + self.reach[before[1]]
+            for k in range(ORDER - 1):
+                head = self.heads[k, token]
+                at = np.flatnonzero(head >= 0)
+                some = np.int64(ORDER - 1 - k)
+                order = k + 1 + np.minimum(reach[at], some)
+                yield start, end, at + start, (order << _TOP) | ((tail[at] & ((np.int64(1) << (8 * some)) - 1)) << (8 * (k + 1) + _SYM)) | head[at]
+
+
+def _running(block: int, dealt: Dealt, learnt: np.ndarray) -> Iterator[dict]:
+    """Rows of a block's distinct longest contexts and symbols (a: keys, b: counts in training
+    documents), by deal, and of its contexts of one byte."""
+    coded, sums = Coded(dealt.words, dealt.flat, dealt.lens), Sums()
+    for keys, part in coded.own():
+        sums.add(*_summed(keys, learnt[part]))
+    flag = np.array([f for _, f in dealt.docs], np.int64)
+    for _, _, at, keys in coded.first():
+        sums.add(*_counted(keys, flag[coded.doc[at]]))
+    keys, counts = sums.close()
+    one, n = _summed(_key(1, (keys >> _SYM) & 255, keys & 511), counts)
     yield {"block": block, "bucket": ONES, "a": _pack_keys(one), "b": pack_ints(n), "c": b""}
-    deal = ((((keys >> _SYM) & 0xFFFF) * 0x9E3779B1) & 0xFFFFFFFF) >> 24
+    yield from ({"block": block, **row, "c": b""} for row in _deal(keys, counts))
+
+
+def _deal(keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
+    """Keys in order as rows, one for each deal of contexts that end alike."""
+    deal = ((((keys >> _SYM) & 0xFFFF) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - DEALS_LOG)
     order = np.argsort(deal, kind="stable")
-    keys, sums, deal = keys[order], sums[order], deal[order]
+    keys, counts, deal = keys[order], counts[order], deal[order]
     cuts = np.flatnonzero(deal[1:] != deal[:-1]) + 1
     for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-        yield {"block": block, "bucket": -1 - int(deal[i]), "a": _pack_keys(keys[i:j]), "b": pack_ints(sums[i:j]), "c": b""}
+        if i < j:
+            yield {"bucket": -1 - int(deal[i]), "a": _pack_keys(keys[i:j]), "b": pack_ints(counts[i:j])}
+
+
+def _ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(_unpack_keys(a.as_py())), pa.array(unpack_ints(b.as_py()).astype(np.int64))], ["key", "n"])
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the blocks of a task, before anything is dealt out; contexts that only texts
+    held out have count 0 and stay, since they want a price."""
+    schema = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def rows() -> Iterator[dict]:
+        sums = Sums()
+        for batch in batches:
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                sums.add(_unpack_keys(a.as_py()), unpack_ints(b.as_py()).astype(np.int64))
+                if len(sums.keys) >= SUMS:
+                    yield from _deal(*sums.close())
+                    sums = Sums()
+        yield from _deal(*sums.close())
+
+    yield from grouped(rows(), schema, 64)
 
 
 def _nested(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,49 +247,82 @@ def _nested(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _priced(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by deal: all contexts that end alike are summed, priced and given back by block.
-    A deal's rows stay packed, so only its distinct contexts are in memory as numbers."""
+    """Rows sorted by deal: all contexts that end alike are summed and priced, in rows of CHUNK."""
+    schema = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def rows() -> Iterator[dict]:
+        deal, sums = None, Sums()
+
+        def told() -> Iterator[dict]:
+            keys, counts = sums.close()
+            log = costs(*_nested(keys, counts), keys, shared.value)
+            for i in range(0, len(keys), CHUNK):
+                yield {"bucket": deal, "a": _pack_keys(keys[i : i + CHUNK]), "b": pack_doubles(log[i : i + CHUNK])}
+
+        for batch in batches:
+            for bucket, a, b in zip(batch.column("bucket").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                if bucket != deal:
+                    yield from told()
+                    deal, sums = bucket, Sums()
+                sums.add(_unpack_keys(a.as_py()), unpack_ints(b.as_py()).astype(np.int64))
+        yield from told()
+
+    yield from grouped(rows(), schema, 16)
+    trim()
+
+
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by deal, salt and block, prices (block -1) first: the costs each block asks for."""
     schema = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("costs", pa.binary())])
-    held: list[dict] = []
 
     def rows() -> Iterator[dict]:
-        keys, sums, more = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        for i, row in enumerate(held):
-            more.append((_unpack_keys(row["a"]), unpack_ints(row["b"]).astype(np.int64)))
-            if sum(len(k) for k, _ in more) > max(len(keys), 1 << 18) or i == len(held) - 1:
-                keys, sums = _summed(np.concatenate([keys, *(k for k, _ in more)]), np.concatenate([sums, *(n for _, n in more)]))
-                more = []
-        log = costs(*_nested(keys, sums), keys, shared.value)
-        for row in held:
-            yield {"block": row["block"], "keys": row["a"], "costs": pack_doubles(log[np.searchsorted(keys, _unpack_keys(row["a"]))])}
+        at, known, look = None, [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["bucket"], row["salt"]) != at:
+                    at, known, look = (row["bucket"], row["salt"]), [], None
+                if row["block"] < 0:
+                    known.append((_unpack_keys(row["a"]), unpack_doubles(row["b"])))
+                    continue
+                look = look or Prices(known)
+                yield {"block": row["block"], "keys": row["a"], "costs": pack_doubles(look(_unpack_keys(row["a"])))}
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["bucket"] != held[0]["bucket"]:
-                yield from grouped(rows(), schema, 64)
-                held.clear()
-            held.append(row)
-    if held:
-        yield from grouped(rows(), schema, 64)
-        held.clear()
+    yield from grouped(rows(), schema, 64)
+    trim()
 
 
-def _ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(_unpack_keys(a.as_py())), pa.array(unpack_ints(b.as_py()).astype(np.int64))], ["key", "n"])
+class Prices:
+    """Costs by key: a table of hashes, and a binary search for keys that another one displaced."""
 
+    def __init__(self, parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
+        keys, log = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0)), *parts, strict=True))
+        order = np.argsort(keys)
+        self.keys, self.log = keys[order], log[order]
+        self.shift = np.uint64(64 - max(8, (8 * len(keys)).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.table[self._hash(self.keys)] = np.arange(len(keys), dtype=np.int32)
 
-def _text_costs(folder: str, block: int, prices: list[dict]) -> np.ndarray:
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(0)
+        at = self.table[self._hash(keys)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.searchsorted(self.keys, keys[missed])
+        return self.log[at]
+
+
+def _text_costs(vocabulary: list[bytes], flat: np.ndarray, lens: np.ndarray, prices: Prices) -> np.ndarray:
     """The cost of each of a block's texts."""
-    keys, log = np.concatenate([_unpack_keys(r["keys"]) for r in prices]), np.concatenate([unpack_doubles(r["costs"]) for r in prices])
-    order = np.argsort(keys)
-    keys, log = keys[order], log[order]
-    own = [t + SEP for t in swell(get_file(f"{folder}/{block}.text")).split(SEP)[:-1]]
-    out = np.zeros(len(own))
-    for start, piece in _pieces(own):
-        symbol, window, reach, part = _windows(piece)
-        out[start : start + len(piece)] = np.bincount(part, log[np.searchsorted(keys, _key(reach, window, symbol))], len(piece))
+    coded = Coded(vocabulary, flat, lens)
+    within = np.zeros(len(vocabulary) + 1)
+    for keys, part in coded.own():
+        within += np.bincount(part, prices(keys), len(within))
+    out = np.bincount(coded.doc, within[coded.tokens], len(lens))
+    for _, _, at, keys in coded.first():
+        out += np.bincount(coded.doc[at], prices(keys), len(lens))
     return out
 
 
@@ -288,93 +410,16 @@ def costs(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, short: Short)
     return out
 
 
-def _word_values(lexicon_rows: DataFrame, ends: int, parts: int) -> tuple[DataFrame, float]:
-    """(bucket, words, counts, costs) of all words, contexts restarting at each, and the end's cost."""
-    gram_schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-
-    def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                batch_words, n = unpack_words(row["words"]), unpack_doubles(row["counts"]).astype(np.int64)
-                every = [grams(batch_words[i : i + CHUNK], n[i : i + CHUNK]) for i in range(0, len(batch_words), CHUNK)]
-                if every:
-                    keys, sums = _summed(np.concatenate([k for k, _ in every]), np.concatenate([c for _, c in every]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["bucket"], np.int32)), pa.array(keys), pa.array(sums)], schema=gram_schema)
-
-    table = saved(lexicon_rows.mapInArrow(gram_rows, "bucket int, key long, n long"), "ppm-grams")
-    # At most 257 + 256 x 257 sums, whatever the corpus: contexts of no and of one byte.
-    few = table.where(F.shiftright("key", int(_TOP)) < 2).groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").collect()
-    keys, sums = np.array([r["key"] for r in few], np.int64), np.array([r["n"] for r in few], np.int64)
-    if ends:
-        extra = np.array([_key(0, np.int64(0), np.int64(END)), _key(1, np.int64(SPACE), np.int64(END))]).ravel()
-        keys, sums = np.r_[keys, extra], np.r_[sums, ends, ends]
-    shared = lexicon_rows.sparkSession.sparkContext.broadcast(Short(keys, sums))
-    end_cost = float(costs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([_key(1, np.int64(SPACE), np.int64(END))]).ravel(), shared.value)[0])
-
-    cost_schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("costs", pa.binary())])
-
-    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All contexts with the same last bytes are in this partition: sum them, price the longest."""
-        bucket, key, n = ([np.zeros(0, np.int64)] for _ in range(3))
-        for batch in batches:
-            for kept, column in zip((bucket, key, n), batch.columns, strict=True):
-                kept.append(column.to_numpy())
-        b, k, c = np.concatenate(bucket).astype(np.int64), np.concatenate(key), np.concatenate(n)
-        keys, sums = _summed(k, c)
-        long = (keys >> _TOP) >= 1
-        log = np.zeros(len(keys))
-        log[long] = costs(keys, sums, keys[long], shared.value)
-        order = np.argsort(b, kind="stable")
-        b, k = b[order], k[order]
-        value = log[np.searchsorted(keys, k)]
-        out, at = [], np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(b)], strict=False):
-            own = np.argsort(k[i:j])
-            out.append({"bucket": int(b[i]), "keys": pack_doubles(k[i:j][own].view("<f8")), "costs": pack_doubles(value[i:j][own])})
-        yield from grouped(iter(out), cost_schema, 64)
-
-    # Sums per task first: a frequent gram then crosses once per task and bucket.  Contexts meet
-    # by their last two bytes; one of a single byte needs no other than what all tasks have.
-    met = F.col("key").bitwiseAND(F.lit(0xFFFF << int(_SYM)))
-    price = (
-        table.where(F.shiftright("key", int(_TOP)) >= 1)
-        .repartition(parts, met)
-        .mapInArrow(priced, "bucket int, keys binary, costs binary")
-    )
-
-    value_schema = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("costs", pa.binary())])
-
-    def valued(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A bucket's words with their costs: the sum over their bytes."""
-        prices = right.to_pylist()
-        keys = np.concatenate([np.zeros(0, np.int64), *(unpack_doubles(r["keys"]).view("<i8") for r in prices)])
-        costs_ = np.concatenate([np.zeros(0), *(unpack_doubles(r["costs"]) for r in prices)])
-        order = np.argsort(keys)
-        keys, costs_ = keys[order], costs_[order]
-        out = []
-        for row in left.to_pylist():
-            batch_words, sums = unpack_words(row["words"]), []
-            for i in range(0, len(batch_words), CHUNK):
-                part = batch_words[i : i + CHUNK]
-                symbol, window, reach, word = _positions(part)
-                own = costs_[np.searchsorted(keys, _key(reach, window, symbol))]
-                sums.append(np.bincount(word, own, len(part)))
-            out.append({"bucket": row["bucket"], "words": row["words"], "counts": row["counts"], "costs": pack_doubles(np.concatenate([np.zeros(0), *sums]))})
-        return pa.Table.from_pylist(out, value_schema)
-
-    return lexicon_rows.groupBy("bucket").cogroup(price.groupBy("bucket")).applyInArrow(valued, "bucket int, words binary, counts binary, costs binary"), end_cost
-
-
-def score(docs: DataFrame, mod: int = 5, running: bool = False) -> DataFrame:
+def score(docs: DataFrame, mod: int = 5) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
     ``base_score`` is that of a word model with half a count added to every token; ``score`` is
     the log10 probability of the text under PPM.  Both learn from documents whose crc32
-    remainder is not 1.  ``running`` takes contexts from the running text, not from the word.
+    remainder is not 1.
     """
     spark = docs.sparkSession
     parts = max(partitions(spark), 12)
-    found, folder = blocks(docs, words, mod, max(64, 2 * parts), "ppm-blocks", _running if running else None)
+    found, folder = blocks(docs, words, mod, max(64, 2 * parts), "ppm-blocks", _running)
     every = saved(found, "ppm-words")
     found = every.where("bucket >= 0")
 
@@ -412,53 +457,56 @@ def score(docs: DataFrame, mod: int = 5, running: bool = False) -> DataFrame:
     total = lexicon_rows.mapInArrow(counted, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     tokens, kinds = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
 
-    if running:
-        few = every.where(F.col("bucket") == ONES).select("a", "b").mapInArrow(_ones, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").collect()
-        keys, sums = np.array([r["key"] for r in few], np.int64), np.array([r["n"] for r in few], np.int64)
-        none, n = _summed(_key(0, keys, keys & 511), sums)
-        shared = spark.sparkContext.broadcast(Short(np.r_[keys, none], np.r_[sums, n]))
-        dealt = every.where(f"bucket < 0 and bucket > {ONES}").select("block", "bucket", "a", "b").repartition(parts, "bucket").sortWithinPartitions("bucket")
-        price = dealt.mapInArrow(partial(_priced, shared=shared), "block long, keys binary, costs binary")
-        values, end_cost = lexicon_rows.withColumn("costs", F.col("counts")), 0.0
-    else:
-        values, end_cost = _word_values(lexicon_rows, ends, parts)
-
-    answer_schema = pa.schema([("block", pa.int64()), ("lids", pa.binary()), ("counts", pa.binary()), ("costs", pa.binary())])
-
-    def answered(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[float, float]] = {}
+    few = every.where(F.col("bucket") == ONES).select("a", "b").mapInArrow(_ones, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    keys, sums = np.array([r["key"] for r in few], np.int64), np.array([r["n"] for r in few], np.int64)
+    none, n = _summed(_key(0, keys, keys & 511), sums)
+    shared = spark.sparkContext.broadcast(Short(np.r_[keys, none], np.r_[sums, n]))
+
+    # What each block asks of a deal, and the deal's prices, meet; a deal's rows are at most as
+    # many as there are deals, and only those asked by many blocks are salted.
+    asked = every.where(f"bucket < 0 and bucket > {ONES}")
+    hot = {r["bucket"]: -(-r["n"] // ASKED) for r in asked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(f"n > {ASKED}").collect()}
+    salts: Column = F.lit(1)
+    if hot:
+        salts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), F.col("bucket")), F.lit(1))
+    summed = asked.select("bucket", "a", "b").mapInArrow(_combined, "bucket int, a binary, b binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    prices = summed.mapInArrow(partial(_priced, shared=shared), "bucket int, a binary, b binary")
+    prices = prices.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(-1).cast("long").alias("block"), "a", "b")
+    asked = asked.select("bucket", F.pmod(F.xxhash64("block"), salts).cast("int").alias("salt"), "block", "a", F.lit(None).cast("binary").alias("b"))
+    met = prices.unionAll(asked).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "block")
+    price = met.mapInArrow(_given, "block long, keys binary, costs binary")
+
+    answer_schema = pa.schema([("block", pa.int64()), ("lids", pa.binary()), ("counts", pa.binary())])
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        known: dict[bytes, float] = {}
         for row in right.to_pylist():
-            known.update(zip(unpack_words(row["words"]), zip(unpack_doubles(row["counts"]).tolist(), unpack_doubles(row["costs"]).tolist(), strict=True), strict=True))
-        out = []
-        for row in left.to_pylist():
-            pair = np.array([known[w] for w in unpack_words(row["a"])], float).reshape(-1, 2)
-            out.append({"block": row["block"], "lids": row["b"], "counts": pack_doubles(pair[:, 0]), "costs": pack_doubles(pair[:, 1])})
+            known.update(zip(unpack_words(row["words"]), unpack_doubles(row["counts"]).tolist(), strict=True))
+        out = [{"block": row["block"], "lids": row["b"], "counts": pack_doubles(np.array([known[w] for w in unpack_words(row["a"])], float))} for row in left.to_pylist()]
         return pa.Table.from_pylist(out, answer_schema)
 
-    answers = found.select("block", "bucket", "a", "b").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(answered, "block long, lids binary, counts binary, costs binary")
+    answers = found.select("block", "bucket", "a", "b").groupBy("bucket").cogroup(lexicon_rows.groupBy("bucket")).applyInArrow(answered, "block long, lids binary, counts binary")
 
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     low = np.log10(tokens + 0.5 * (kinds + 1))
 
-    def assemble(table: pa.Table, prices: pa.Table | None = None) -> pa.Table:
+    def assemble(table: pa.Table, prices: pa.Table) -> pa.Table:
         rows = table.to_pylist()
+        dealt = read_block(folder, rows[0]["block"])
         lids = np.concatenate([unpack_ints(r["lids"]) for r in rows]).astype(np.int64)
-        count, cost = np.zeros(len(lids)), np.zeros(len(lids))
+        dealt.check(len(lids))
+        count = np.zeros(len(lids))
         count[lids] = np.concatenate([unpack_doubles(r["counts"]) for r in rows])
-        cost[lids] = np.concatenate([unpack_doubles(r["costs"]) for r in rows])
-        documents, flat, lens = read_block(folder, rows[0]["block"])
-        by_text = _text_costs(folder, rows[0]["block"], prices.to_pylist()) if running else None
+        by_text = _text_costs(dealt.words, dealt.flat, dealt.lens, Prices((_unpack_keys(k.as_py()), unpack_doubles(c.as_py())) for k, c in zip(prices.column("keys"), prices.column("costs"), strict=True)))
         base = np.log10(count + 0.5) - low
-        own = np.repeat(np.arange(len(lens)), lens)
-        end_base, n = float(np.log10(ends + 0.5) - low), len(lens)
+        own = np.repeat(np.arange(len(dealt.lens)), dealt.lens)
+        end_base, n = float(np.log10(ends + 0.5) - low), len(dealt.lens)
         columns = [
-            pa.array([d for d, _ in documents], pa.int64()), pa.array([not learnt for _, learnt in documents]), pa.array(lens.astype(np.int64) + 1),
-            pa.array(np.bincount(own, count[flat] > 0, n).astype(np.int64) + (ends > 0)), pa.array(np.full(n, tokens, np.int64)),
-            pa.array(np.bincount(own, base[flat], n) + end_base), pa.array(by_text if running else np.bincount(own, cost[flat], n) + end_cost),
+            pa.array([d for d, _ in dealt.docs], pa.int64()), pa.array([not learnt for _, learnt in dealt.docs]), pa.array(dealt.lens.astype(np.int64) + 1),
+            pa.array(np.bincount(own, count[dealt.flat] > 0, n).astype(np.int64) + (ends > 0)), pa.array(np.full(n, tokens, np.int64)),
+            pa.array(np.bincount(own, base[dealt.flat], n) + end_base), pa.array(by_text),
         ]
         return pa.Table.from_arrays(columns, schema=pa.schema(fields))
 
     types = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if running:
-        return answers.groupBy("block").cogroup(price.groupBy("block")).applyInArrow(lambda left, right: assemble(left, right), types)
-    return answers.groupBy("block").applyInArrow(lambda table: assemble(table), types)
+    return answers.groupBy("block").cogroup(price.groupBy("block")).applyInArrow(assemble, types)
