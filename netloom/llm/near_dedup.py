@@ -14,10 +14,16 @@ whose nodes still lie in several components are looked into, and only pairs acro
 whose sketches allow a link leave the task.  A bucket beyond CHUNK nodes is dealt out as pairs
 of chunks, so no task holds more than two chunks of it.
 
+Equality of shingles, and of sets, is that of 64-bit and 128-bit hashes (xxh3), so "confirmed on
+the full sets" means on the full sets of hashes.
+
 Defined results: null and empty texts, and texts of white space, have no shingles and link with
 nothing; fewer than five words are one shingle; null ids are ignored as labels, and a group of
 nothing but null ids has a null component; rows that repeat an id and a text are equal; other
-columns are ignored.
+columns are ignored; texts of any length are read whole; an empty table gives no rows.  ``kept``
+decides by row: of a group one row stays, one with the group's smallest id; where several rows
+have that id, the one whose text has the smallest hash, and of rows alike in both the smallest by
+the other columns.  Rows without shingles all stay.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import WORD, grouped, marked, partitions, remove, saved, texts
@@ -131,18 +137,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, s int, sketch binary, bands array<long>"
+SIGNED = "doc_id long, row_hash long, n_shingles long, digest binary, s int, sketch binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("s", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("s", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
     known = Words()
 
     def rows() -> Iterator[dict]:
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+            for doc_id, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), strict=True):
                 items = shingles(text, known)
-                row = {"doc_id": doc_id, "n_shingles": len(items)}
+                row = {"doc_id": doc_id, "row_hash": row_hash, "n_shingles": len(items)}
                 if len(items):
                     s, bits = sketch(items)
                     row |= {"digest": digest(items), "s": s, "sketch": bits, "bands": bands(items)}
@@ -244,16 +250,25 @@ def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every node in a link: the smallest id it reaches.
 
     Each round gives every node its smallest neighbour, contracts the graph to these and drops
-    links within; what is left shrinks fast.  The rounds' maps are then followed from the last to
-    the first.  Tables in the shared folder cut the lineage.
+    links within.  One round dissolves stars.  From the second on a node follows these steps to
+    their end, by doubling, before the graph is contracted: then at most every other node is left,
+    and a chain of any order takes a logarithmic number of joins.  The rounds' maps are then
+    followed from the last to the first.  Tables in the shared folder cut the lineage.
     """
     edges, maps = saved(links.select("a", "b").distinct(), "near-edges"), []
     while not maps or not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        maps.append(saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "near-map"))
+        step = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "near-map")
+        further = bool(maps)
+        while further:
+            on = step.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+            step = saved(step.join(on, "comp").select("id", F.col("top").alias("comp"), (F.col("top") != F.col("comp")).alias("moved")), "near-map")
+            further = not step.where("moved").isEmpty()
+            step = step.drop("moved")
+        maps.append(step)
         ends = edges
         for end in ("a", "b"):
-            ends = ends.join(maps[-1].select(F.col("id").alias(end), F.col("comp").alias(f"to_{end}")), end)
+            ends = ends.join(step.select(F.col("id").alias(end), F.col("comp").alias(f"to_{end}")), end)
         shrunk = ends.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
         edges = saved(shrunk.distinct(), "near-edges")
     out = maps.pop()
@@ -272,17 +287,23 @@ def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
     return out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document; links are at ``percent``."""
+def _row_hash() -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, row_hash, n_shingles, comp, component_id) of every document: the number of its
+    group, null without shingles, and the group's smallest id."""
     spark = docs.sparkSession
     parts = max(partitions(spark), 12)
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("row_hash"), F.col("text").cast("string").alias("text"))
     signed = saved(cut.mapInArrow(_sign, SIGNED), "near-signed")
     # One node for each set; its number is fixed by writing it.
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "s", "sketch", "bands")]
     nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts)
     nodes = saved(nodes.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
-    listed = saved(signed.select("doc_id", "n_shingles", "digest"), "near-listed")
+    listed = saved(signed.select("doc_id", "row_hash", "n_shingles", "digest"), "near-listed")
     for path in {f.rpartition("/")[0] for f in signed.inputFiles()}:
         remove(spark, path)
 
@@ -313,19 +334,36 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     label = nodes.select("id", "rep", "digest").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    label = label.join(least, "comp").select(F.col("digest").alias("l_digest"), "component_id")
+    label = label.join(least, "comp").select(F.col("digest").alias("l_digest"), "comp", "component_id")
     out = listed.join(label, F.col("digest") == F.col("l_digest"), "left")
+    return out.select("doc_id", "row_hash", "n_shingles", "comp", "component_id")
+
+
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; links are at ``percent``."""
     # A document without shingles is a group of its own.
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("comp").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    out = _labelled(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def kept(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, one for each group, with all their columns.  Only documents that
+    """The documents that stay, one row for each group, with all their columns.  Only rows that
     may be dropped are dealt out by id; the others never leave their tasks."""
-    dropped = saved(groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct(), "near-dropped")
+    rows = _labelled(docs, percent).where("comp is not null").groupBy("comp", "component_id", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"))
+    # Rows with the smallest id: one row of each group, but for ids that repeat.
+    rows = saved(rows.withColumn("first", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-rows")
+    more = rows.where("first").groupBy(F.col("comp").alias("m_comp")).agg(F.min("row_hash").alias("least"), F.count(F.lit(1)).alias("firsts")).where("firsts > 1")
+    rows = rows.join(more, F.col("comp") == F.col("m_comp"), "left")
+    stays = F.col("first") & (F.col("least").isNull() | (F.col("row_hash") == F.col("least")))
+    verdict = rows.select(F.col("doc_id").alias("v_id"), F.col("row_hash").alias("v_hash"), stays.alias("stays"), "n").where("not stays or n > 1")
+    verdict = saved(verdict, "near-verdict")
     names = docs.columns
-    plain = docs.select(F.col("doc_id").cast("long").alias("key"), *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)))
-    told = marked(plain, F.xxhash64("key"), dropped, F.xxhash64("dropped"))
-    stay = told.where("maybe").join(dropped, F.col("key") == F.col("dropped"), "left_anti")
-    return told.where("not maybe").unionAll(stay).select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(names)))
+    plain = docs.select(F.col("doc_id").cast("long").alias("key"), _row_hash().alias("row_hash"), *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)))
+    told = marked(plain, F.xxhash64("key", "row_hash"), verdict, F.xxhash64("v_id", "v_hash"))
+    met = told.where("maybe").join(verdict, F.col("key").eqNullSafe(F.col("v_id")) & (F.col("row_hash") == F.col("v_hash")), "left")
+    columns = [f"p_{i}" for i in range(len(names))]
+    # Rows alike in id and text: the smallest by all columns.
+    one = met.where("stays").groupBy("key", "row_hash").agg(F.min(F.struct(*columns)).alias("r")).select("r.*")
+    out = told.where("not maybe").select(*columns).unionAll(met.where("stays is null").select(*columns)).unionAll(one)
+    return out.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(names)))

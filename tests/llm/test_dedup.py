@@ -2,9 +2,8 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from netloom.llm import exact_dedup, near_dedup
+from netloom.llm import common, exact_dedup, near_dedup
 
 SCHEMA = "doc_id long, text string, kept boolean, keep_id long, lang string"
 
@@ -51,7 +50,7 @@ def test_exact_kept_rows(spark):
     assert exact_dedup.kept(df.where("false")).count() == 0 and exact_dedup.classes(df.where("false")).count() == 0
 
 
-def near_brute(rows):
+def near_brute(rows, percent=85, order="sorted"):
     word = re.compile(rb"[^\x20\x09-\x0d]+")
     sets = []
     for _, t in rows:
@@ -67,13 +66,16 @@ def near_brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
             least[find(i)] = min(doc, least.get(find(i), doc))
-    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
+    out = [(d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)]
+    if order == "groups":
+        return [find(i) if sets[i] else None for i in range(len(rows))], least
+    return sorted(out, key=str)
 
 
 def near_rows(seed=0):
@@ -104,13 +106,41 @@ def test_near_against_brute_force(spark, monkeypatch, chunk):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_kept_and_empty(spark):
-    rows = [r for r in near_rows() if r[0] is not None]
-    df = spark.createDataFrame([(*r, True, 1, "en") for r in rows], SCHEMA)
-    out = near_dedup.kept(df)
-    assert out.columns == df.columns
-    assert {r["doc_id"] for r in out.collect()} == {d for d, _, c in near_brute(rows) if d == c}
-    assert near_dedup.groups(df.where("false")).count() == 0
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_kept_and_empty(spark, percent):
+    z = "quite another text that no one else has written down"
+    rows = near_rows() + [(7, near_rows()[40][1]), (7, z), (None, near_rows()[1][1]), (950, z + " once more"), (950, z + " once more"), (950, ""), (None, ""), (None, "null ids only share this text"), (None, "null ids only share this text")]
+    df = spark.createDataFrame([(*r, i % 2 == 0, i, "en") for i, r in enumerate(rows)], SCHEMA).repartition(4)
+    out = near_dedup.kept(df, percent)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    # Every row without shingles stays, and exactly one row of every group: one with its smallest id.
+    assert sorted((r for r in got if not (r[1] or "").split()), key=str) == sorted((r for r in rows if not (r[1] or "").split()), key=str)
+    words = [r for r in got if (r[1] or "").split()]
+    roots, least = near_brute(rows, percent, "groups")
+    members = {}
+    for row, root in zip(rows, roots, strict=True):
+        if root is not None:
+            members.setdefault(root, []).append(row)
+    assert len(words) == len(members) and (7, z) in words
+    for root, own in members.items():
+        stay = [r for r in words if r in own]
+        assert len(stay) == 1 and stay[0][0] == least.get(root)
+    again = [(r["doc_id"], r["keep_id"]) for r in near_dedup.kept(df.repartition(2), percent).collect()]
+    assert sorted(again, key=str) == sorted(((r["doc_id"], r["keep_id"]) for r in out.collect()), key=str)
+    assert near_dedup.groups(df.where("false")).count() == 0 and near_dedup.kept(df.where("false")).count() == 0
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """The number of tables grows with the logarithm of the longest path, whatever its order."""
+    rng, tables = np.random.default_rng(6), []
+    monkeypatch.setattr(near_dedup, "saved", lambda df, name: tables.append(name) or common.saved(df, name))
+    for order in (np.arange(2001), rng.permutation(2001), np.r_[np.arange(0, 2001, 2), np.arange(1, 2001, 2)]):
+        tables.clear()
+        pairs = [(min(p), max(p)) for p in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
+        got = near_dedup.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert sorted((r["id"], r["comp"]) for r in got) == [(i, 0) for i in range(2001)]
+        assert tables.count("near-edges") - 1 <= 15 and tables.count("near-map") <= 24
 
 
 def test_components(spark):
@@ -147,8 +177,8 @@ def test_bands_agree_with_the_rate(spark):
 
 def test_plans_use_no_cross_join(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id long, text string")
-    plan = exact_dedup.classes(df)._jdf.queryExecution().toString()
-    assert "Cartesian" not in plan and F.col("x") is not None
+    for plan in (exact_dedup.classes(df), exact_dedup.kept(df), near_dedup.groups(df), near_dedup.kept(df)):
+        assert not re.search("Cartesian|NestedLoop", plan._jdf.queryExecution().toString())
 
 
 def test_near_threshold_of_the_pipeline(spark):
