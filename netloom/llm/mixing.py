@@ -10,12 +10,20 @@ with the blocks taken, at most twice its size, since no target exceeds twice its
 No window runs over a whole source: positions come from sums per (source, slice of the shuffle)
 and a running sum within the slice; ranks likewise from counts per (source, segment of slots).
 A block has at least ``BLOCK`` words and grows with the corpus so that the schedule stays below
-``SLOTS`` slots per corpus pass; a target is then met to a few blocks.  ``mixed`` reads a source
-whose target is below FEW blocks up to its target instead, since no slot may fall to it.
+``SLOTS`` slots per corpus pass; a target is then met to a few blocks.
+
+``mixed`` gives whole documents in the order of the schedule: a document stands at the slot that
+reads the block of its first word, once for each reading.  It reads a source whose target is below
+FEW blocks up to its target instead, since no slot may fall to it, and spreads it evenly.
+
+Words are counted in one pass that leaves a short table; all but the documents of ``mixed`` comes
+from that.
 
 Defined results: a null or empty text has size 0 and gives nothing; null is a source, the last
 in order; ids order the shuffle as text, null as the empty text; rows that agree in source, id
-and size are interchangeable; a corpus without words has targets of 0.
+and size are interchangeable, and each counts; texts of any length are counted whole; other columns
+are carried under other names, so theirs may be any; a corpus without words has targets of 0 and
+an empty table no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import WORD_SQL
+from netloom.llm.common import WORD_SQL, partitions, saved
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -106,23 +114,28 @@ def schedule(of: DataFrame) -> DataFrame:
     return met.join(counts, ["place", "segment"]).select("slot", "source", (F.col("before") + own - 1).alias("rank"))
 
 
-def _placed(sized: DataFrame, of: DataFrame) -> DataFrame:
-    """Adds each document's first position in its source's shuffled stream of words, and its
-    source's columns in ``of``.  Documents cross the network once, to the window of their slice;
-    the short table that joins them there has that partitioning too."""
+def _slices(sized: DataFrame, of: DataFrame) -> DataFrame:
+    """(source, slice, words, offset) and the columns of ``of``: where each slice of a source's
+    shuffled stream begins."""
     sums = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")).join(of, "source")
+    return sums.select("source", "slice", "words", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")).join(of, "source")
+
+
+def _placed(sized: DataFrame, slices: DataFrame) -> DataFrame:
+    """Adds each document's first position in its source's shuffled stream of words, and its
+    slice's columns.  Documents cross the network once, to the window of their slice; the short
+    table that joins them there has that partitioning too."""
     inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("upto", F.sum("size").over(inside)).join(sums, ["source", "slice"])
+    placed = sized.withColumn("upto", F.sum("size").over(inside)).join(slices, ["source", "slice"])
     return placed.withColumn("start", F.col("offset") + F.col("upto") - F.col("size"))
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken): what the mix takes of every document."""
-    sized = _sized(docs, [])
+    sized = saved(_sized(docs, []), "mix-sized")
     of = targets(sized)
-    placed = _placed(sized, of.select("source", "source_size", "target", "block")).select("doc_id", "source", "size", "source_size", "target", "start", "block")
+    placed = _placed(sized, _slices(sized, of.select("source", "source_size", "target", "block"))).select("doc_id", "source", "size", "source_size", "target", "start", "block")
     slots = schedule(of).select("source", "rank", F.lit(True).alias("read"))
     read = placed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1)))).withColumn("from", F.col("start") + F.col("at") * F.col("source_size"))
     parts = read.withColumn("rank", F.explode(F.when(F.col("size") > 0, F.sequence(F.expr("`from` div block"), F.expr("(`from` + size - 1) div block"))).otherwise(F.array(F.lit(-1).cast("long")))))
@@ -138,19 +151,37 @@ def taken(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with all their columns: one row for each reading of the source's
-    stream in which the document's first word lies in a block taken, or before the target where
-    that is below FEW blocks, so whole texts only."""
+    """The documents of the mix with all their columns, in the order of the schedule: one row for
+    each reading of the source's stream in which the document's first word lies in a block taken,
+    or before the target where that is below FEW blocks, so whole texts only."""
     names = docs.columns
     plain = docs.select("doc_id", "source", "text", *(F.col(f"`{c}`").alias(f"p_{i}") for i, c in enumerate(names)))
     carried = [f"p_{i}" for i in range(len(names))]
-    of = targets(_sized(docs, []))
-    counts = schedule(of).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
-    placed = _placed(_sized(plain, carried), of.select("source", "source_size", "target", "block").join(counts, "source", "left"))
-    read = placed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1))))
-    upto = F.when(F.col("target") < FEW * F.col("block"), F.col("target")).otherwise(F.coalesce("slots", F.lit(0)) * F.col("block"))
-    chosen = read.where(F.col("start") + F.col("at") * F.col("source_size") < upto)
-    return chosen.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(names)))
+    sized = saved(_sized(docs, []), "mix-sized")
+    of = targets(sized)
+    slots = saved(schedule(of), "mix-slots")
+    length = slots.count()
+    slices = _slices(sized, of.select("source", "source_size", "target", "block")).where("words > 0")
+    # The slots that read each slice, reading by reading, in the order of its blocks.
+    span = F.sequence(F.expr("(offset + at * source_size) div block"), F.expr("(offset + words - 1 + at * source_size) div block"))
+    blocks = slices.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(REPEAT - 1)))).withColumn("rank", F.explode(span))
+    blocks = blocks.join(slots, ["source", "rank"], "left").groupBy("source", "slice").agg(
+        *(F.sort_array(F.collect_list(F.when(F.col("at") == at, F.struct("rank", "slot")))).alias(f"slots_{at}") for at in range(REPEAT))
+    )
+    placed = _placed(_sized(plain, carried), slices.join(blocks, ["source", "slice"]))
+    readings = []
+    for at in range(REPEAT):
+        start = F.col("start") + at * F.col("source_size")
+        own = F.get(F.col(f"slots_{at}"), (F.expr(f"(start + {at} * source_size) div block - slots_{at}[0].rank")).cast("int"))["slot"]
+        even = F.floor(start.cast("double") / F.col("target") * length).cast("long")
+        slot = F.when(F.col("target") < FEW * F.col("block"), F.when(start < F.col("target"), F.least(even, F.lit(length - 1)))).otherwise(own)
+        readings.append(F.struct(slot.alias("slot"), start.alias("from")))
+    chosen = placed.where("size > 0").select(*carried, F.explode(F.array(*readings)).alias("reading")).where("reading.slot is not null")
+    # A task's slots follow on those of the task before it.
+    parts = partitions(docs.sparkSession)
+    place = F.least(F.floor(F.col("reading.slot") * parts / max(length, 1)), F.lit(parts - 1)).cast("int")
+    ordered = chosen.repartitionById(parts, place).sortWithinPartitions("reading.slot", "reading.from")
+    return ordered.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(names)))
 
 
 _COUNT = f"len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}'))"

@@ -92,6 +92,34 @@ def mix_brute(rows):
     return per, target
 
 
+def mix_order(rows, block=64, few=4):
+    """The ids of the mix in order, straight from the definition: slots one by one."""
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    per, target = mix_brute(rows)
+    order = [s for s in per if s is not None]
+    order = sorted(order, key=lambda s: s.encode()) + ([None] if None in per else [])
+    total, block = sum(per.values()), max(block, -(-sum(per.values()) // mixing.SLOTS))
+    slots, taken, edge = -(-int(3 * total) // (2 * block)), {s: [] for s in order}, []
+    for s in order:
+        edge.append((edge[-1] if edge else 0.0) + target[s] / (1.5 * total))
+    for i in range(slots):
+        u = (i + 0.5) * 0.6180339887498949 % 1
+        taken[next((s for s, e in zip(order[:-1], edge, strict=False) if u < e), order[-1])].append(i)
+    out = []
+    for s in order:
+        own = sorted((hashlib.md5(f"{i}:mix".encode()).hexdigest(), i, count(t)) for i, x, t in rows if x == s)
+        for at in range(2):
+            start = at * per[s]
+            for _, i, n in own:
+                if n and target[s] < few * block:
+                    if start < target[s]:
+                        out.append((min(int(start / target[s] * slots), slots - 1), start, i))
+                elif n and start // block < len(taken[s]):
+                    out.append((taken[s][start // block], start, i))
+                start += n
+    return out
+
+
 def mix_rows():
     rng = np.random.default_rng(1)
     rows = [(i, f"s{int(rng.integers(0, 5))}" if i % 3 else "hot", "w " * int(rng.integers(0, 300))) for i in range(400)]
@@ -137,6 +165,44 @@ def test_mixed_documents(spark):
     assert words["hot"] == pytest.approx(target["hot"], rel=0.1)
 
 
+@pytest.mark.parametrize("block", [64, 7, 3000])
+def test_mixed_documents_stand_in_the_schedules_order(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rows = [(i, *r[1:]) for i, r in enumerate(mix_rows())]
+    df = spark.createDataFrame([(i, s, t, 7, "x") for i, s, t in rows], "doc_id long, source string, text string, slot long, `from` string").repartition(3)
+    want = sorted(mix_order(rows, block), key=lambda r: r[:2])
+    got = [r["doc_id"] for r in mixing.mixed(df).collect()]
+    # Documents of several sources may stand at one place, where few blocks are spread evenly.
+    at, places = 0, {}
+    for slot, start, i in want:
+        places.setdefault((slot, start), []).append(i)
+    for ids in places.values():
+        assert sorted(got[at : at + len(ids)]) == sorted(ids)
+        at += len(ids)
+    assert at == len(got)
+
+
+def test_every_stretch_of_the_mix_is_near_the_targets(spark):
+    rows = [(i, f"s{i % 4}", "w " * (5 + i % 11)) for i in range(4000)]
+    per, target = mix_brute(rows)
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    share, size = {s: t / sum(target.values()) for s, t in target.items()}, lambda r: len(r["text"].split())
+    for begin in range(0, len(got) - 1000, 500):
+        part = got[begin : begin + 1000]
+        words = sum(map(size, part))
+        for s in share:
+            assert sum(size(r) for r in part if r["source"] == s) / words == pytest.approx(share[s], abs=0.04)
+
+
+def test_mixing_counts_words_twice_at_most(spark, tmp_path):
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(mix_rows(), "doc_id long, source string, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    for out, scans in ((mixing.taken(docs), 0), (mixing.mixed(docs), 1)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") <= scans
+
+
 def test_mixing_edges(spark):
     schema = "doc_id long, source string, text string"
     assert mixing.taken(spark.createDataFrame([], schema)).count() == 0
