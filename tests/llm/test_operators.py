@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from netloom.llm import mixing, quality, secrets, vafile, warc
+from netloom.llm import common, mixing, quality, secrets, vafile, warc
 
 PATTERN, ENGLISH = public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -354,28 +354,52 @@ def test_search_against_brute_force(spark, monkeypatch, candidates, queries):
     assert vafile.top_k(df.where("false")).count() == 0
 
 
-def test_search_skips_most_vectors():
+def test_search_reads_few_exact_vectors(spark):
+    """Of the exact vectors, only those that the cells of all blocks don't rule out are fetched."""
+    whole = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").repartition(6)
+    n, queries = whole.count(), whole.where("vec_id % 50 = 0").count()
+    rows = common.saved(whole.select(whole.vec_id.cast("long").alias("vec_id"), whole.embedding.cast("array<double>").alias("embedding")).mapInArrow(vafile._whole, "row long, vec_id long, dim int, whole binary"), "test")
+    assert vafile.candidates(rows, 50, 5).count() < 0.01 * n * queries
+
+
+@pytest.mark.parametrize("scale", [1, 1e4, 1e9, 1e150, 1e306])
+def test_cells_bound_the_products(scale):
     rng = np.random.default_rng(1)
-    x = (rng.normal(size=(4000, 16)) * 256).astype(np.int32)
-    low, step = x.min(0).astype(float), (x.max(0).astype(float) + 1 - x.min(0)) / vafile.STEPS
-    cells = np.clip((x - low) / step, 0, vafile.STEPS - 1).astype(np.uint8)
-    read = []
-
-    class Seen(np.ndarray):
-        def __getitem__(self, at):
-            read.append(np.size(at))
-            return np.asarray(super().__getitem__(at))
-
-    q = x[5].astype(np.int64)
-    got = vafile.search(x.view(Seen), np.arange(4000), np.arange(4000), low, step, cells, q, 5, 5)
-    exact = x.astype(np.int64) @ q
-    order = [i for i in np.lexsort((np.arange(4000), -exact)) if i != 5][:5]
-    assert [(s, v) for s, v, _ in got] == [(int(exact[i]), int(i)) for i in order] and sum(read) < 2000
-
-
-def test_components_too_large_raise(spark):
-    with pytest.raises(Exception, match="too large"):
-        vafile.top_k(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")).collect()
+    x = np.floor(rng.normal(size=(300, 16)) * (scale / 300 * 256))
+    low, step, cells = vafile.approximate(x)
+    lower, upper = vafile.bounds(low, step, cells, x[:20])
+    for i in range(20):
+        exact = [sum(int(a) * int(b) for a, b in zip(row, x[i], strict=True)) for row in x]
+        assert vafile.inner(x, x[i]) == exact
+        assert all(a <= e <= b for a, e, b in zip(lower[i].tolist(), exact, upper[i].tolist(), strict=True))
+
+
+def test_search_with_a_common_vector_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "CANDIDATES", 16)
+    monkeypatch.setattr(vafile, "QUERIES", 2)
+    monkeypatch.setattr(vafile, "GROUP", 2)
+    monkeypatch.setattr(vafile, "HELD", 10)
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.5, -2.5, 3.0] if i % 3 else [float(v) for v in rng.normal(size=3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = vafile.top_k(df)
+        assert sorted(map(tuple, got.collect())) == search_brute(rows)
+        plan = vafile._met(spark.range(1).selectExpr("1 dim", "id q_block"), spark.range(1).selectExpr("1 dim", "id block"))._jdf.queryExecution().toString()
+        assert "dim" in plan and "Cartesian" not in plan and not re.search(r"hashpartitioning\(dim#\d+, \d+\)", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_components_are_exact(spark):
+    rows = [(0, [1e7, -3e6]), (1, [2e7, 1.0]), (2, [-1e7, 5e6]), (3, [1e7, -3e6]), (50, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vafile.top_k(df).collect())) == search_brute(rows)
+    # Only a result that a long can't hold raises.
+    assert vafile.top_k(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")).count() == 0
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        vafile.top_k(spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")).collect()
 
 
 def test_mix_keeps_a_source_below_a_block(spark, monkeypatch):
