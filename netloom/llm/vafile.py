@@ -15,10 +15,10 @@ side whatever the tables' sizes; Spark broadcasts the queries instead where they
 Defined results: vectors that are null, or hold a null or non-finite component, and rows with a
 null id take no part; vectors of different lengths never meet; rows that repeat an id are vectors
 of their own, and a query leaves out only its own row; equal scores go to the smaller vec_id, then
-to the row read first; of equal vectors in a block only the k + 1 first can be among the results,
-so a vector that many rows share costs no more than k + 1 a block.  Components of any size
-that doubles hold 256 times are exact; a result that a long can't hold raises.  Other columns are ignored; an empty table has
-no rows.
+to the row read first; of equal vectors only the k + 1 first can be among the results, so a vector
+that many rows share costs no more than k + 1 candidates a task.  Components of any size that
+doubles hold 256 times are exact; a result that a long can't hold raises.  Other columns are
+ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +102,8 @@ def bounds(low: np.ndarray, step: np.ndarray, cells: np.ndarray, q: np.ndarray)
     return np.where(lost, -np.inf, lower), np.where(lost, np.inf, upper)
 
 
-BLOCK = "dim int, block long, rows binary, ids binary, low binary, step binary, data binary"
-_BLOCK = pa.schema([("dim", pa.int32()), ("block", pa.int64()), *((k, pa.binary()) for k in ("rows", "ids", "low", "step", "data"))])
+BLOCK = "dim int, block long, rows binary, ids binary, same binary, low binary, step binary, data binary"
+_BLOCK = pa.schema([("dim", pa.int32()), ("block", pa.int64()), *((k, pa.binary()) for k in ("rows", "ids", "same", "low", "step", "data"))])
 
 
 def _blocks(most: int, keep: int | None):
@@ -131,7 +132,7 @@ def _blocks(most: int, keep: int | None):
             low, step, data = approximate(x) if keep else (empty, empty, x)
             return pa.RecordBatch.from_pylist([{
                 "dim": dim, "block": number, "rows": np.array([r[1] for r in rows], "<i8").tobytes(), "ids": np.array([r[0] for r in rows], "<i8").tobytes(),
-                "low": low.tobytes(), "step": step.tobytes(), "data": data.tobytes(),
+                "same": b"".join([xxhash.xxh3_128_digest(r[2]) for r in rows]) if keep else b"", "low": low.tobytes(), "step": step.tobytes(), "data": data.tobytes(),
             }], _BLOCK)
 
         for batch in batches:
@@ -148,7 +149,8 @@ def _blocks(most: int, keep: int | None):
 
 class Best:
     """What one block of queries has seen: the k largest lower bounds of each query, and the
-    vectors whose upper bounds reach the smallest of these."""
+    vectors whose upper bounds reach the smallest of these, of equal ones (told by 128-bit hashes)
+    the k + 1 first."""
 
     def __init__(self, rows: np.ndarray, k: int) -> None:
         self.rows, self.k = rows, k
@@ -156,18 +158,23 @@ class Best:
         self.found: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, rows: np.ndarray, ids: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, same: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
         own = rows[None, :] == self.rows[:, None]
         lower = np.where(own, -np.inf, lower)
         every = np.concatenate([self.least, lower], 1)
         self.least = np.partition(every, every.shape[1] - self.k, 1)[:, -self.k :]
         q, v = np.nonzero((upper >= self.least.min(1)[:, None]) & ~own)
-        self.found.append((q, rows[v], ids[v], lower[q, v], upper[q, v]))
+        self.found.append((q, rows[v], ids[v], same[v], lower[q, v], upper[q, v]))
         self.size += len(q)
 
     def close(self) -> tuple[np.ndarray, ...]:
-        q, rows, ids, lower, upper = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        stay = upper >= self.least.min(1)[q]
+        q, rows, ids, same, lower, upper = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((rows, ids, same[:, 0], same[:, 1], q))
+        order = order[upper[order] >= self.least.min(1)[q[order]]]
+        key = np.column_stack([q[order], same[order]])
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else np.zeros(0, np.int64)
+        place = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+        stay = order[place <= self.k]
         return tuple(x[stay] for x in (self.rows[q], rows, ids, lower, upper))
 
 
@@ -194,7 +201,7 @@ def _scan(k: int):
                 if (dim, b["q_block"]) not in best:
                     best[dim, b["q_block"]] = Best(q_rows, k)
                 q = np.frombuffer(b["q_data"], "<f8").reshape(len(q_rows), dim)
-                best[dim, b["q_block"]].add(rows, np.frombuffer(b["ids"], "<i8"), *bounds(np.frombuffer(b["low"]), np.frombuffer(b["step"]), cells, q))
+                best[dim, b["q_block"]].add(rows, np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["same"], "<i8").reshape(-1, 2), *bounds(np.frombuffer(b["low"]), np.frombuffer(b["step"]), cells, q))
                 if sum(x.size for x in best.values()) > HELD:
                     yield from told()
         yield from told()

@@ -393,7 +393,7 @@ def test_search_with_a_common_vector_and_groups(spark, monkeypatch):
 
 
 def test_large_components_are_exact(spark):
-    rows = [(0, [1e7, -3e6]), (1, [2e7, 1.0]), (2, [-1e7, 5e6]), (3, [1e7, -3e6]), (50, [0.5, 0.25])]
+    rows = [(0, [1e7, -3e6]), (1, [2e6, 1.0]), (2, [-1e6, 5e6]), (3, [9e6, -3e6]), (50, [0.5, 0.25])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, vafile.top_k(df).collect())) == search_brute(rows)
     # Only a result that a long can't hold raises.
