@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder URI below ``spark.checkpoint.dir``; removed when the driver exits."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and base.startswith("/"):

@@ -48,7 +48,7 @@ def features(data: list[bytes]) -> np.ndarray:
         last = np.bincount(_CLASS[np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)], minlength=10) / max(n, 1)
         out[i, :10] = shares
         out[i, 10:] = (
-            np.log1p(size), np.log1p(n), size / max(n, 1), kinds / max(n, 1) if n < 200 else np.log(kinds) / np.log(n),
+            np.log1p(size), np.log1p(n), size / max(n, 1), np.log1p(kinds) / np.log1p(max(n, 1)),
             last[MARK], sum(map(bytes.isupper, words)) / max(n, 1), kept / m, n / m, max(map(len, words), default=0),
         )
     return out

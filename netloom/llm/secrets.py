@@ -6,7 +6,8 @@ threshold is reported, after digests of known lengths, UUIDs and identifiers, wh
 the vocabulary must pack well, are set aside.
 
 Defined results: a null text is empty; spans count code points, the end exclusive; a random
-string that overlaps a span of a fixed pattern is not reported again; every row gives a row.
+string that overlaps a span of a fixed pattern is not reported again; every row gives a row, rows
+that repeat included; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,10 +90,10 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, vocabulary: str, pattern: str, ratio: float = RATIO) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) of every text."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every text."""
     with open(vocabulary, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())]
+    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:-1]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(raw.value, pattern)
@@ -107,4 +108,4 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, ratio: float = RATIO) -
             yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return cut.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")

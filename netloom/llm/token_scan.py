@@ -37,7 +37,10 @@ def write(docs: DataFrame, vocabulary: str, pattern: str, separator: int) -> Dat
     spark = docs.sparkSession
     folder = shared_dir(spark, "token-files")
     with open(vocabulary, "rb") as f:
-        raw = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    if any(int(line.split()[1]) == separator for line in data.splitlines()):
+        raise ValueError(f"the separator {separator} is a token of the vocabulary")
+    raw = spark.sparkContext.broadcast(data)
     schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

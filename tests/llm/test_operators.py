@@ -30,6 +30,48 @@ def base_brute(text):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
 
 
+def random_brute(text):
+    """Random strings straight from the definition, character by character."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ENGLISH, "rb"))}
+    encode = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ratio = lambda s: len(s) / len(encode(s))
+    signs, out, at = "+/_=-", [], 0
+    is_key = lambda c: c.isascii() and c.isalnum() or c in signs
+    while at < len(text):
+        end = at
+        while end < len(text) and is_key(text[end]):
+            end += 1
+        run, start, at = text[at:end], at, end + 1
+        if len(run) < 16 or ratio(run) >= 2.5 or any(s < end and start < e for s, _, e in base_brute(text)):
+            continue
+        one_case = run in (run.lower(), run.upper()) and all(c in "0123456789abcdefABCDEF" for c in run)
+        if one_case and len(run) in (32, 40, 56, 64, 96, 128) or [len(p) for p in run.split("-")] == [8, 4, 4, 4, 12] and all(c in "-0123456789abcdefABCDEF" for c in run):
+            continue
+        for sign in signs:
+            run = run.replace(sign, " ")
+        parts = run.split()
+        # An identifier's part is letters, then digits, or digits, then letters.
+        plain = all(p.strip("0123456789").isalpha() and (p[0].isalpha() or p[-1].isalpha()) or p.isdigit() for p in parts)
+        plain = plain and all(sum(a.isdigit() != b.isdigit() for a, b in zip(p, p[1:])) <= 1 for p in parts)  # noqa: B905
+        word = lambda p: p.isalpha() and (p[1:].islower() or p.islower() or p.isupper())
+        if not plain or any(len(p) >= 8 and ratio(p) < (2.05 if word(p) else 2.5) for p in parts):
+            out.append((start, end))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_spans_against_brute_force(seed):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ENGLISH, "rb"))}
+    encode = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    rng = np.random.default_rng(seed)
+    pools = ["abcdefghij", "ABCDEFGHIJabcdefghij", "0123456789", "0123456789abcdef", "ABCxyz0189", "Ab9_-/+="]
+    pieces = ["token", "the_index_of", "é", " ", "\n", "x=", "a1b2", "-", "internationalization", "deadbeef" * 4, "123e4567-e89b-12d3-a456-426614174000"]
+    for _ in range(150):
+        parts = [str(rng.choice(pieces)) if rng.random() < 0.5 else "".join(rng.choice(list(str(rng.choice(pools))), int(rng.integers(1, 40)))) for _ in range(int(rng.integers(1, 8)))]
+        text = "".join(parts)
+        assert [(s, e) for s, _, e in secrets.random_spans(text, base_brute(text), encode)] == random_brute(text), text
+
+
 def test_secrets(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], "x"), (None, "a", "x")], "doc_id long, text string, spans string").repartition(3)
     got = secrets.scan(df, ENGLISH, PATTERN).collect()
@@ -42,8 +84,13 @@ def test_secrets(spark):
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), TEXTS[r["doc_id"]]
         assert [r[f"n_{k}"] for k in secrets.KINDS[:3]] == [sum(x == i for _, x, _ in base) for i in range(3)]
         assert set(text.split(",")) - {""} <= set(r["spans"].split(","))
-    random = {r["doc_id"]: r["n_random"] for r in got}
-    assert [i for i, n in random.items() if n and i is not None] == [10, 17] or {i for i, n in random.items() if n} == {10, 17}
+    assert secrets.scan(df, ENGLISH, PATTERN).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
+    for r in got:
+        text = TEXTS[r["doc_id"]] or "" if r["doc_id"] is not None else "a"
+        want = random_brute(text)
+        assert [s for s in r["spans"].split(",") if s.startswith("random")] == [f"random:{a}:{b}" for a, b in want] and r["n_random"] == len(want)
+    assert {r["doc_id"] for r in got if r["n_random"]} == {10, 17}
+    assert secrets.scan(df.where("false"), ENGLISH, PATTERN).count() == 0
 
 
 def test_random_against_the_vocabulary():
@@ -313,6 +360,42 @@ def test_trees_without_labels(spark):
     assert quality.score(docs.where("false"), quality.train(docs, none)).count() == 0
 
 
+def test_splits_are_the_best_of_a_direct_search():
+    """Every node of the first tree: of all cuts that leave enough rows, none gains more."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(120, 4)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.3).astype(float)
+    model = quality.fit(x, y)
+    p = y.mean()
+    grad, hess = p - y, np.full(len(y), p * (1 - p))
+    value = lambda at: grad[at].sum() ** 2 / (hess[at].sum() + quality.L2)
+    rows = {0: np.ones(len(y), bool)}
+    for node in range(len(model.feature[0])):
+        at, gains = rows[node], {}
+        for f in range(4):
+            for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+                left, right = at & (x[:, f] <= cut), at & (x[:, f] > cut)
+                if min(left.sum(), right.sum()) >= quality.LEAST:
+                    gains[f, cut] = value(left) + value(right) - value(at)
+        f, cut = int(model.feature[0, node]), model.above[0, node]
+        best = max(gains.values(), default=0.0)
+        assert (gains[f, cut] == pytest.approx(best)) if np.isfinite(cut) else best <= 1e-9 + 1e-12
+        rows[2 * node + 1], rows[2 * node + 2] = at & ~(x[:, f] > cut), at & (x[:, f] > cut)
+    for leaf in range(len(model.leaf[0])):
+        at = rows[len(model.feature[0]) + leaf]
+        assert model.leaf[0, leaf] == pytest.approx(-quality.RATE * grad[at].sum() / (hess[at].sum() + quality.L2))
+
+
+def test_quality_of_long_texts_and_clashing_columns(spark):
+    rows = [(i, "word " * 20 if i % 2 else "A!! " * 20, 1.0, 0.5, [1.0]) for i in range(60)] + [(60, "word " * 200_000, 0.0, 0.0, None), (61, "x" * 1_000_000, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y double, score double, x array<double>")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    assert len(got) == 62 and got[60]["score"] == pytest.approx(model.score(quality.features([rows[60][1].encode()]))[0])
+    out = quality.accepted(docs, model)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {i for i, r in got.items() if r["predicted"]}
+
+
 def test_traversal_equals_walking_each_tree():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 5))

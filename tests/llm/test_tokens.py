@@ -91,3 +91,22 @@ def test_cut_token_raises(spark, tmp_path):
         token_scan.scan(spark.createDataFrame([(f"file://{tmp_path}/x.bin",)], "file string"), 9).collect()
     with pytest.raises(ValueError):
         token_scan.scan(spark.createDataFrame([("x",)], "file string"), 9, 3)
+
+
+def test_separator_of_the_vocabulary_raises(docs):
+    with pytest.raises(ValueError, match="is a token"):
+        token_scan.write(docs, VOCABULARY, PATTERN, 100)
+
+
+def test_shared_folder_off_local_masters(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session, "x")
