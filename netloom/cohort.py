@@ -53,7 +53,7 @@ def network_stats(spark: SparkSession, net_dir: str, attributes_col: str | Seque
             labels = label_sets(nodes, names, levels)
         return assort.sample_stats(nodes, checked(nodes, edges, levels), names, levels, n_shuffle, labels)
 
-    return _kept(spark, save, "stats", {"dir": net_dir, "col": attributes_col, "use": use_attributes, "index": index, "n": n_shuffle}, compute, recompute)
+    return _kept(spark, save, "stats", {"dir": net_dir, "col": attributes_col, "use": use_attributes, "levels": levels, "extension": extension, "index": index, "n": n_shuffle}, compute, recompute)
 
 
 def spatial_features(spark: SparkSession, nodes_dir: str, attributes_col: str | Sequence[str], edges_dir: str | None = None, use_attributes: Sequence[str] | None = None, method: str = "NAS", order: int = 1, stats: Sequence[str] | str = ("mean", "std"), sep: str = " ", levels: Sequence[str] = KEYS, extension: str = "parquet", index: Sequence[tuple] | None = None, components: int = 30, save: str | None = None, recompute: bool = False) -> DataFrame:
@@ -71,7 +71,7 @@ def spatial_features(spark: SparkSession, nodes_dir: str, attributes_col: str |
         edges = checked(nodes, edges, levels)
         return neighbors.nas(nodes, edges, names, order, stats, sep, levels) if method == "NAS" else neighbors.smoothed(nodes, edges, names, min(components, len(names)), levels)
 
-    params = {"nodes": nodes_dir, "edges": edges_dir, "col": attributes_col, "use": use_attributes, "method": method, "order": order, "stats": stats, "sep": sep, "index": index}
+    params = {"nodes": nodes_dir, "edges": edges_dir, "col": attributes_col, "use": use_attributes, "method": method, "order": order, "stats": stats, "sep": sep, "levels": levels, "extension": extension, "index": index, "components": components}
     return _kept(spark, save, "features", params, compute, recompute)
 
 
@@ -85,10 +85,10 @@ def aggregate_nodes(spark: SparkSession, nodes_dir: str, use_cols: Sequence[str]
 def transform_nodes(spark: SparkSession, nodes_dir: str, use_cols: Sequence[str], method: str = "clr", levels: Sequence[str] = KEYS, extension: str = "parquet", index: Sequence[tuple] | None = None, save: str | None = None, recompute: bool = False) -> DataFrame:
     """The nodes with transformed columns; zeros are replaced by each network's own largest value."""
     compute = lambda: preprocess.transform(io.read_files(spark, nodes_dir, "nodes", levels, extension, index), use_cols, method, levels)
-    return _kept(spark, save, f"transfo-{method}", {"dir": nodes_dir, "cols": list(use_cols), "index": index}, compute, recompute)
+    return _kept(spark, save, f"transfo-{method}", {"dir": nodes_dir, "cols": list(use_cols), "levels": levels, "extension": extension, "index": index}, compute, recompute)
 
 
 def batch_correct_nodes(spark: SparkSession, nodes_dir: str, use_cols: Sequence[str], batch_key: str = "patient", node_id: str = "node_id", max_dims: int = 100, levels: Sequence[str] = KEYS, extension: str = "parquet", index: Sequence[tuple] | None = None, save: str | None = None, recompute: bool = False) -> DataFrame:
     """The nodes with batch-corrected columns, the others as they were, each row under its own id."""
     compute = lambda: preprocess.batch_correct(io.read_files(spark, nodes_dir, "nodes", levels, extension, index), use_cols, batch_key, node_id, max_dims)
-    return _kept(spark, save, "corrected", {"dir": nodes_dir, "cols": list(use_cols), "key": batch_key, "dims": max_dims, "index": index}, compute, recompute)
+    return _kept(spark, save, "corrected", {"dir": nodes_dir, "cols": list(use_cols), "key": batch_key, "id": node_id, "dims": max_dims, "levels": levels, "extension": extension, "index": index}, compute, recompute)

@@ -125,8 +125,10 @@ def dummies(df: DataFrame, columns: dict[str, Sequence], thresh: float = 0, drop
 
 
 def binarize(column: Column, zero, one) -> Column:
-    """``zero`` as 0, ``one`` as 1, the rest null."""
-    return F.when(column == zero, 0).when(column == one, 1)
+    """0 where the column is ``zero``, 1 where it is ``one``, other values as they are (as text, if
+    they are text)."""
+    bit = str if isinstance(zero, str) or isinstance(one, str) else int
+    return F.when(column == zero, F.lit(bit(0))).when(column == one, F.lit(bit(1))).otherwise(column)
 
 
 def median_split(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -140,7 +142,7 @@ def extract(df: DataFrame, y: str, values: Sequence | None = None, columns: Sequ
     """The columns and ``y`` of rows whose y is among ``values``; two values become 0 and 1."""
     rows = df.where(F.col(f"`{y}`").isin(list(values))) if values is not None else df.where(F.col(f"`{y}`").isNotNull())
     names = list(columns) if columns is not None else [c for c in df.columns if c != y and c not in exclude]
-    target = binarize(F.col(f"`{y}`"), *values) if values is not None and len(values) == 2 and as_binary else F.col(f"`{y}`")
+    target = binarize(F.col(f"`{y}`"), *values).cast("int") if values is not None and len(values) == 2 and as_binary else F.col(f"`{y}`")
     return rows.select(*(F.col(f"`{c}`") for c in names), target.alias(y))
 
 

@@ -18,13 +18,19 @@ from netloom.operators.graphs import knn
 MOST = 500_000
 
 
+def _few(edges: DataFrame, a: str, b: str, what: str) -> None:
+    """Refuse graphs of more than MOST nodes or 64 edges a node before anything is collected."""
+    nodes = edges.select(F.explode(F.array(a, b)).alias("x")).agg(F.count_distinct("x")).first()[0]
+    if nodes > MOST or edges.count() > 64 * MOST:
+        raise ValueError(f"{what} takes at most {MOST} nodes and {64 * MOST} edges")
+
+
 def _graph(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, i, j, w): a symmetric graph, each undirected edge from both ends."""
     pair = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("w"))
+    _few(pair, "a", "b", "graph clustering")
     frame = pair.groupBy("a", "b").agg(F.max("w").alias("w")).toPandas().sort_values(["a", "b"])
     ids = np.unique(frame[["a", "b"]].to_numpy(np.int64))
-    if len(ids) > MOST:
-        raise ValueError(f"graph clustering takes at most {MOST} nodes")
     a, b, w = np.searchsorted(ids, frame["a"]), np.searchsorted(ids, frame["b"]), frame["w"].to_numpy(float)
     loop = a == b
     return ids, np.r_[a, b[~loop]], np.r_[b, a[~loop]], np.r_[w, w[~loop]]
@@ -220,11 +226,11 @@ def hdbscan(df: DataFrame, vector: str, min_cluster_size: float = 0.001, min_sam
     near = knn(df, vector, max(k, min_samples), metric, node_id)
     core = near.where(F.col("rank") == min_samples).select(F.col("src").alias("id"), F.col("distance").alias("core"))
     reach = near.join(core.select(F.col("id").alias("src"), F.col("core").alias("c1")), "src").join(core.select(F.col("id").alias("dst"), F.col("core").alias("c2")), "dst")
-    frame = reach.select("src", "dst", F.greatest("c1", "c2", "distance").alias("d")).toPandas()
+    reach = reach.select("src", "dst", F.greatest("c1", "c2", "distance").alias("d"))
+    _few(reach, "src", "dst", "a density hierarchy")
+    frame = reach.toPandas()
     ids = np.unique(frame[["src", "dst"]].to_numpy(np.int64))
     n = len(ids)
-    if n > MOST:
-        raise ValueError(f"a density hierarchy takes at most {MOST} nodes")
     a, b, d = np.searchsorted(ids, frame["src"]), np.searchsorted(ids, frame["dst"]), frame["d"].to_numpy(float)
     least = max(2, int(round(min_cluster_size * n)) if min_cluster_size < 1 else int(min_cluster_size))
     labels = _tree(n, list(zip(d.tolist(), a.tolist(), b.tolist(), strict=True)), least)

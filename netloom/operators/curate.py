@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of the smallest cluster that one search takes at a time.
-SLICE = 4096
+#: Points of a block; blocks of the smallest cluster that share a key.
+SLICE, GROUP = 4096, 64
 
 
 def relabel(df: DataFrame, label: str = "label", out: str = "label") -> DataFrame:
@@ -29,43 +29,59 @@ def smallest(df: DataFrame, label: str = "label", size_thresh: float | None = No
     return least.select("s.label", "s.n", "threshold", "clusters")
 
 
+def _packed(df: DataFrame, coords: Sequence[str], label: str) -> DataFrame:
+    """(block, x, lab): points in blocks of SLICE at most."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 33
+        for frame in frames:
+            for i in range(0, len(frame), SLICE):
+                part, block = frame.iloc[i : i + SLICE], block + 1
+                yield pd.DataFrame({"block": [block], "x": [part[list(coords)].to_numpy(float).tobytes()], "lab": [part[label].to_numpy(np.int64).tobytes()]})
+
+    return df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in coords), F.col(label).cast("long").alias(label)).mapInPandas(pack, "block long, x binary, lab binary")
+
+
 def _closest(df: DataFrame, coords: Sequence[str], label: str, own: DataFrame) -> DataFrame:
-    """(id rank, d, other): the nearest outside point of each point in ``own``.  The small cluster is
-    cut into slices that each meet the rest of the points once, in vectorised blocks."""
-    inside = own.toPandas().to_numpy(float)
-    shared = df.sparkSession.sparkContext.broadcast(inside)
+    """(p, d, other): the nearest outside point of each point in ``own``, p being its coordinates.
+    Blocks of the small cluster meet blocks of the others under numbers of their groups; neither
+    side is collected."""
+    inside, outside = _packed(own, coords, label).select("block", F.col("x").alias("own")), _packed(df, coords, label).drop("block")
+    slices = max(1, -(-inside.count() // GROUP))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
+    pairs = inside.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(slices))).join(outside.withColumn("g", every), "g")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = shared.value
-        best, who = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
         for frame in frames:
-            y, lab = frame[list(coords)].to_numpy(float), frame[label].to_numpy(np.int64)
-            for i in range(0, len(x), SLICE):
-                for j in range(0, len(y), SLICE):
-                    d = ((x[i : i + SLICE, None, :] - y[None, j : j + SLICE, :]) ** 2).sum(2) if x.shape[1] <= 4 else np.maximum((x[i : i + SLICE] ** 2).sum(1)[:, None] + (y[j : j + SLICE] ** 2).sum(1) - 2 * x[i : i + SLICE] @ y[j : j + SLICE].T, 0)
-                    at = d.argmin(1)
-                    least = d[np.arange(len(at)), at]
-                    better = least < best[i : i + SLICE]
-                    best[i : i + SLICE] = np.where(better, least, best[i : i + SLICE])
-                    who[i : i + SLICE] = np.where(better, lab[j + at], who[i : i + SLICE])
-        yield pd.DataFrame({"p": np.arange(len(x)), "d": best, "other": who})
+            for block, own, x, lab in zip(frame["block"], frame["own"], frame["x"], frame["lab"], strict=True):
+                a, b, who = (np.frombuffer(v, t).reshape(-1, n) for v, t, n in ((own, float, len(coords)), (x, float, len(coords)), (lab, np.int64, 1)))
+                for i in range(0, len(a), 512):
+                    part = a[i : i + 512]
+                    d = ((part[:, None, :] - b[None]) ** 2).sum(2) if len(coords) <= 4 else np.maximum((part**2).sum(1)[:, None] + (b**2).sum(1) - 2 * part @ b.T, 0)
+                    least = d.min(1)
+                    # Of equally near points the one with the lowest label.
+                    other = np.where(d == least[:, None], who[:, 0], np.iinfo(np.int64).max).min(1)
+                    yield pd.DataFrame({"p": [p.tobytes() for p in part], "block": block, "place": np.arange(i, i + len(part)), "d": least, "other": other})
 
-    return df.select(*coords, label).mapInPandas(search, "p long, d double, other long").groupBy("p").agg(F.min(F.struct("d", "other")).alias("m")).select("p", "m.d", "m.other")
+    # Points alike in their coordinates are told apart by their place.
+    found = pairs.select("block", "own", "x", "lab").mapInPandas(search, "p binary, block long, place long, d double, other long")
+    return found.groupBy("p", "block", "place").agg(F.min(F.struct("d", "other")).alias("m")).select("p", "block", "place", "m.d", "m.other")
 
 
 def merge_smallest(df: DataFrame, coords: Sequence[str], label: str = "label", size_thresh: float | None = None, size_perc: float = 25, ratio: float = 0.1, n_neigh_max: int = 10, force: bool = False) -> tuple[DataFrame, bool]:
     """(labels, merged): the smallest cluster joins the one that most of its ``n_neigh_max`` closest
     outside neighbours belong to (of equals the lowest label), if it is small enough or forced.
 
-    The merged cluster is the smallest of all, and below a tenth of the lower quartile of sizes
-    unless forced, so its points may go to every task.
+    Neighbours that are equally near count in the order of their points' coordinates.
     """
     least = smallest(df, label, size_thresh, size_perc, ratio).first()
     if least is None or least["clusters"] <= 1 or not (force or least["n"] < least["threshold"]):
         return df, False
     mine = F.col(label) == least["label"]
-    near = _closest(df.where(~mine), coords, label, df.where(mine).select(*coords))
-    votes = near.orderBy("d", "p").limit(min(n_neigh_max, least["n"])).groupBy("other").agg(F.count(F.lit(1)).alias("v"))
+    near = _closest(df.where(~mine), coords, label, df.where(mine))
+    votes = near.orderBy("d", "p", "block", "place").limit(min(n_neigh_max, least["n"])).groupBy("other").agg(F.count(F.lit(1)).alias("v"))
     to = votes.orderBy(F.col("v").desc(), "other").first()["other"]
     return df.withColumn(label, F.when(mine, F.lit(to)).otherwise(F.col(label))), True
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.functions import stats
+from netloom.functions.ranks import running
 
 
 def long(df: DataFrame, markers: Sequence[str], group: Column) -> DataFrame:
@@ -30,15 +31,10 @@ def sides(group: str, target, reference="other") -> Column:
 
 
 def _values(rows: DataFrame) -> DataFrame:
-    """(marker, value, n0, n1, before, upto0, upto1): counts by distinct value and running sums.
-
-    Sums over a marker's whole column need its values in order; equal values are merged first, so
-    the window sees distinct values only.
-    """
+    """(marker, value, n0, n1, upto0, upto1): counts by distinct value and running sums, which
+    ranges of a marker's values share."""
     each = rows.groupBy("marker", "value").agg(F.count_if(F.col("grp") == 0).alias("n0"), F.count_if(F.col("grp") == 1).alias("n1"))
-    order = Window.partitionBy("marker").orderBy("value")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return each.select("marker", "value", "n0", "n1", F.sum("n0").over(upto).alias("upto0"), F.sum("n1").over(upto).alias("upto1"))
+    return running(each, ["marker"], "value", {"upto0": "n0", "upto1": "n1"})
 
 
 def mann_whitney(rows: DataFrame) -> DataFrame:
@@ -64,15 +60,13 @@ def welch(rows: DataFrame) -> DataFrame:
 def kolmogorov_smirnov(rows: DataFrame) -> DataFrame:
     """(marker, n_tgt, n_ref, d): the largest gap of the two distribution functions."""
     v = _values(rows)
-    whole = Window.partitionBy("marker")
-    n0, n1 = F.sum("n0").over(whole), F.sum("n1").over(whole)
-    v = v.withColumn("t0", n0).withColumn("t1", n1).where("t0 > 0 and t1 > 0")
+    v = v.join(v.groupBy("marker").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1")), "marker").where("t0 > 0 and t1 > 0")
     return v.groupBy("marker").agg(F.max("t1").alias("n_tgt"), F.max("t0").alias("n_ref"), F.max(F.abs(F.col("upto1") / F.col("t1") - F.col("upto0") / F.col("t0"))).alias("d"))
 
 
 def mann_whitney_p(u: float, n: int, m: int, ties: float) -> float:
-    """Two-sided; exact without ties up to 8 values on a side, else normal with both corrections."""
-    if min(n, m) <= 8 and ties == 0 and n * m <= 20_000:
+    """Two-sided; exact without ties up to 8 values on either side, else normal with both corrections."""
+    if min(n, m) <= 8 and ties == 0:
         return stats.mann_whitney_exact(u, n, m)
     total = n + m
     sd = math.sqrt(n * m / 12 * (total + 1 - ties / (total * (total - 1))))
@@ -82,7 +76,7 @@ def mann_whitney_p(u: float, n: int, m: int, ties: float) -> float:
 TESTS = {
     "Mann-Whitney": (mann_whitney, lambda r: mann_whitney_p(r["u"], r["n_tgt"], r["n_ref"], r["ties"])),
     "Welch": (welch, lambda r: stats.t_two_sided(r["t"], r["df"]) if r["t"] is not None and r["df"] else None),
-    "Kolmogorov-Smirnov": (kolmogorov_smirnov, lambda r: stats.kolmogorov(r["d"] * math.sqrt(r["n_tgt"] * r["n_ref"] / (r["n_tgt"] + r["n_ref"])))),
+    "Kolmogorov-Smirnov": (kolmogorov_smirnov, lambda r: stats.kolmogorov_two_sample(r["d"], r["n_tgt"], r["n_ref"])),
 }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -13,37 +14,52 @@ from netloom.model import KEYS
 
 #: Vectors of a block that neighbours are sought in.
 BLOCK = 4096
+#: Blocks of each side that share a key.
+GROUP = 64
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+    """Positive where a, b, c turn left; the sign is exact."""
+    value = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    if abs(value) > 1e-12:
+        return float(value)
+    (ax, ay), (bx, by), (cx, cy) = ([Fraction(float(v)) for v in p] for p in (a, b, c))
+    return float((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 
 
 def delaunay(xy: np.ndarray) -> np.ndarray:
-    """The edges (i < j) of the triangulation, by Bowyer and Watson's insertion; points that repeat
-    an earlier one or lie on one line give what edges there are."""
+    """The edges (i < j) of the triangulation, by inserting points from left to right: the circles
+    that hold a new point open a hole, which it closes together with the edges of the hull that it
+    sees.  Points that repeat an earlier one have no edges, points on one line link up along it."""
     n = len(xy)
     if n < 2:
         return np.zeros((0, 2), np.int64)
-    mid, span = xy.mean(0), max(float(np.ptp(xy, 0).max()), 1e-12)
-    pts = np.vstack([(xy - mid) / span, [[-60, -40], [60, -40], [0, 70]]])
-    order = np.lexsort((pts[:n, 1], pts[:n, 0]))
+    pts = (xy - xy.mean(0)) / max(float(np.ptp(xy, 0).max()), 1e-300)
+    order = np.lexsort((pts[:, 1], pts[:, 0]))
+    new = np.r_[True, (pts[order[1:]] != pts[order[:-1]]).any(1)]
+    order = order[new].tolist()
+    # The first points may lie on one line; with the next one they make the first triangles.
+    m = next((k for k in range(2, len(order)) if _turn(pts[order[0]], pts[order[1]], pts[order[k]])), len(order))
+    line = list(zip(order[: m - 1], order[1:m], strict=True))
+    if m == len(order):
+        return np.array(sorted(tuple(sorted(e)) for e in line), np.int64).reshape(-1, 2)
 
     def circle(a: int, b: int, c: int) -> tuple[float, float, float]:
-        (ax, ay), (bx, by), (cx, cy) = pts[a], pts[b], pts[c]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if abs(d) < 1e-14:
+        (ax, ay), (bx, by), (cx, cy) = pts[a], pts[b] - pts[a], pts[c] - pts[a]
+        d = 2 * (bx * cy - by * cx)
+        if not d:
             return 0.0, 0.0, np.inf
-        a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-        x = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d
-        y = (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
-        return x, y, (ax - x) ** 2 + (ay - y) ** 2
+        b2, c2 = bx * bx + by * by, cx * cx + cy * cy
+        x, y = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
+        return ax + x, ay + y, x * x + y * y
 
-    # Points come from left to right, so triangles whose circles lie behind are done for good.
-    live: dict[tuple[int, int, int], tuple[float, float, float]] = {(n, n + 1, n + 2): circle(n, n + 1, n + 2)}
+    live = {t: circle(*t) for t in (tuple(sorted((i, j, order[m]))) for i, j in line)}
     done: list[tuple[int, int, int]] = []
-    last = None
-    for p in order.tolist():
+    # The hull, anticlockwise, as a point's successor.
+    around = [*order[:m], order[m]] if _turn(pts[order[0]], pts[order[1]], pts[order[m]]) > 0 else [*reversed(order[:m]), order[m]]
+    hull = dict(zip(around, [*around[1:], around[0]], strict=True))
+    for p in order[m + 1 :]:
         x, y = pts[p]
-        if last is not None and x == pts[last][0] and y == pts[last][1]:
-            continue
-        last = p
         rim: dict[tuple[int, int], int] = {}
         for t in list(live):
             cx, cy, r = live[t]
@@ -54,11 +70,19 @@ def delaunay(xy: np.ndarray) -> np.ndarray:
                 del live[t]
                 for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
                     rim[e] = rim.get(e, 0) + 1
+        seen = {i: j for i, j in hull.items() if _turn(pts[i], pts[j], pts[p]) < 0}
+        for i, j in seen.items():
+            e = (min(i, j), max(i, j))
+            rim[e] = rim.get(e, 0) + 1
+        first, last = next(i for i in seen if i not in set(seen.values())), next(j for j in seen.values() if j not in seen)
+        for i in seen:
+            del hull[i]
+        hull[first], hull[p] = p, last
         for (i, j), times in rim.items():
             if times == 1:
                 t = tuple(sorted((i, j, p)))
                 live[t] = circle(*t)
-    edges = {e for t in (*done, *live) for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if e[1] < n}
+    edges = {e for t in (*done, *live) for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2]))}
     return np.array(sorted(edges), np.int64).reshape(-1, 2)
 
 
@@ -111,9 +135,14 @@ def knn(nodes: DataFrame, vector: str, k: int, metric: str = "euclidean", node_i
 
     own = nodes.select(F.col(node_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     own = own.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e)))
-    blocks = own.mapInPandas(pack, "ids binary, x binary, dim int")
-    # Blocks of thousands of nodes, not nodes, are paired.
-    pairs = blocks.crossJoin(blocks.select(F.col("ids").alias("ids_b"), F.col("x").alias("x_b"), F.col("dim").alias("dim_b"))).where("dim = dim_b")
+    blocks = own.mapInPandas(pack, "ids binary, x binary, dim int").withColumn("deal", F.xxhash64("ids"))
+    # Blocks of thousands of nodes, not nodes, are paired: groups of GROUP blocks a side meet under
+    # the groups' numbers, so no key holds more, whatever the number of nodes.
+    deals = max(1, -(-blocks.count() // GROUP))
+    group, every = F.pmod("deal", F.lit(deals)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long")))
+    left = blocks.select("ids", "x", "dim", group.alias("g")).withColumn("h", every)
+    right = blocks.select(F.col("ids").alias("ids_b"), F.col("x").alias("x_b"), "dim", group.alias("h")).withColumn("g", every)
+    pairs = left.join(right, ["dim", "g", "h"])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

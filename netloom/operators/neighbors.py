@@ -23,13 +23,17 @@ def one_hop(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def k_hop(nodes: DataFrame, edges: DataFrame, order: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, n, m, hop): every node m within ``order`` hops of n and its distance; n itself at 0.
-    A step joins the newest level only, and pairs met before are ruled out by the smallest hop."""
-    step = one_hop(edges, keys).distinct()
+    A step refers to the pairs found so far once, so a plan has ``order`` joins: rows of the newest
+    level meet their neighbours and themselves, older ones pass by, and the smallest hop stays."""
+    each = one_hop(edges, keys).distinct()
+    every = nodes.select(*keys, F.col("node_id").alias("n"), F.col("node_id").alias("m"))
+    step = each.unionByName(every).select(*keys, F.col("n").alias("via"), F.col("m").alias("to"), F.lit(True).alias("newest"))
     found = nodes.select(*keys, F.col("node_id").alias("n"), F.col("node_id").alias("m")).withColumn("hop", F.lit(0))
     for hop in range(1, order + 1):
-        next_ = found.where(F.col("hop") == hop - 1).select(*keys, "n", F.col("m").alias("via"))
-        reach = next_.join(step.select(*keys, F.col("n").alias("via"), "m"), [*keys, "via"]).select(*keys, "n", "m").withColumn("hop", F.lit(hop))
-        found = found.unionByName(reach).groupBy(*keys, "n", "m").agg(F.min("hop").alias("hop"))
+        met = found.select(*keys, "n", F.col("m").alias("via"), "hop", (F.col("hop") == hop - 1).alias("newest")).join(step, [*keys, "via", "newest"], "left")
+        stays = F.col("to").isNull() | (F.col("to") == F.col("via"))
+        met = met.select(*keys, "n", F.coalesce("to", "via").alias("m"), F.when(stays, F.col("hop")).otherwise(hop).alias("hop"))
+        found = met.groupBy(*keys, "n", "m").agg(F.min("hop").alias("hop"))
     return found
 
 

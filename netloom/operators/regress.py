@@ -12,6 +12,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.ranks import running
+
 #: Subjects of a Cox model, at most: a cohort's, and the model runs on the driver.
 COX_MOST = 100_000
 
@@ -104,9 +106,11 @@ def split(df: DataFrame, key: str, share: float = 0.25, seed: int = 0) -> tuple[
 def auc(scored: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
     """(auc, ap): area under the ROC curve by mid-ranks, and average precision, from counts by score."""
     each = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.select("p", "n", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("below"), F.sum("p").over(down).alias("tp"), F.sum(F.col("p") + F.col("n")).over(down).alias("all"))
+    # What lies below or above a score is what is left of the totals, one row.
+    each = running(each.where(F.col("s").isNotNull()), [], "s", {"upto_p": "p", "upto_n": "n"})
+    each = each.join(F.broadcast(each.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))
+    tp, fp = F.col("all_p") - F.col("upto_p") + F.col("p"), F.col("all_n") - F.col("upto_n") + F.col("n")
+    each = each.select("p", "n", (F.col("upto_n") - F.col("n")).alias("below"), tp.alias("tp"), (tp + fp).alias("all"))
     sums = each.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0))).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * F.col("tp") / F.col("all").cast("double")).alias("q"))
     return sums.select((F.col("a") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"), (F.col("q") / F.nullif("p", F.lit(0))).alias("ap"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.functions import stats
+from netloom.functions.ranks import running
 
 
 def _at_risk(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -17,8 +18,7 @@ def _at_risk(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count_if(F.col("event") & (F.col("grp") == 1)).alias("d1"), F.count_if(F.col("event")).alias("d"),
         F.count_if(F.col("grp") == 1).alias("c1"), F.count(F.lit(1)).alias("c"),
     )
-    later = Window.partitionBy(*by).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return each.select(*by, "time", "d1", "d", F.sum("c1").over(later).alias("n1"), F.sum("c").over(later).alias("n"))
+    return running(each, by, "time", {"n1": "c1", "n": "c"}, descending=True).select(*by, "time", "d1", "d", "n1", "n")
 
 
 def logrank(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -53,12 +53,11 @@ def kaplan_meier(df: DataFrame, variable: str, duration: str, event: str, thresh
     interval of the log-log scale."""
     base = df.select((F.col(variable).cast("double") > threshold).alias("above"), F.col(duration).cast("double").alias("time"), (F.col(event).cast("int") != 0).alias("event")).na.drop().withColumn("grp", F.lit(1))
     risk = _at_risk(base, ["above"])
-    upto = Window.partitionBy("above").orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, d = F.col("n").cast("double"), F.col("d").cast("double")
-    gone = F.max(F.when(F.col("d") == F.col("n"), 1).otherwise(0)).over(upto) == 1
-    survival = F.when(gone, 0.0).otherwise(F.exp(F.sum(F.ln(F.nullif(1 - d / n, F.lit(0.0)))).over(upto)))
-    spread = F.when(~gone, F.sum(d / F.nullif(n * (n - d), F.lit(0.0))).over(upto))
-    curve = risk.select("above", "time", "n", "d", survival.alias("survival"), spread.alias("_g"))
+    terms = {"_end": F.when(F.col("d") == F.col("n"), 1).otherwise(0), "_log": F.coalesce(F.ln(F.nullif(1 - d / n, F.lit(0.0))), F.lit(0.0)), "_term": F.coalesce(d / F.nullif(n * (n - d), F.lit(0.0)), F.lit(0.0))}
+    sums = running(risk.withColumns(terms), ["above"], "time", {"_gone": "_end", "_ln": "_log", "_g": "_term"})
+    gone = F.col("_gone") > 0
+    curve = sums.select("above", "time", "n", "d", F.when(gone, 0.0).otherwise(F.exp("_ln")).alias("survival"), F.when(~gone, F.col("_g")).alias("_g"))
     z = stats.normal_quantile(1 - alpha / 2)
     theta = z * F.sqrt("_g") / F.nullif(F.ln(F.nullif("survival", F.lit(0.0))), F.lit(0.0))
     bound = lambda sign: F.when(F.col("survival").between(1e-300, 1 - 1e-15), F.pow("survival", F.exp(sign * -theta))).otherwise(F.col("survival"))

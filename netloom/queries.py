@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom import cohort
 from netloom.model import class_sets, label_sets, orphans
 from netloom.operators import assort, clean, cluster, curate, differential, graphs, neighbors, niches, plotdata, preprocess, reduce, regress, risk, screen, survival
 from netloom.plans import networks
 from netloom.plans.networks import EVENT_TYPES, KEYS, STATUSES, table
 from netloom.session import ship
 from netloom.sources import fixtures
-from netloom.sources.io import scratch
+from netloom.sources.io import cached, read_cohort, read_files, scratch, write_arrays, write_cohort
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,7 +178,8 @@ def assort_zscore(spark, d):
 
 
 _WIDE = ", ".join(
-    f'round(max({c}) FILTER (z.i = {i} AND z.j = {j}), 6) AS "{EVENT_TYPES[i]} - {EVENT_TYPES[j]} {s}"' for i in range(len(EVENT_TYPES)) for j in range(i + 1) for c, s in (("raw", "RAW"), ("mean", "MEAN"), ("std", "STD"))
+    f'round(max({c}) FILTER (z.i = {i} AND z.j = {j}), 6) AS "{EVENT_TYPES[i]} - {EVENT_TYPES[j]} {s}"'
+    for i in range(len(EVENT_TYPES)) for j in range(i + 1) for c, s in (("raw", "RAW"), ("mean", "MEAN"), ("std", "STD"), ("CASE WHEN std > 1e-9 THEN (raw - mean) / std END", "Z"))
 )
 _SHARES = ", ".join(f'round(count(*) FILTER (c = {i}) / count(*), 6) AS "% {t}"' for i, t in enumerate(EVENT_TYPES))
 
@@ -193,7 +195,8 @@ SELECT t.*, round(ac.assort, 6) AS assort, round(s.mean, 6) AS "assort MEAN", ro
 def cohort_stats(spark, d):
     labels, edges = _events(spark, d)
     out = assort.sample_stats(labels, edges, EVENT_TYPES, KEYS, SHUFFLES, labels=labels)
-    out = out.drop(*(c for c in out.columns if c.endswith(" Z") and c != "assort Z"))
+    pairs = [c.removesuffix(" Z") for c in out.columns if c.endswith(" Z") and c != "assort Z"]
+    out = out.withColumns({f"{c} Z": F.when(F.col(f"`{c} STD`") > 1e-9, F.col(f"`{c} Z`")) for c in pairs})
     return _rounded(out, *(c for c in out.columns if c not in ("user_id", "# total")))
 
 
@@ -304,9 +307,9 @@ def onehot_nan(spark, d):
     return out.withColumns({x: F.col(x).cast("double") for x in out.columns if x.startswith("seg_")})
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END::DOUBLE AS y FROM orders")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN '0' WHEN 'F' THEN '1' ELSE o_orderstatus END AS y FROM orders")
 def binarize(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", clean.binarize(F.col("o_orderstatus"), "O", "F").cast("double").alias("y"))
+    return table(spark, d, "orders").select("o_orderkey", clean.binarize(F.col("o_orderstatus"), "O", "F").alias("y"))
 
 
 @query('SELECT c_custkey, c_acctbal > (SELECT median(c_acctbal) FROM customer) AS "> med( c_acctbal )" FROM customer')
@@ -349,9 +352,20 @@ def clean_drop(spark, d):
     return clean.clean(_gappy(spark, d), ["a", "b", "c"], "drop", thresh=0.34, axis=1)[0]
 
 
-@query()
+_GAPS = " UNION ALL ".join(f"SELECT g.id, '{c}' AS j, r.{c} AS v, r.key, n, s FROM p WHERE g_{c} IS NULL AND r_{c} IS NOT NULL".replace("g.", "").replace(f"r.{c}", f"r_{c}").replace("r.key", "key") for c in "abc")
+
+
+#: The five nearest rows by the values that both have, scaled to all columns; ties by md5.
+@query(f"""WITH x AS (SELECT c_custkey AS id, CASE WHEN c_acctbal <= 9000 THEN c_acctbal END AS a, CASE WHEN c_acctbal >= 0 THEN c_nationkey::DOUBLE END AS b, CASE WHEN c_custkey % 3 > 0 THEN 1.0::DOUBLE END AS c FROM customer),
+k AS (SELECT *, md5(coalesce(a::VARCHAR, '') || ',' || coalesce(b::VARCHAR, '') || ',' || coalesce(c::VARCHAR, '')) AS key FROM x),
+p AS (SELECT g.id, g.a AS g_a, g.b AS g_b, g.c AS g_c, r.a AS r_a, r.b AS r_b, r.c AS r_c, r.key, (g.a + r.a IS NOT NULL)::INT + (g.b + r.b IS NOT NULL)::INT + (g.c + r.c IS NOT NULL)::INT AS n,
+  coalesce((r.a - g.a) * (r.a - g.a), 0) + coalesce((r.b - g.b) * (r.b - g.b), 0) + coalesce((r.c - g.c) * (r.c - g.c), 0) AS s FROM k g JOIN k r ON g.a IS NULL OR g.b IS NULL OR g.c IS NULL),
+m AS ({_GAPS}), q AS (SELECT id, j, v, sqrt(s * 3 / n) AS d, row_number() OVER (PARTITION BY id, j ORDER BY sqrt(s * 3 / n), key) AS place FROM m WHERE n > 0),
+f AS (SELECT id, j, CASE WHEN min(d) = 0 THEN avg(v) FILTER (d = 0) ELSE sum(v / nullif(d, 0)) / sum(1 / nullif(d, 0)) END AS v FROM q WHERE place <= 5 GROUP BY id, j)
+SELECT id AS c_custkey, round(coalesce(a, (SELECT v FROM f WHERE f.id = x.id AND j = 'a'), (SELECT avg(a) FROM x)), 6) AS a,
+  round_even(coalesce(b, (SELECT v FROM f WHERE f.id = x.id AND j = 'b'), (SELECT avg(b) FROM x)), 0) AS b, round(coalesce(c, (SELECT v FROM f WHERE f.id = x.id AND j = 'c'), (SELECT avg(c) FROM x)), 6) AS c FROM x""")
 def clean_impute(spark, d):
-    return clean.clean(_gappy(spark, d), ["a", "b", "c"], "mixed", axis=1, categorical=["b"])[0]
+    return _rounded(clean.clean(_gappy(spark, d), ["a", "b", "c"], "mixed", axis=1, categorical=["b"])[0], "a", "b", "c")
 
 
 # ---- niches --------------------------------------------------------------------------------------
@@ -390,6 +404,8 @@ def survival_response(spark, d):
     return niches.survival_response(networks.customer_survival(spark, d), "event", "duration")
 
 
+#: erfc(z) by its series; for the tails that it loses digits in, 0 to six places.
+_ERFC = "CASE WHEN {z} > 5 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(greatest({z}, 1e-300)) - lgamma(k + 1)) / (2 * k + 1))) END"
 # ---- differential markers ------------------------------------------------------------------------
 
 _MARKERS = ["n_chars", "n_spaces", "n_lines", "toxic"]
@@ -422,9 +438,14 @@ def de_ks_d(spark, d):
     return _rounded(differential.kolmogorov_smirnov(_marked(spark, d)), "d")
 
 
-@query()
+@query(f"""WITH {_LONG}, r AS (SELECT marker, quality, value, rank() OVER w + (count(*) OVER (PARTITION BY marker, value) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY marker, value) AS t FROM l WINDOW w AS (PARTITION BY marker ORDER BY value)),
+u AS (SELECT marker, count(*) FILTER (quality = 0)::DOUBLE AS n, count(*) FILTER (quality = 1)::DOUBLE AS m, sum(r) FILTER (quality = 0) AS r, sum((t * t - 1)::DOUBLE) AS ties FROM r GROUP BY marker),
+z AS (SELECT marker, greatest(0, abs(r - n * (n + 1) / 2 - n * m / 2) - 0.5) / sqrt(n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))) AS z FROM u),
+p AS (SELECT marker, least(1, {_ERFC.format(z="(z / sqrt(2))")}) AS pval FROM z),
+q AS (SELECT *, pval * count(*) OVER () / row_number() OVER (ORDER BY pval, marker) AS q, row_number() OVER (ORDER BY pval, marker) AS i FROM p)
+SELECT marker, round(pval, 6) AS pval, round(least(1, min(q) OVER (ORDER BY i DESC)), 6) AS pval_corr FROM q""")
 def de_markers(spark, d):
-    return differential.find_markers(networks.documents_with_labels(spark, d), "quality", 0, markers=_MARKERS)
+    return _rounded(differential.find_markers(networks.documents_with_labels(spark, d), "quality", 0, markers=_MARKERS), "pval", "pval_corr")
 
 
 @query("""WITH p AS (SELECT s_suppkey AS test, (s_acctbal + 1000) / 11000 AS pval FROM supplier), r AS (SELECT *, pval * count(*) OVER () / row_number() OVER (ORDER BY pval, test) AS q, row_number() OVER (ORDER BY pval, test) AS i FROM p)
@@ -443,24 +464,31 @@ def significant_coefs(spark, d):
 # ---- survival and risk ---------------------------------------------------------------------------
 
 
-@query(f"""WITH {_SURV}, q AS (SELECT unnest(range(10, 91, 10)) AS p, unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS th FROM s),
+_SCAN = f"""WITH {_SURV}, q AS (SELECT unnest(range(10, 91, 10)) AS p, unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS th FROM s),
 x AS (SELECT p, th, t, e, v > th AS g FROM s, q), c AS (SELECT p, th, t, count(*) FILTER (e AND g) AS d1, count(*) FILTER (e) AS d, count(*) FILTER (g) AS c1, count(*) AS c FROM x GROUP BY p, th, t),
-k AS (SELECT p, th, d1::DOUBLE AS d1, d::DOUBLE AS d, (sum(c1) OVER w)::DOUBLE AS n1, (sum(c) OVER w)::DOUBLE AS n FROM c WINDOW w AS (PARTITION BY p ORDER BY t DESC))
-SELECT p::INT AS percentile, round(th, 6) AS threshold, round(sum(d1 - d * n1 / n), 6) AS gap, round(sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END), 6) AS variance FROM k GROUP BY p, th""")
+k AS (SELECT p, th, d1::DOUBLE AS d1, d::DOUBLE AS d, (sum(c1) OVER w)::DOUBLE AS n1, (sum(c) OVER w)::DOUBLE AS n FROM c WINDOW w AS (PARTITION BY p ORDER BY t DESC)),
+scan AS (SELECT p, th, sum(d1 - d * n1 / n) AS gap, sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS variance FROM k GROUP BY p, th)"""
+
+
+@query(f"{_SCAN} SELECT p::INT AS percentile, round(th, 6) AS threshold, round(gap, 6) AS gap, round(variance, 6) AS variance, round(gap * gap / nullif(variance, 0), 6) AS chi2 FROM scan")
 def logrank_scan(spark, d):
-    return _rounded(survival.scan_thresholds(networks.customer_survival(spark, d), "c_acctbal", "duration", "event").drop("chi2"), "threshold", "gap", "variance")
+    return _rounded(survival.scan_thresholds(networks.customer_survival(spark, d), "c_acctbal", "duration", "event"), "threshold", "gap", "variance", "chi2")
 
 
-@query()
+@query(f"""{_SCAN}, best AS (SELECT p, th, gap * gap / nullif(variance, 0) AS chi2 FROM scan ORDER BY chi2 DESC NULLS LAST, p LIMIT 1)
+SELECT p::INT AS percentile, round(th, 6) AS threshold, round({_ERFC.format(z="sqrt(chi2 / 2)")}, 6) AS pval FROM best""")
 def best_survival_threshold(spark, d):
-    return survival.best_threshold(networks.customer_survival(spark, d), "c_acctbal", "duration", "event")
+    return _rounded(survival.best_threshold(networks.customer_survival(spark, d), "c_acctbal", "duration", "event"), "threshold", "pval")
 
 
 @query(f"""WITH {_SURV}, c AS (SELECT v > 4000 AS above, t AS time, count(*) FILTER (e) AS d, count(*) AS c FROM s GROUP BY ALL),
-k AS (SELECT above, time, d, sum(c) OVER (PARTITION BY above ORDER BY time DESC) AS n FROM c)
-SELECT above, time, n::BIGINT AS n, d, round(coalesce(exp(sum(ln(nullif(1 - d / n, 0))) OVER w), 1) * CASE WHEN max((d = n)::INT) OVER w = 1 THEN 0 ELSE 1 END, 6) AS survival FROM k WINDOW w AS (PARTITION BY above ORDER BY time)""")
+k AS (SELECT above, time, d, sum(c) OVER (PARTITION BY above ORDER BY time DESC) AS n FROM c),
+c2 AS (SELECT above, time, n::BIGINT AS n, d, coalesce(exp(sum(ln(nullif(1 - d / n, 0))) OVER w), 1) * CASE WHEN max((d = n)::INT) OVER w = 1 THEN 0 ELSE 1 END AS s,
+  sum(d / nullif(n::DOUBLE * (n - d), 0)) OVER w AS g FROM k WINDOW w AS (PARTITION BY above ORDER BY time)),
+c3 AS (SELECT *, CASE WHEN s > 1e-300 AND s < 1 - 1e-15 THEN 1.959963984540054::DOUBLE * sqrt(g) / ln(s) END AS theta FROM c2)
+SELECT above, time, n, d, round(s, 6) AS survival, round(CASE WHEN theta IS NULL THEN s ELSE pow(s, exp(-theta)) END, 6) AS low, round(CASE WHEN theta IS NULL THEN s ELSE pow(s, exp(theta)) END, 6) AS high FROM c3""")
 def km_curve(spark, d):
-    return _rounded(survival.kaplan_meier(networks.customer_survival(spark, d), "c_acctbal", "duration", "event", 4000).drop("low", "high"), "survival")
+    return _rounded(survival.kaplan_meier(networks.customer_survival(spark, d), "c_acctbal", "duration", "event", 4000), "survival", "low", "high")
 
 
 @query("SELECT s_suppkey AS variable, s_acctbal / 10000 AS coef, 0.1::DOUBLE AS se, round(exp(s_acctbal / 10000), 6) AS hr, round(exp(s_acctbal / 10000 - 0.1959963984540054), 6) AS low, round(exp(s_acctbal / 10000 + 0.1959963984540054), 6) AS high FROM supplier")
@@ -510,7 +538,14 @@ def _points(spark, d):
     return _vectors(spark, d).select(F.col("label").alias("patient"), F.lit("0").alias("sample"), "node_id", F.col("f0").alias("x"), F.col("f1").alias("y"))
 
 
-@query()
+#: Triangles whose circle holds no other point of the network.
+@query("""WITH p AS (SELECT label AS patient, vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+t AS (SELECT a.patient, a.id AS i, b.id AS j, c.id AS k, a.x AS ax, a.y AS ay, b.x - a.x AS vx, b.y - a.y AS vy, c.x - a.x AS wx, c.y - a.y AS wy
+  FROM p a JOIN p b ON a.patient = b.patient AND a.id < b.id JOIN p c ON a.patient = c.patient AND b.id < c.id),
+o AS (SELECT *, ax + (wy * (vx * vx + vy * vy) - vy * (wx * wx + wy * wy)) / (2 * (vx * wy - vy * wx)) AS ox, ay + (vx * (wx * wx + wy * wy) - wx * (vx * vx + vy * vy)) / (2 * (vx * wy - vy * wx)) AS oy FROM t),
+r AS (SELECT *, (ax - ox) * (ax - ox) + (ay - oy) * (ay - oy) AS r FROM o),
+e AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.patient = r.patient AND p.id NOT IN (i, j, k) AND (p.x - ox) * (p.x - ox) + (p.y - oy) * (p.y - oy) < r.r))
+SELECT patient, '0' AS sample, i AS source, j AS target FROM e UNION SELECT patient, '0', j, k FROM e UNION SELECT patient, '0', i, k FROM e""")
 def delaunay_networks(spark, d):
     return graphs.build_delaunay(_points(spark, d))
 
@@ -524,7 +559,8 @@ def link_isolated(spark, d):
     return graphs.link_isolated(points, none)
 
 
-@query()
+@query("""SELECT '0' AS patient, 'random' AS sample, a AS source, b AS target FROM range(100) x(a) JOIN range(100) y(b) ON a < b
+WHERE ('0x' || substr(md5('0:' || a || ':' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1""")
 def random_network(spark, d):
     return fixtures.random_network(spark, 100, 0.1)[1]
 
@@ -589,7 +625,18 @@ def merge_smallest(spark, d):
     return curate.merge_smallest(v, ["x", "y"], force=True)[0].select("vec_id", "label")
 
 
-@query()
+def _merge_sql(i: int, when: str = "true") -> str:
+    """p{i} to p{i + 1}: the smallest cluster joins the one that most of its ten nearest points lie in."""
+    return f"""s{i} AS (SELECT label FROM p{i} WHERE {when} GROUP BY label ORDER BY count(*), label LIMIT 1),
+k{i} AS (SELECT a.node_id, b.label, (a.f0 - b.f0) * (a.f0 - b.f0) + (a.f1 - b.f1) * (a.f1 - b.f1) AS d FROM p{i} a JOIN p{i} b ON a.label IN (FROM s{i}) AND b.label NOT IN (FROM s{i})),
+n{i} AS (SELECT label, d FROM k{i} QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY d, label) = 1 ORDER BY d LIMIT 10),
+v{i} AS (SELECT label FROM n{i} GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+p{i + 1} AS (SELECT node_id, f0, f1, CASE WHEN label IN (FROM s{i}) THEN (FROM v{i}) ELSE label END AS label FROM p{i})"""
+
+
+#: Two of ten clusters are merged.
+@query(f"""WITH p0 AS (SELECT vec_id AS node_id, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, label FROM embeddings), {_merge_sql(0)}, {_merge_sql(1, "(SELECT count(DISTINCT label) FROM p1) > 8")}
+SELECT node_id, (dense_rank() OVER (ORDER BY label) - 1)::INT AS label FROM p2""")
 def merge_until(spark, d):
     return curate.merge_until(_vectors(spark, d).select("node_id", "f0", "f1", F.col("label").cast("long").alias("label")), ["f0", "f1"], at_most=8, force=True).select("node_id", "label")
 
@@ -712,3 +759,98 @@ def z_scored(spark, d):
 @query("SELECT s_suppkey, 'background-color: ' || CASE WHEN s_acctbal < 0 THEN 'green' ELSE 'white' END AS css FROM supplier")
 def color_below(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", plotdata.color_below(F.col("s_acctbal"), 0.0).alias("css"))
+
+
+# ---- known networks, files and cohorts on disk ---------------------------------------------------
+
+#: The coefficients are known: they follow from the edges by hand.
+@query("""SELECT name AS sample, nodes::BIGINT AS nodes, edges::BIGINT AS edges, round(assort, 6) AS assort FROM (VALUES
+  ('triangle', 3, 3, -0.5::DOUBLE), ('trigonal', 6, 6, 0.25::DOUBLE), ('p', 6, 6, -7 / 29::DOUBLE), ('high', 12, 9, 1.0::DOUBLE), ('low', 12, 12, -0.5::DOUBLE)) t(name, nodes, edges, assort)""")
+def known_networks(spark, d):
+    nodes, edges = fixtures.cohort(spark, list(fixtures.NETWORKS))
+    found = assort.assortativity(assort.mixing_matrix(label_sets(nodes, ["a", "b", "c"]), edges, 3), assort.KEYS)
+    count = lambda t, name: t.groupBy("sample").agg(F.count(F.lit(1)).alias(name))
+    return _rounded(count(nodes, "nodes").join(count(edges, "edges"), "sample").join(found.select("sample", "assort"), "sample"), "assort")
+
+
+def _files(spark, d):
+    """The events' networks of four users as files, and their folder."""
+    folder = scratch(spark, "cohort")
+    nodes, edges = networks.event_network(spark, d)
+    for user in (1, 2, 3, 7):
+        own = F.col("user_id") == user
+        for kind, df in (("nodes", nodes.withColumn("value", F.col("value").cast("double"))), ("edges", edges)):
+            one = df.where(own).drop("user_id").coalesce(1)
+            part = f"{folder}/parts/{kind}-{user}"
+            one.write.parquet(part)
+            _rename(spark, part, f"{folder}/nets/{kind}_user-{user}_sample-a_b.parquet")
+    return f"{folder}/nets"
+
+
+def _rename(spark, part, to):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(part).getFileSystem(conf)
+    store.mkdirs(path(to).getParent())
+    store.rename(store.globStatus(path(f"{part}/part-*.parquet"))[0].getPath(), path(to))
+
+
+_FOUR = "user_id IN (1, 2, 3, 7)"
+
+
+@query(f"SELECT user_id::VARCHAR AS user, 'a_b' AS sample, event_id AS node_id, event_type, value::DOUBLE AS value FROM events WHERE {_FOUR}")
+def read_network_files(spark, d):
+    return read_files(spark, _files(spark, d), "nodes", ("user", "sample")).select("user", "sample", "node_id", "event_type", "value")
+
+
+@query("SELECT user_id::VARCHAR AS user, 'a_b' AS sample, count(*) AS n FROM events WHERE user_id IN (2, 7) GROUP BY 1")
+def read_indexed_files(spark, d):
+    return read_files(spark, _files(spark, d), "nodes", ("user", "sample"), index=[(2, "a_b"), (7, "a_b"), (8, "none")]).groupBy("user", "sample").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id::VARCHAR AS user_id, event_id AS node_id, event_type, value::DOUBLE AS value FROM events")
+def cohort_round_trip(spark, d):
+    path = scratch(spark, "cohort")
+    write_cohort(networks.event_network(spark, d)[0].withColumn("value", F.col("value").cast("double")), path, KEYS)
+    return read_cohort(spark, path, KEYS).select("user_id", "node_id", "event_type", "value")
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS f0, label::BIGINT AS label FROM embeddings")
+def array_round_trip(spark, d):
+    path = scratch(spark, "arrays")
+    write_arrays(table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("f0"), F.col("label").cast("long").alias("label")), path)
+    return _rounded(spark.read.parquet(path), "f0")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def cached_once(spark, d):
+    path = scratch(spark, "cached")
+    first = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    cached(spark, path, lambda: first)
+
+    def never():
+        raise AssertionError("a finished table is read")
+
+    return cached(spark, path, never)
+
+
+_EF = _E.replace("FROM events)", f"FROM events WHERE {_FOUR})")
+
+
+@query(f"""WITH {_EF}, {_GRID}, {_R} SELECT a.user_id::VARCHAR AS user, 'a_b' AS sample, count(*) AS "# total", round(any_value(ac.assort), 6) AS assort FROM ev a JOIN ac ON a.user_id = ac.user_id GROUP BY 1""")
+def cohort_files_stats(spark, d):
+    out = cohort.network_stats(spark, _files(spark, d), "event_type", EVENT_TYPES, ("user", "sample"), n_shuffle=5, save=scratch(spark, "stats"))
+    return _rounded(out.select("user", "sample", "# total", "assort"), "assort")
+
+
+@query(f"""WITH {_EF}, st AS (SELECT user_id, source AS n, target AS m FROM e UNION SELECT user_id, target, source FROM e UNION SELECT user_id, event_id, event_id FROM ev)
+SELECT st.user_id::VARCHAR AS user, 'a_b' AS sample, n AS node_id, round(avg((c = 0)::INT), 6) AS click_mean, round(avg((c = 4)::INT), 6) AS view_mean FROM st JOIN ev ON m = event_id GROUP BY st.user_id, n""")
+def cohort_files_features(spark, d):
+    out = cohort.spatial_features(spark, _files(spark, d), "event_type", use_attributes=["click", "view"], stats=("mean",), sep="_", levels=("user", "sample"), save=scratch(spark, "features"))
+    return _rounded(out, "click_mean", "view_mean")
+
+
+@query(f"SELECT user_id::VARCHAR AS user, event_id AS node_id, round(ln(value::DOUBLE + 1), 6) AS value FROM events WHERE {_FOUR}")
+def cohort_files_transformed(spark, d):
+    return _rounded(cohort.transform_nodes(spark, _files(spark, d), ["value"], "logp1", ("user", "sample")).select("user", "node_id", "value"), "value")
+

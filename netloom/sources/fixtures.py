@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions.ranks import hash_key
+
 #: Fixed values: (labels in node order, edges, x, y) of the networks that known answers exist for.
 NETWORKS = {
     "triangle": ("abc", [(0, 1), (1, 2), (2, 0)], [1, 3, 2], [2, 2, 1]),
@@ -37,8 +39,9 @@ def cohort(spark: SparkSession, names: Sequence[str] = ("high", "low")) -> tuple
 
 def random_network(spark: SparkSession, n: int = 100, p: float = 0.1, attributes: Sequence[str] = ("a", "b", "c"), multi: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """G(n, p) with coordinates on the unit circle and random labels: one class a node, or several.
-    All draws are hashes, so the network depends on its arguments only."""
-    u = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    A draw is the first eight digits of an md5 of its name, so the network depends on its arguments
+    only and any engine can repeat it."""
+    u = lambda *c: F.conv(F.substring(hash_key(F.lit(seed), *c), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     ids = spark.range(n).select(F.col("id").alias("node_id"))
     angle = F.lit(2.0) * F.pi() * u(F.col("node_id"), F.lit("angle"))
     nodes = ids.select(F.lit("0").alias("patient"), F.lit("random").alias("sample"), "node_id", F.cos(angle).alias("x"), F.sin(angle).alias("y"))

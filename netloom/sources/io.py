@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -27,12 +28,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _escaped(path: str) -> str:
+    """A path that a reader doesn't take for a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def read_files(spark: SparkSession, folder: str, kind: str, levels: Sequence[str] = KEYS, extension: str = "parquet", index: Sequence[tuple] | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """All files ``{kind}_{level}-{id}[_{level}-{id}].{extension}`` of a folder as one table with the
-    ids as string columns.  Ids may hold ``_``; one level will do; ``index`` chooses networks.
+    ids as string columns.  Ids may hold ``_``; one level will do; ``index`` chooses networks, and
+    only their files are opened.
     Columns a file lacks are null; ``extra`` adds columns of the scan's metadata."""
     reader = spark.read.option("mergeSchema", "true") if _format(extension) == "parquet" else spark.read.option("header", "true").option("inferSchema", "true")
-    table = reader.option("pathGlobFilter", f"{kind}_*.{extension}").format(extension).load(folder)
+    reader = reader.format(extension).option("pathGlobFilter", f"{kind}_*.{extension}")
+    files = [f"{folder.rstrip('/')}/{kind}_" + "_".join(f"{level}-{i}" for level, i in zip(levels, own, strict=True)) + f".{extension}" for own in index or ()]
+    files = [f for f in files if _exists(spark, f)]
+    # Where none of the networks asked for is there, the folder tells the columns of no rows.
+    table = reader.load([_escaped(f) for f in files] if files else folder)
     name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
     pattern = f"^{kind}_" + "_".join(rf"{level}-(.+{'?' if i + 1 < len(levels) else ''})" for i, level in enumerate(levels)) + rf"\.{extension}$"
     out = table.withColumns({level: F.regexp_extract(name, pattern, i + 1) for i, level in enumerate(levels)} | dict(extra or {}))
@@ -74,6 +85,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the cluster's shared one; a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -71,3 +71,11 @@ def test_screen_resumes(spark, tmp_path):
     first = run()
     assert first.schema == screen.RESULT and first.count() == 2 and {r["n_clusters"] for r in first.collect()} == {3}
     assert sorted(map(tuple, run().collect())) == sorted(map(tuple, first.collect()))
+
+
+def test_large_graphs_are_refused_before_they_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "MOST", 50)
+    edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    monkeypatch.setattr(type(edges), "toPandas", lambda _: pytest.fail("collected"))
+    with pytest.raises(ValueError, match="at most 50"):
+        cluster.leiden(edges)

@@ -46,3 +46,13 @@ def test_node_tables(spark, folder, tmp_path):
     assert sorted(r["node_id"] for r in nodes.where("sample = 'low'").collect()) == list(range(12))
     fixed = cohort.batch_correct_nodes(spark, folder, ["x", "y"], node_id="m")
     assert fixed.count() == 24 and "kind" in fixed.columns
+
+
+def test_saved_tables_know_all_their_parameters(spark, folder, tmp_path):
+    save = str(tmp_path / "saved")
+    made = [cohort.spatial_features(spark, folder, ["a", "b", "c"], method="smoothed", components=k, save=save).first()["features"] for k in (2, 3)]
+    assert [len(v) for v in made] == [2, 3]
+    by = {k: cohort.batch_correct_nodes(spark, folder, ["x", "y"], node_id=k, save=save).count() for k in ("m",)}
+    assert by == {"m": 24}
+    both = [cohort.network_stats(spark, folder, "kind", levels=levels, n_shuffle=2, save=save).count() for levels in (("patient", "sample"), ("patient",))]
+    assert both[0] == 2 and both[1] >= 1

@@ -115,3 +115,32 @@ def test_user_statistics(spark):
     by_name = neighbors.nas(nodes, edges, ["n"], 1, {"range": lambda c: F.max(c) - F.min(c)}, keys=K)
     assert {r["node_id"]: r["n range"] for r in by_name.collect()} == {0: 1, 1: 2, 2: 1}
     assert {r["node_id"]: r["n spread"] for r in neighbors.nas(nodes, edges, ["n"], 1, {"spread": spread}, keys=K).collect()} == {0: 1, 1: 2, 2: 1}
+
+
+def test_k_hop_plans_grow_by_a_join_a_step(spark):
+    nodes, edges = fixtures.network(spark, "low")
+    joins = [neighbors.k_hop(nodes, edges, order)._jdf.queryExecution().optimizedPlan().toString().count("Join ") for order in (1, 2, 3, 4)]
+    assert joins == [1, 2, 3, 4]
+
+
+def test_delaunay_keeps_flat_triangles_at_the_rim():
+    """The hull's edges are part of a triangulation, however flat their triangles."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        x = np.sort(rng.uniform(0, 1, 30))
+        pts = np.r_[np.c_[x, 1e-4 * x * (1 - x)], [[0.5, 1.0]]]
+        edges = set(map(tuple, graphs.delaunay(pts).tolist()))
+        # The points bend upwards, so the lower hull is its two ends alone.
+        assert (0, 29) in edges
+
+
+def test_knn_blocks_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "BLOCK", 5)
+    monkeypatch.setattr(graphs, "GROUP", 2)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, v array<double>").repartition(3)
+    got = {(r["src"], r["rank"]): r["dst"] for r in graphs.knn(df, "v", 4).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(d[i])[:4])}

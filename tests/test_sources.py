@@ -83,3 +83,23 @@ def test_sessions_of_a_stream(spark, tmp_path):
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     sessions.stream(spark, str(tmp_path / "in"), schema, each, str(tmp_path / "check"), pattern="*.parquet").awaitTermination()
     assert (7, 1, 2) in found and {(7, 3), (8, 4), (7, 1), (7, 2)} <= set(found)
+
+
+def test_an_index_opens_only_its_files(spark, tmp_path):
+    for k in ("a", "b_1", "c[x]"):
+        spark.createDataFrame([(k,)], "v string").toPandas().to_parquet(tmp_path / f"nodes_patient-{k}_sample-s.parquet")
+    got = io.read_files(spark, str(tmp_path), "nodes", index=[("b_1", "s"), ("c[x]", "s"), ("none", "s")])
+    assert {r["v"] for r in got.collect()} == {"b_1", "c[x]"} and len(got.inputFiles()) == 2
+    assert io.read_files(spark, str(tmp_path), "nodes", index=[("none", "s")]).count() == 0
+
+
+def test_scratch_off_local_masters():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        io.scratch(Session, "x")

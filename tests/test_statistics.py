@@ -176,3 +176,63 @@ def test_single_cox_models_never_drop_subjects(spark, monkeypatch):
     monkeypatch.setattr(regress, "COX_MOST", 29)
     with pytest.raises(ValueError, match="at most 29 subjects"):
         regress.find_survival_variable(df, "t", "e", ["x"])
+
+
+def orders(n, m):
+    """Every order of n values of one side (1) and m of the other (0)."""
+    from itertools import combinations
+
+    for at in combinations(range(n + m), n):
+        yield np.isin(np.arange(n + m), at).astype(int)
+
+
+@pytest.mark.parametrize("n,m", [(1, 1), (3, 4), (5, 5), (2, 9), (6, 4)])
+def test_exact_distributions_against_every_order(n, m):
+    gaps, us = [], []
+    for side in orders(n, m):
+        gaps.append(int(np.abs(np.cumsum(side) * m - np.cumsum(1 - side) * n).max()))
+        us.append(int(sum((side[:i] == 0).sum() for i in np.flatnonzero(side))))
+    for gap in set(gaps):
+        assert stats.kolmogorov_exact(gap, n, m) == pytest.approx(np.mean(np.array(gaps) >= gap))
+        assert stats.kolmogorov_two_sample(gap / (n * m), n, m) == pytest.approx(np.mean(np.array(gaps) >= gap))
+    for u in set(us):
+        top = max(u, n * m - u)
+        assert stats.mann_whitney_exact(u, n, m) == pytest.approx(min(1, 2 * np.mean(np.array(us) >= top)))
+
+
+def test_exact_tests_know_no_other_limit():
+    """Few values against many: exact, and close to the normal's p."""
+    for m in (2_000, 20_000):
+        u, sd = 8 * m / 2 + 1.5 * m, np.sqrt(8 * m / 12 * (8 + m + 1))
+        exact = differential.mann_whitney_p(u, 8, m, 0)
+        assert exact == stats.mann_whitney_exact(u, 8, m) == pytest.approx(stats.normal_two_sided((u - 4 * m) / sd), rel=0.1)
+    assert stats.kolmogorov_two_sample(0.03, 10_000, 10_000) == pytest.approx(stats.kolmogorov(0.03 * math.sqrt(5000)), rel=0.02)
+    assert stats.kolmogorov_two_sample(0.03, 10_001, 10_000) == pytest.approx(stats.kolmogorov(0.03 * math.sqrt(10_001 * 10_000 / 20_001)))
+
+
+@pytest.mark.parametrize("descending,own", [(False, True), (True, True), (False, False)])
+def test_running_sums_by_ranges(spark, monkeypatch, descending, own):
+    from netloom.functions import ranks
+
+    monkeypatch.setattr(ranks, "ACCURACY", 100)
+    rng = np.random.default_rng(0)
+    rows = [(g, float(v), int(rng.integers(0, 5))) for g, n in (("a", 500), ("b", 3), ("c", 1)) for v in set(np.round(rng.lognormal(0, 3, n), 2).tolist())]
+    df = spark.createDataFrame(rows, "g string, v double, x long").repartition(3)
+    for by in (["g"], []):
+        one = df if by else df.where("g = 'a'")
+        got = ranks.running(one, by, "v", {"s": "x"}, descending, own).collect()
+        mine = [r for r in rows if by or r[0] == "a"]
+        assert len(got) == len(mine)
+        for r in got:
+            before = [x for g, v, x in mine if g == r["g"] and (v > r["v"] if descending else v < r["v"])]
+            assert r["s"] == sum(before) + (r["x"] if own else 0)
+
+
+def test_no_window_over_a_whole_column(spark):
+    """Ranks and running sums of a marker or a curve are shared by the ranges of its values."""
+    df = spark.createDataFrame([(float(i % 7), float(i), i % 2, "t" if i % 3 else "r") for i in range(60)], "v double, t double, e int, g string")
+    rows = differential.long(df, ["v", "t"], differential.sides("g", "t"))
+    for out in (differential.mann_whitney(rows), differential.kolmogorov_smirnov(rows), survival.scan_thresholds(df, "v", "t", "e"), survival.kaplan_meier(df, "v", "t", "e", 3.0), regress.auc(df, "v", "e")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all("_range" in line for line in windows)

@@ -152,3 +152,24 @@ def test_batches_are_matched_with_all_placed_ones(spark, monkeypatch):
     df = spark.createDataFrame(rows, "patient string, node_id long, x double, y double")
     assert preprocess.batch_correct(df, ["x", "y"], anchors=10).count() == 60
     assert seen == [10, 20, 30, 40, 50]
+
+
+def test_binarize_keeps_other_values(spark):
+    text = spark.createDataFrame([("O",), ("F",), ("P",), (None,)], "s string").select(clean.binarize(F.col("s"), "O", "F").alias("y"))
+    assert [r["y"] for r in text.collect()] == ["0", "1", "P", None]
+    number = spark.createDataFrame([(3,), (5,), (7,)], "s int").select(clean.binarize(F.col("s"), 3, 5).alias("y"))
+    assert [r["y"] for r in number.collect()] == [0, 1, 7]
+
+
+def test_merging_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(curate, "SLICE", 3)
+    monkeypatch.setattr(curate, "GROUP", 1)
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), float(y), label) for i, (label, at) in enumerate([(0, 0), (1, 4), (2, 8)] * 10 + [(3, 9)] * 7) for x, y in [rng.normal(at, 1, 2)]]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label long").repartition(3)
+    out, merged = curate.merge_smallest(df, ["x", "y"], force=True)
+    small, others = [r for r in rows if r[3] == 3], [r for r in rows if r[3] != 3]
+    near = sorted(min(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[3]) for b in others) for a in small)[:10]
+    votes = [label for _, label in near]
+    want = min(set(votes), key=lambda v: (-votes.count(v), v))
+    assert merged and {r["label"] for r in out.where("id >= 30").collect()} == {want}
