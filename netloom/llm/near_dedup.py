@@ -11,8 +11,10 @@ confirmed on the full sets.
 Components need few links, so pairs come in two rounds.  First every node meets the smallest
 node of each of its buckets, a number of pairs linear in the buckets' rows.  Then only buckets
 whose nodes still lie in several components are looked into, and only pairs across components
-whose sketches allow a link leave the task.  A bucket beyond CHUNK nodes is dealt out as pairs
-of chunks, so no task holds more than two chunks of it.
+whose sketches allow a link leave the task.  Their nodes fall into classes by the logarithm of
+their size, as wide as the threshold, so links lie within a class or between neighbouring ones and
+no others meet; a class beyond CHUNK nodes is dealt out as pairs of chunks, so no task holds more
+than two chunks.
 
 Equality of shingles, and of sets, is that of 64-bit and 128-bit hashes (xxh3), so "confirmed on
 the full sets" means on the full sets of hashes.
@@ -28,6 +30,7 @@ the other columns.  Rows without shingles all stay.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -190,7 +193,8 @@ def _judge(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and chunks: pairs of different components that may link, each in the
+    """Rows sorted by bucket and pair of chunks (``cell``), of the left (``side`` 0) or the right chunk,
+    or of one that meets itself (no right): pairs of different components that may link, each in the
     first band that its nodes share."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[pa.RecordBatch] = []
@@ -199,13 +203,13 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     def pairs() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         number = lambda name: t.column(name).to_numpy()
-        ids, comp, s, n, own, band = (number(k) for k in ("id", "comp", "s", "n", "chunk", "band"))
+        ids, comp, s, n, side, band = (number(k) for k in ("id", "comp", "s", "n", "side", "band"))
         bits = _bits(t.column("sketch").combine_chunks())
         keys = np.frombuffer(t.column("bands").combine_chunks().flatten().to_numpy(), np.int64).reshape(-1, BANDS)
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        right = np.flatnonzero(own == hi)
-        for i in np.flatnonzero(own == lo).tolist():
-            j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo != hi))]
+        itself = t.column("itself")[0].as_py()
+        right = np.flatnonzero(side == (0 if itself else 1))
+        for i in np.flatnonzero(side == 0).tolist():
+            j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (not itself))]
             if not len(j):
                 continue
             z = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
@@ -215,7 +219,7 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], schema=schema)
 
     for batch in batches:
-        key = np.stack([batch.column(k).to_numpy() for k in ("key", "lo", "hi")], 1)
+        key = np.stack([batch.column(k).to_numpy() for k in ("key", "cell")], 1)
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
             if start == end:
@@ -307,7 +311,10 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     for path in {f.rpartition("/")[0] for f in signed.inputFiles()}:
         remove(spark, path)
 
-    rows = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    # Sets that link differ in size by at most the threshold, so by one class.
+    width = math.log(100 / percent) * (1 + 1e-9)
+    cls = F.floor(F.ln(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
+    rows = nodes.select("id", cls.alias("cls"), F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = saved(rows.join(buckets, "key"), "near-buckets")
 
@@ -317,15 +324,29 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     links = _confirmed(judged, nodes, docs, percent)
     comp = components(links)
 
-    # Buckets that still hold several components, in chunks.
-    held = shared.join(comp, "id", "left").select("key", "band", "id", F.coalesce("comp", "id").alias("comp"))
-    open_ = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"))
-    open_ = open_.where("least <> most").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    dealt = held.join(open_, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", "band", "id", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    dealt = dealt.join(nodes.select("id", "s", F.col("n_shingles").alias("n"), "sketch", "bands"), "id").repartition(parts, "key", "lo", "hi")
-    across = dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(partial(_across, percent=percent), "a long, b long")
+    # Buckets that still hold several components: the chunks of their classes, and of the next ones.
+    held = shared.join(comp, "id", "left").select("key", "cls", "band", "id", F.coalesce("comp", "id").alias("comp"))
+    sizes = held.groupBy("key", "cls").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"))
+    sizes = sizes.select("key", "cls", "least", "most", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    beside = lambda step, name: sizes.select("key", (F.col("cls") - step).alias("cls"), *(F.col(c).alias(f"{c}_{name}") for c in ("least", "most", "chunks")))
+    open_ = sizes.join(beside(1, "up"), ["key", "cls"], "left").join(beside(-1, "down"), ["key", "cls"], "left")
+    several = lambda name: F.least("least", f"least_{name}") < F.greatest("most", f"most_{name}")
+    # How many chunks of its own class, the next and the one before a node meets: 0 where all lie in one component.
+    open_ = open_.select(
+        "key", "cls", "chunks", F.when(F.col("least") < F.col("most"), F.col("chunks")).otherwise(0).alias("own"),
+        *(F.when(several(name) & F.col(f"chunks_{name}").isNotNull(), F.col(f"chunks_{name}")).otherwise(0).alias(name) for name in ("up", "down")),
+    ).where("own + up + down > 0")
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    dealt = held.join(open_, ["key", "cls"]).withColumn("chunk", chunk)
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda low, up, lo, hi: F.xxhash64(low, up, lo, hi)
+    met = lambda c, side, itself: F.struct(c.alias("cell"), side.cast("int").alias("side"), itself.alias("itself"))
+    within = F.transform(upto("own"), lambda o: met(cell(F.col("cls"), F.col("cls"), F.least("chunk", o), F.greatest("chunk", o)), F.col("chunk") > o, F.col("chunk") == o))
+    above = F.transform(upto("up"), lambda o: met(cell(F.col("cls"), F.col("cls") + 1, F.col("chunk"), o), F.lit(False), F.lit(False)))
+    below = F.transform(upto("down"), lambda o: met(cell(F.col("cls") - 1, F.col("cls"), o, F.col("chunk")), F.lit(True), F.lit(False)))
+    dealt = dealt.select("key", "band", "id", "comp", F.explode(F.concat(within, above, below)).alias("met")).select("key", "band", "id", "comp", "met.*")
+    dealt = dealt.join(nodes.select("id", "s", F.col("n_shingles").alias("n"), "sketch", "bands"), "id").repartition(parts, "key", "cell")
+    across = dealt.sortWithinPartitions("key", "cell").mapInArrow(partial(_across, percent=percent), "a long, b long")
     more = _confirmed(across, nodes, docs, percent)
     # Links between components, then each node's component in the final graph.
     top = components(_between(more, comp))

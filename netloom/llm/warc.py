@@ -115,9 +115,9 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
         for batch in batches:
             data = list(texts(batch, "html"))
             columns = [pa.array(range(row, row + len(data)), pa.int64()), batch.column(0), batch.column(1), pa.array(data, pa.binary())]
-            columns += [pa.array([digest(x) for x in data]), pa.array([len(x) for x in data], pa.int64())]
+            columns += [pa.array([digest(x) for x in data]), pa.array([hashlib.sha256(x).digest() for x in data]), pa.array([len(x) for x in data], pa.int64())]
             row += len(data)
-            yield pa.RecordBatch.from_arrays(columns, ["row", "page_id", "url", "payload", "digest", "bytes"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "page_id", "url", "payload", "digest", "same", "bytes"])
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uris = None, []
@@ -136,12 +136,13 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(uris, pa.string())], ["file"])
 
     cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = saved(cut.mapInArrow(digests, "row long, page_id long, url string, payload binary, digest string, bytes long"), "warc-rows")
-    first = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("g_digest"), F.col("bytes").alias("g_bytes"))
+    rows = saved(cut.mapInArrow(digests, "row long, page_id long, url string, payload binary, digest string, same binary, bytes long"), "warc-rows")
+    # SHA-1 names payloads in the archive, but pages can be made to share one: SHA-256 tells them apart.
+    first = rows.where(F.col("bytes") >= least).groupBy(F.col("same").alias("g_same"), F.col("bytes").alias("g_bytes"))
     first = first.agg(F.max(F.struct("page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Most payloads are alone; only those that may repeat are dealt out.
-    told = marked(rows, F.xxhash64("digest"), first, F.xxhash64("g_digest"))
-    met = told.where("maybe").join(first, (F.col("digest") == F.col("g_digest")) & (F.col("bytes") == F.col("g_bytes")), "left")
+    told = marked(rows, F.xxhash64("same"), first, F.xxhash64("g_same"))
+    met = told.where("maybe").join(first, (F.col("same") == F.col("g_same")) & (F.col("bytes") == F.col("g_bytes")), "left")
     revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
     common = ["page_id", "url", "payload", "digest"]
     written = met.select(*common, F.col("first.page_id").alias("refers_to"), revisit.alias("revisit"))
