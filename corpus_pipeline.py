@@ -1,6 +1,12 @@
 """A training-data pipeline over ``documents``: quality, exact and near duplicates, mix, tokens.
 
 Each stage works on all that the one before it kept, written as Parquet and read again.
+
+Defined results of every stage: null texts count as empty ones; an empty text is scored like any
+other, equals other empty texts, is near no other document and has no place in the mix, which is
+made of words; texts of any length are read whole; rows that repeat an id are documents of their
+own, of rows alike in all columns one stays; null ids and sources are values like others; further
+columns are kept, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
