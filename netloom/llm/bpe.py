@@ -1,11 +1,5 @@
-"""Byte-level BPE: every distinct pre-token of the corpus is encoded once.
-
-A pass over the text splits it into pre-tokens and leaves, for each block of documents, the
-pre-tokens' numbers by position (a file of the shared folder) and the block's distinct
-pre-tokens, dealt into buckets by hash.  A bucket meets all blocks' distinct pre-tokens, encodes each of them once and answers
-each block; a block joins the answers and puts its documents together by position.  A word
-crosses the network once per block that holds it, not once per occurrence, so frequent words
-make no hot key.
+"""Byte-level BPE: every distinct pre-token of the corpus is encoded once (``distinct``), documents
+are put together by position and decoded by looking each of their ids up in the token-byte table.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to nothing; each
 row of the input, repeated ids and null ids included, gives one row; other columns are ignored.
@@ -18,11 +12,10 @@ import functools
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netloom.llm.common import blocks, grouped, pack_ints, partitions, read_block, trim, unpack_ints, unpack_words
+from netloom.llm.distinct import assembled
 
 
 @functools.lru_cache(maxsize=2)
@@ -34,9 +27,14 @@ def _tables(raw: bytes) -> tuple[Callable[[bytes], list[int]], list[bytes]]:
     table = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    # The pattern is never used: pieces arrive already split.
-    encoding = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-    return encoding._encode_single_piece, table
+    # Pieces arrive already split, so the pattern takes each whole.
+    encoding = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    return lambda piece: encoding.encode_ordinary(piece.decode()), table
+
+
+@functools.lru_cache(maxsize=2)
+def _decimals(size: int) -> list[bytes]:
+    return [b"%d" % i for i in range(size)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -47,108 +45,23 @@ def splitter(pattern: str) -> Callable[[bytes], list[bytes]]:
     return lambda text: [piece.encode() for piece in find(text.decode())]
 
 
-ANSWER = pa.schema([("block", pa.int64()), ("lids", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
-
-
-def _answers(raw: bytes) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by bucket: encode a bucket's distinct pre-tokens once, answer every block."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = _tables(raw)
-
-        class Known(dict):
-            def __missing__(self, piece: bytes) -> list[int]:
-                self[piece] = ids = encode(piece)
-                return ids
-
-        def rows() -> Iterator[dict]:
-            bucket, known = None, Known()
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if row["bucket"] != bucket:
-                        bucket, known = row["bucket"], Known()
-                    found = [known[piece] for piece in unpack_words(row["a"])]
-                    counts = np.fromiter(map(len, found), np.uint32, len(found))
-                    ids = np.fromiter((i for own in found for i in own), np.uint32, int(counts.sum()))
-                    yield {"block": row["block"], "lids": row["b"], "counts": pack_ints(counts), "ids": pack_ints(ids)}
-
-        yield from grouped(rows(), ANSWER)
-
-    return run
-
-
-def _assembled(docs: DataFrame, vocabulary: str, pattern: str, finish: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
-    """One row per document: ``finish(word ids, table)`` turns a block's distinct words into a
-    function of (document id, positions) that makes the row."""
-    spark = docs.sparkSession
+def _shared(docs: DataFrame, vocabulary: str):
+    """The rank file, broadcast: a vocabulary is a file of fixed size (well under 2 MB)."""
     with open(vocabulary, "rb") as f:
-        raw = f.read()
-    # A vocabulary is a file of fixed size (well under 2 MB), so it may go to every executor.
-    shared = spark.sparkContext.broadcast(raw)
-    buckets = max(64, 2 * partitions(spark))
-    words, folder = blocks(docs, splitter(pattern), -1, buckets, "bpe")
-    answers = (
-        words.select("block", "bucket", "a", "b")
-        .repartition(max(partitions(spark), 12), "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(lambda batches: _answers(shared.value)(batches), "block long, lids binary, counts binary, ids binary")
-    )
-
-    def assemble(answers: pa.Table) -> pa.Table:
-        _, table = _tables(shared.value)
-        own: list[list[int]] = []
-        told = 0
-        for row in answers.to_pylist():
-            lids, counts, ids = (unpack_ints(row[k]) for k in ("lids", "counts", "ids"))
-            own += [[]] * max(0, int(lids.max(initial=0)) + 1 - len(own))
-            told += len(lids)
-            flat, ends = ids.tolist(), np.cumsum(counts).tolist()
-            start = 0
-            for lid, end in zip(lids.tolist(), ends, strict=True):
-                own[lid], start = flat[start:end], end
-        dealt = read_block(folder, answers.column("block")[0].as_py())
-        dealt.check(told)
-        make, start, out = finish(own, table), 0, []
-        for (doc_id, _), n in zip(dealt.docs, dealt.lens.tolist(), strict=True):
-            out.append(make(doc_id, dealt.flat[start : start + n].tolist()))
-            start += n
-        del own, make, dealt
-        trim()
-        return pa.Table.from_pylist(out, arrow)
-
-    return answers.groupBy("block").applyInArrow(assemble, schema)
-
-
-def _ids(own: list[list[int]], _: list[bytes]) -> Callable:
-    return lambda doc_id, words: {"doc_id": doc_id, "ids": [i for w in words for i in own[w]]}
-
-
-def _digests(own: list[list[int]], table: list[bytes]) -> Callable:
-    counts = [len(ids) for ids in own]
-    listed = [b",".join(b"%d" % i for i in ids) for ids in own]
-    decoded = [b"".join([table[i] for i in ids]) for ids in own]
-
-    def make(doc_id: int | None, words: list[int]) -> dict:
-        return {
-            "doc_id": doc_id,
-            "n_tokens": sum(map(counts.__getitem__, words)),
-            "ids_sha256": hashlib.sha256(b",".join(map(listed.__getitem__, words))).hexdigest(),
-            "decoded_sha256": hashlib.sha256(b"".join(map(decoded.__getitem__, words))).hexdigest(),
-        }
-
-    return make
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id long, ids array<int>): the ids of each text, without special tokens."""
+    shared = _shared(docs, vocabulary)
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return _assembled(docs, vocabulary, pattern, _ids, "doc_id long, ids array<int>", arrow)
+    own = lambda doc_id, ids: {"doc_id": doc_id, "ids": ids}
+    return assembled(docs, splitter(pattern), lambda piece: _tables(shared.value)[0](piece), own, "doc_id long, ids array<int>", arrow, "bpe")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id long, bytes binary): each row's ids looked up in the token-byte table and joined."""
-    with open(vocabulary, "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(encoded, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table = _tables(shared.value)
@@ -161,5 +74,14 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode every text and decode its ids."""
+    shared = _shared(docs, vocabulary)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return _assembled(docs, vocabulary, pattern, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", arrow)
+
+    def digests(doc_id: int | None, ids: list[int]) -> dict:
+        _, table = _tables(shared.value)
+        listed = b",".join(map(_decimals(len(table)).__getitem__, ids))
+        decoded = b"".join(map(table.__getitem__, ids))
+        return {"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(listed).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return assembled(docs, splitter(pattern), lambda piece: _tables(shared.value)[0](piece), digests, schema, arrow, "bpe")

@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, exact_dedup, mixing, near_dedup, ppm, quality, secrets, token_scan, vafile, warc
+from netloom.llm import bpe, exact_dedup, fim, mixing, near_dedup, pieces, ppm, quality, secrets, token_scan, trie, vafile, warc
 from netloom.session import ship
 
 #: Parameters: the vocabularies and the free id that ends a document.
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ENGLISH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN, END_OF_DOCUMENT = public_tokenizers.PATTERN, 50256
 
 
@@ -71,9 +72,38 @@ def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded into pieces and decoded."""
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), PIECES)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What starts the rebuilt conversations share."""
+    return trie.of_rebuilt(_table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text rearranged for filling in the middle, and rebuilt."""
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_separator_scan, op2_ppm, op3_bpe, op4_odd_sketches, op5_token_efficiency, op6_radix_dedup, op7_low_discrepancy_mix, op8_warc, op9_boosted_quality, op10_va_file)
+    for f in (
+        op1_separator_scan,
+        op2_ppm,
+        op3_bpe,
+        op4_odd_sketches,
+        op5_token_efficiency,
+        op6_radix_dedup,
+        op7_low_discrepancy_mix,
+        op8_warc,
+        op9_boosted_quality,
+        op10_va_file,
+        op11_sentencepiece,
+        op12_prefix_trie,
+        op13_fill_in_middle,
+    )
 }
 
 _UPPER = exact_dedup.UPPER
@@ -93,4 +123,6 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
+    "op12_prefix_trie": trie.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     registered = entry.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(registered) and set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
 
 
@@ -25,7 +25,7 @@ def test_query(spark, name):
     assert len(got)
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        for table in ("documents", "embeddings"):
+        for table in ("documents", "embeddings", "conversations"):
             con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         want = con.sql(queries.ORACLE_SQL[name]).df()
         columns = sorted(want.columns)
