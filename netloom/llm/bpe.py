@@ -12,6 +12,7 @@ import functools
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -19,7 +20,7 @@ from netloom.llm.distinct import assembled
 
 
 @functools.lru_cache(maxsize=2)
-def _tables(raw: bytes) -> tuple[Callable[[bytes], list[int]], list[bytes]]:
+def _tables(raw: bytes) -> tuple[Callable[[list[bytes]], list[list[int]]], list[bytes]]:
     """The piece encoder and the token-byte table of a rank file."""
     import tiktoken
 
@@ -29,7 +30,7 @@ def _tables(raw: bytes) -> tuple[Callable[[bytes], list[int]], list[bytes]]:
         table[rank] = token
     # Pieces arrive already split, so the pattern takes each whole.
     encoding = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-    return lambda piece: encoding.encode_ordinary(piece.decode()), table
+    return lambda pieces: [encoding.encode_ordinary(piece.decode()) for piece in pieces], table
 
 
 @functools.lru_cache(maxsize=2)
@@ -55,8 +56,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id long, ids array<int>): the ids of each text, without special tokens."""
     shared = _shared(docs, vocabulary)
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    own = lambda doc_id, ids: {"doc_id": doc_id, "ids": ids}
-    return assembled(docs, splitter(pattern), lambda piece: _tables(shared.value)[0](piece), own, "doc_id long, ids array<int>", arrow, "bpe")
+    own = lambda doc_id, ids: {"doc_id": doc_id, "ids": ids.tolist()}
+    return assembled(docs, splitter(pattern), lambda pieces: _tables(shared.value)[0](pieces), own, "doc_id long, ids array<int>", arrow, "bpe")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -77,11 +78,11 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     shared = _shared(docs, vocabulary)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def digests(doc_id: int | None, ids: list[int]) -> dict:
-        _, table = _tables(shared.value)
+    def digests(doc_id: int | None, ids: np.ndarray) -> dict:
+        (_, table), ids = _tables(shared.value), ids.tolist()
         listed = b",".join(map(_decimals(len(table)).__getitem__, ids))
         decoded = b"".join(map(table.__getitem__, ids))
         return {"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(listed).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return assembled(docs, splitter(pattern), lambda piece: _tables(shared.value)[0](piece), digests, schema, arrow, "bpe")
+    return assembled(docs, splitter(pattern), lambda pieces: _tables(shared.value)[0](pieces), digests, schema, arrow, "bpe")

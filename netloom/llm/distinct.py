@@ -21,22 +21,20 @@ from netloom.llm.common import blocks, grouped, pack_ints, partitions, read_bloc
 ANSWER = pa.schema([("block", pa.int64()), ("lids", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 
 
-def _answers(encode: Callable[[bytes], list[int]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _answers(encode: Callable[[list[bytes]], list[list[int]]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by bucket: encode a bucket's distinct words once, answer every block."""
 
-    class Known(dict):
-        def __missing__(self, word: bytes) -> list[int]:
-            self[word] = ids = encode(word)
-            return ids
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            bucket, known = None, Known()
+            bucket, known = None, {}
             for batch in batches:
                 for row in batch.to_pylist():
                     if row["bucket"] != bucket:
-                        bucket, known = row["bucket"], Known()
-                    found = [known[word] for word in unpack_words(row["a"])]
+                        bucket, known = row["bucket"], {}
+                    words = unpack_words(row["a"])
+                    new = [word for word in words if word not in known]
+                    known.update(zip(new, encode(new), strict=True))
+                    found = [known[word] for word in words]
                     counts = np.fromiter(map(len, found), np.uint32, len(found))
                     ids = np.fromiter((i for own in found for i in own), np.uint32, int(counts.sum()))
                     yield {"block": row["block"], "lids": row["b"], "counts": pack_ints(counts), "ids": pack_ints(ids)}
@@ -49,14 +47,14 @@ def _answers(encode: Callable[[bytes], list[int]]) -> Callable[[Iterable[pa.Reco
 def assembled(
     docs: DataFrame,
     split: Callable[[bytes], list[bytes]],
-    encode: Callable[[bytes], list[int]],
-    row: Callable[[int | None, list[int]], dict],
+    encode: Callable[[list[bytes]], list[list[int]]],
+    row: Callable[[int | None, np.ndarray], dict],
     schema: str,
     arrow: pa.Schema,
     name: str,
 ) -> DataFrame:
     """One row per document, ``row(doc_id, ids)``: ``split`` cuts a text into words, ``encode`` gives
-    a word's ids, and a document's ids are its words' by position.  All three run in tasks."""
+    words' ids, and a document's ids are its words' by position.  All three run in tasks."""
     spark = docs.sparkSession
     buckets = max(64, 2 * partitions(spark))
     words, folder = blocks(docs, split, -1, buckets, name)
@@ -68,23 +66,24 @@ def assembled(
     )
 
     def assemble(answers: pa.Table) -> pa.Table:
-        own: list[list[int]] = []
-        told = 0
+        dealt = read_block(folder, answers.column("block")[0].as_py())
+        # A word's ids by its number: where they start in all answers' ids, and how many they are.
+        starts, lens = np.zeros(dealt.kinds, np.int64), np.zeros(dealt.kinds, np.int64)
+        parts, told, at = [np.zeros(0, np.uint32)], 0, 0
         for answer in answers.to_pylist():
             lids, counts, ids = (unpack_ints(answer[k]) for k in ("lids", "counts", "ids"))
-            own += [[]] * max(0, int(lids.max(initial=0)) + 1 - len(own))
-            told += len(lids)
-            flat, ends = ids.tolist(), np.cumsum(counts).tolist()
-            start = 0
-            for lid, end in zip(lids.tolist(), ends, strict=True):
-                own[lid], start = flat[start:end], end
-        dealt = read_block(folder, answers.column("block")[0].as_py())
+            starts[lids], lens[lids] = at + np.cumsum(counts, dtype=np.int64) - counts, counts
+            parts.append(ids)
+            told, at = told + len(lids), at + len(ids)
         dealt.check(told)
-        start, out = 0, []
+        own, start, out = np.concatenate(parts).astype(np.int32), 0, []
         for (doc_id, _), n in zip(dealt.docs, dealt.lens.tolist(), strict=True):
-            out.append(row(doc_id, [i for word in dealt.flat[start : start + n].tolist() for i in own[word]]))
+            words = dealt.flat[start : start + n]
+            counts = lens[words]
+            before = np.cumsum(counts) - counts
+            out.append(row(doc_id, own[np.arange(counts.sum()) + np.repeat(starts[words] - before, counts)]))
             start += n
-        del own, dealt
+        del own, dealt, parts
         trim()
         return pa.Table.from_pylist(out, arrow)
 

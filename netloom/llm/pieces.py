@@ -19,6 +19,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,8 +32,9 @@ CHUNK = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
 
 class Model(NamedTuple):
     split: Callable[[bytes], list[bytes]]
-    encode: Callable[[bytes], list[int]]
-    decode: Callable[[list[int]], str]
+    encode: Callable[[list[bytes]], list[list[int]]]
+    decode: Callable[[np.ndarray], str]
+    decimals: list[str]
 
 
 def check(raw: bytes) -> None:
@@ -59,10 +61,19 @@ def load(raw: bytes) -> Model:
     plain.normalizer_spec.add_dummy_prefix = plain.normalizer_spec.remove_extra_whitespaces = False
     plain.normalizer_spec.precompiled_charsmap = b""
     bare = SentencePieceProcessor(model_proto=plain.SerializeToString())
+
+    def split(text: bytes) -> list[bytes]:
+        chunks = whole.normalize(text.decode())
+        if 2 * MARKER in chunks or not chunks.startswith(MARKER):
+            return [chunk.encode() for chunk in CHUNK.findall(chunks)]
+        front = MARKER.encode()
+        return [front + word for word in chunks.encode()[len(front) :].split(front)]
+
     return Model(
-        lambda text: [chunk.encode() for chunk in CHUNK.findall(whole.normalize(text.decode()))],
-        lambda chunk: bare.encode(chunk.decode()),
-        whole.decode,
+        split,
+        lambda chunks: bare.encode([chunk.decode() for chunk in chunks], num_threads=1),
+        lambda ids: whole.decode(ids) if len(ids) else "",
+        [str(i) for i in range(whole.get_piece_size())],
     )
 
 
@@ -78,8 +89,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id long, ids array<int>): the ids of each text, without begin or end."""
     shared = _shared(docs, model)
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    own = lambda doc_id, ids: {"doc_id": doc_id, "ids": ids}
-    return assembled(docs, lambda text: load(shared.value).split(text), lambda chunk: load(shared.value).encode(chunk), own, "doc_id long, ids array<int>", arrow, "pieces")
+    own = lambda doc_id, ids: {"doc_id": doc_id, "ids": ids.tolist()}
+    return assembled(docs, lambda text: load(shared.value).split(text), lambda chunks: load(shared.value).encode(chunks), own, "doc_id long, ids array<int>", arrow, "pieces")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -89,7 +100,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(shared.value)
         for batch in batches:
-            data = [own.decode(ids) if ids else "" for ids in batch.column(1).to_pylist()]
+            data = [own.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -100,10 +111,10 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     shared = _shared(docs, model)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def digests(doc_id: int | None, ids: list[int]) -> dict:
-        text = load(shared.value).decode(ids) if ids else ""
-        listed = ",".join(map(str, ids))
+    def digests(doc_id: int | None, ids: np.ndarray) -> dict:
+        own = load(shared.value)
+        text, listed = own.decode(ids), ",".join(map(own.decimals.__getitem__, ids.tolist()))
         return {"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(listed.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest()}
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return assembled(docs, lambda text: load(shared.value).split(text), lambda chunk: load(shared.value).encode(chunk), digests, schema, arrow, "pieces")
+    return assembled(docs, lambda text: load(shared.value).split(text), lambda chunks: load(shared.value).encode(chunks), digests, schema, arrow, "pieces")
