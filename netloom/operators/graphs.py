@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -11,11 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.model import KEYS
-
-#: Vectors of a block that neighbours are sought in.
-BLOCK = 4096
-#: Blocks of each side that share a key.
-GROUP = 64
+from netloom.operators import blocked
 
 
 def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
@@ -103,63 +99,18 @@ def build_delaunay(nodes: DataFrame, x: str = "x", y: str = "y", keys: Sequence[
     return own.groupBy(*keys).applyInPandas(one, schema)
 
 
-def _top(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    if metric == "cosine":
-        norm = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        d = 1 - norm(x) @ norm(y).T
-    elif metric == "manhattan":
-        d = np.stack([np.abs(y - row).sum(1) for row in x])
-    else:
-        d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
-    k = min(k, y.shape[0])
-    at = np.argpartition(d, k - 1, 1)[:, :k] if k else np.zeros((len(x), 0), np.int64)
-    return at, np.take_along_axis(d, at, 1)
-
-
 def knn(nodes: DataFrame, vector: str, k: int, metric: str = "euclidean", node_id: str = "node_id") -> DataFrame:
     """(src, dst, rank, distance): the ``k`` nearest others of each node; equal distances go to the
-    smaller id.
+    smaller id.  Nodes without a vector of finite components take no part; a zero vector is at a
+    cosine distance of 1 from all.
 
-    Nodes are packed into blocks; blocks meet in pairs, each pair in one task that ranks with
-    matrix products and keeps k + 1 candidates a node; a last ranking joins the pairs' answers.
+    Blocks of nodes meet in pairs, and only where their boxes come near enough (``blocked``); a last
+    ranking joins the pairs' answers.
     """
-    if metric not in ("euclidean", "manhattan", "cosine"):
-        raise ValueError("metric must be 'euclidean', 'manhattan' or 'cosine'")
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), BLOCK):
-                part = frame.iloc[i : i + BLOCK]
-                x = np.stack([np.asarray(v, float) for v in part["v"]])
-                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "dim": [x.shape[1]]})
-
-    own = nodes.select(F.col(node_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    own = own.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e)))
-    blocks = own.mapInPandas(pack, "ids binary, x binary, dim int").withColumn("deal", F.xxhash64("ids"))
-    # Blocks of thousands of nodes, not nodes, are paired: groups of GROUP blocks a side meet under
-    # the groups' numbers, so no key holds more, whatever the number of nodes.
-    deals = max(1, -(-blocks.count() // GROUP))
-    group, every = F.pmod("deal", F.lit(deals)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long")))
-    left = blocks.select("ids", "x", "dim", group.alias("g")).withColumn("h", every)
-    right = blocks.select(F.col("ids").alias("ids_b"), F.col("x").alias("x_b"), "dim", group.alias("h")).withColumn("g", every)
-    pairs = left.join(right, ["dim", "g", "h"])
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                a, b = np.frombuffer(row.ids, np.int64), np.frombuffer(row.ids_b, np.int64)
-                x, y = np.frombuffer(row.x).reshape(len(a), -1), np.frombuffer(row.x_b).reshape(len(b), -1)
-                for i in range(0, len(a), 512):
-                    at, d = _top(x[i : i + 512], y, k + 1, metric)
-                    src = np.repeat(a[i : i + 512], at.shape[1])
-                    out = pd.DataFrame({"src": src, "dst": b[at.ravel()], "d": d.ravel()})
-                    yield out[out["src"] != out["dst"]]
-
-    found = pairs.mapInPandas(search, "src long, dst long, d double")
-    order = Window.partitionBy("src").orderBy(F.round("d", 9), "dst")
+    found = blocked.neighbours(blocked.blocks(blocked.vectors(nodes, vector, node_id), k, metric), k, metric)
+    order = Window.partitionBy("src").orderBy("d", "dst")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    distance = F.sqrt("d") if metric == "euclidean" else F.col("d")
-    return ranked.select("src", "dst", "rank", distance.alias("distance"))
+    return ranked.select("src", "dst", "rank", (F.sqrt("d") if metric == "euclidean" else F.col("d")).alias("distance"))
 
 
 def link_isolated(nodes: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", k: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:

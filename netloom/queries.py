@@ -534,6 +534,15 @@ def knn_graph(spark, d):
     return _rounded(graphs.knn(_vectors(spark, d), "embedding", 10), "distance")
 
 
+@query("""WITH p AS (SELECT c_custkey AS id, c_nationkey::DOUBLE AS x, floor(c_acctbal / 1000)::DOUBLE AS y FROM customer),
+q AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM p a JOIN p b ON a.id <> b.id)
+SELECT src, dst, rank::INT AS rank, round(sqrt(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM q) WHERE rank <= 5""")
+def knn_repeated_vectors(spark, d):
+    """Customers that share both coordinates with many others."""
+    at = F.array(F.col("c_nationkey").cast("double"), F.floor(F.col("c_acctbal") / 1000).cast("double"))
+    return _rounded(graphs.knn(table(spark, d, "customer").select("c_custkey", at.alias("v")), "v", 5, node_id="c_custkey"), "distance")
+
+
 def _points(spark, d):
     return _vectors(spark, d).select(F.col("label").alias("patient"), F.lit("0").alias("sample"), "node_id", F.col("f0").alias("x"), F.col("f1").alias("y"))
 
