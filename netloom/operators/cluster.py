@@ -1,8 +1,8 @@
 """Clustering of embeddings and of their neighbour graphs.
 
-The neighbour graph, distances and counts are made on the cluster.  Modularity optimisation and
-density hierarchies then run on the driver over the graph's edges (about k per node) and take at
-most ``MOST`` nodes; mixtures and spectral cuts are Spark's own and have no such bound.
+Graphs of more than ``FEW`` edges are contracted on the cluster until they have no more
+(``communities``); only what is left of them is finished on the driver.  Mixtures and spectral cuts
+are Spark's own.
 """
 
 from __future__ import annotations
@@ -13,9 +13,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators.blocked import written
+from netloom.operators.communities import both_ends, degrees, moved, shrunk
+from netloom.operators.curate import relabel
 from netloom.operators.graphs import knn
 
+#: Nodes that a density hierarchy takes, at most.
 MOST = 500_000
+#: Edges, from both ends, of a graph that the driver finishes.
+FEW = 200_000
 
 
 def _few(edges: DataFrame, a: str, b: str, what: str) -> None:
@@ -25,15 +31,11 @@ def _few(edges: DataFrame, a: str, b: str, what: str) -> None:
         raise ValueError(f"{what} takes at most {MOST} nodes and {64 * MOST} edges")
 
 
-def _graph(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, i, j, w): a symmetric graph, each undirected edge from both ends."""
-    pair = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("w"))
-    _few(pair, "a", "b", "graph clustering")
-    frame = pair.groupBy("a", "b").agg(F.max("w").alias("w")).toPandas().sort_values(["a", "b"])
-    ids = np.unique(frame[["a", "b"]].to_numpy(np.int64))
-    a, b, w = np.searchsorted(ids, frame["a"]), np.searchsorted(ids, frame["b"]), frame["w"].to_numpy(float)
-    loop = a == b
-    return ids, np.r_[a, b[~loop]], np.r_[b, a[~loop]], np.r_[w, w[~loop]]
+def _arrays(graph: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, i, j, w) of a graph of at most FEW rows (i, j, w)."""
+    frame = graph.toPandas().sort_values(["i", "j"])
+    ids = np.unique(frame["i"].to_numpy(np.int64))
+    return ids, np.searchsorted(ids, frame["i"]), np.searchsorted(ids, frame["j"]), frame["w"].to_numpy(float)
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -83,16 +85,30 @@ def _moved(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, gamma: float, rn
     return label
 
 
-def leiden_labels(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0, levels: int = 50) -> np.ndarray:
-    """Communities by local moving, refinement within communities and aggregation, in turn."""
-    rng, whole = np.random.default_rng(seed), np.arange(n)
-    label = np.arange(n)
+def connected(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels, with each community's connected pieces told apart: that never lowers modularity."""
+    piece, inner = np.arange(len(label)), label[i] == label[j]
+    a, b = i[inner], j[inner]
+    while True:
+        least = piece.copy()
+        np.minimum.at(least, a, piece[b])
+        least = least[least]
+        if (least == piece).all():
+            return np.unique(piece, return_inverse=True)[1]
+        piece = least
+
+
+def leiden_labels(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0, levels: int = 50, start: np.ndarray | None = None) -> np.ndarray:
+    """Communities by local moving, refinement within communities and aggregation, in turn; ``start``
+    are the communities that nodes begin in, else each is its own."""
+    rng, whole, ends = np.random.default_rng(seed), np.arange(n), (i, j)
+    label = np.arange(n) if start is None else start
     for _ in range(levels):
         moved = np.unique(_moved(n, i, j, w, resolution, rng, label), return_inverse=True)[1]
         refined = np.unique(_moved(n, i, j, w, resolution, rng, np.arange(n), moved), return_inverse=True)[1]
         m = int(refined.max()) + 1 if n else 0
         if m == n:
-            return np.unique(moved[whole], return_inverse=True)[1]
+            return connected(moved[whole], *ends)
         community = np.zeros(m, np.int64)
         community[refined] = moved
         key = refined[i] * m + refined[j]
@@ -103,7 +119,7 @@ def leiden_labels(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, resolutio
         first = np.full(int(community.max()) + 1, n)
         np.minimum.at(first, community, np.arange(n))
         label = first[community]
-    return np.unique(label[whole], return_inverse=True)[1]
+    return connected(label[whole], *ends)
 
 
 def _labelled(spark, ids: np.ndarray, labels: np.ndarray) -> DataFrame:
@@ -115,21 +131,44 @@ def knn_edges(df: DataFrame, vector: str, k: int, metric: str = "euclidean", nod
     return knn(df, vector, k, metric, node_id).select("src", "dst", F.lit(1.0).alias("weight"))
 
 
-def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
-    """(node_id, label)."""
-    ids, i, j, w = _graph(edges)
-    return _labelled(edges.sparkSession, ids, leiden_labels(len(ids), i, j, w, resolution, seed))
+def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0, few: int | None = None) -> DataFrame:
+    """(node_id, label): connected communities of edges (src, dst, weight), by Leiden's method."""
+    return _leiden(both_ends(edges), resolution, seed, FEW if few is None else few)
 
 
-def ecg(edges: DataFrame, min_weight: float = 0.05, ensemble: int = 20, resolution: float = 1.0, seed: int = 0) -> DataFrame:
+def _leiden(graph: DataFrame, resolution: float, seed: int, few: int) -> DataFrame:
+    spark = graph.sparkSession
+    small, places, communities = shrunk(graph, resolution, seed, few)
+    if small.count() > max(few, FEW):  # nothing comes together any more: what is left are the communities
+        ids = degrees(small).select(F.col("v").alias("c"))
+        labels = places.select("node_id", F.col("v").alias("c")) if places is not None else ids.select(F.col("c").alias("node_id"), "c")
+        return relabel(labels.withColumnRenamed("c", "label"))
+    ids, i, j, w = _arrays(small)
+    start = None
+    if communities is not None:
+        own = communities.toPandas().set_index("v")["c"]
+        start = np.searchsorted(ids, own.loc[ids].to_numpy(np.int64))
+    labels = _labelled(spark, ids, leiden_labels(len(ids), i, j, w, resolution, seed, start=start))
+    return labels if places is None else places.join(labels.withColumnRenamed("node_id", "v"), "v").select("node_id", "label")
+
+
+def ecg(edges: DataFrame, min_weight: float = 0.05, ensemble: int = 20, resolution: float = 1.0, seed: int = 0, few: int | None = None) -> DataFrame:
     """(node_id, label): edges are weighed by how often one level of moving puts their ends together,
     over an ensemble; the weighted graph is then clustered."""
-    ids, i, j, w = _graph(edges)
+    spark, graph, few = edges.sparkSession, both_ends(edges), FEW if few is None else few
+    if graph.count() > few:
+        runs = degrees(graph).select(F.explode(F.sequence(F.lit(0), F.lit(ensemble - 1))).alias("r"), "v", "k", F.col("v").alias("c"))
+        nodes = moved(graph, written(runs, "runs"), resolution, seed)
+        at = lambda end, out: nodes.select(F.col("v").alias(end), "r", F.col("c").alias(out))
+        met = graph.join(at("i", "x"), "i").join(at("j", "y"), ["j", "r"])
+        share = met.groupBy("i", "j").agg(F.first("w").alias("w"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("share"))
+        return _leiden(written(share.select("i", "j", (F.col("w") * (min_weight + (1 - min_weight) * F.col("share"))).alias("w")), "weighted"), resolution, seed, few)
+    ids, i, j, w = _arrays(graph)
     n, together = len(ids), np.zeros(len(w))
     for r in range(ensemble):
         own = _moved(n, i, j, w, resolution, np.random.default_rng(seed + r), np.arange(n))
         together += own[i] == own[j]
-    return _labelled(edges.sparkSession, ids, leiden_labels(n, i, j, w * (min_weight + (1 - min_weight) * together / max(ensemble, 1)), resolution, seed))
+    return _labelled(spark, ids, leiden_labels(n, i, j, w * (min_weight + (1 - min_weight) * together / max(ensemble, 1)), resolution, seed))
 
 
 def spectral(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:

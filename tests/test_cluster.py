@@ -73,9 +73,59 @@ def test_screen_resumes(spark, tmp_path):
     assert sorted(map(tuple, run().collect())) == sorted(map(tuple, first.collect()))
 
 
-def test_large_graphs_are_refused_before_they_are_collected(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "MOST", 50)
-    edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
-    monkeypatch.setattr(type(edges), "toPandas", lambda _: pytest.fail("collected"))
-    with pytest.raises(ValueError, match="at most 50"):
-        cluster.leiden(edges)
+def quality(edges, labels):
+    return cluster.modularity(edges, labels).first()[0]
+
+
+def split_communities(edges, labels):
+    """Communities that are in several pieces."""
+    label = {r["node_id"]: r["label"] for r in labels.collect()}
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+        near.setdefault(r["dst"], set()).add(r["src"])
+    assert set(label) == set(near)
+    seen, pieces = set(), {}
+    for v in label:
+        if v not in seen:
+            pieces[label[v]] = pieces.get(label[v], 0) + 1
+            stack = [v]
+            while stack:
+                x = stack.pop()
+                if x not in seen:
+                    seen.add(x)
+                    stack += [y for y in near[x] if label[y] == label[x]]
+    return [c for c, n in pieces.items() if n > 1]
+
+
+def test_graphs_are_contracted_on_the_cluster(spark, monkeypatch):
+    """Contracting on the cluster costs at most a hundredth of the driver's modularity, and no
+    more than the contracted graph is collected."""
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.uniform(0, 20, (12, 3)), 50, 0) + rng.normal(size=(600, 3))
+    points = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "node_id long, v array<double>")
+    edges = cluster.knn_edges(points, "v", 8).cache()
+    whole = cluster.leiden(edges)
+    collected, to_pandas = [], type(edges).toPandas
+    monkeypatch.setattr(type(edges), "toPandas", lambda df: collected.append(df.count()) or to_pandas(df))
+    parts = cluster.leiden(edges, few=3000).cache()
+    assert max(collected) <= 3000 < 2 * edges.count()
+    assert quality(edges, parts) > 0.99 * quality(edges, whole)
+    assert split_communities(edges, parts) == split_communities(edges, whole) == []
+    again = cluster.leiden(edges, few=3000)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_ensembles_on_the_cluster(spark):
+    df = blobs(spark)
+    edges = cluster.knn_edges(df, "vector", 8).cache()
+    labels = cluster.ecg(edges, resolution=0.5, ensemble=4, few=100).cache()
+    assert labels.count() == 90 and pure(df, labels)
+
+
+def test_nothing_comes_together(spark):
+    """At a huge resolution every node is a community of its own."""
+    edges = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    labels = cluster.leiden(edges, resolution=1e6, few=10)
+    assert labels.select("label").distinct().count() == labels.count() == 61
+    assert cluster.leiden(edges.where("false")).count() == 0
