@@ -137,8 +137,16 @@ def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0, few: int |
 
 
 def _leiden(graph: DataFrame, resolution: float, seed: int, few: int) -> DataFrame:
+    """Graphs that are contracted are gone through twice, the second time from the first result."""
+    labels = _pass(graph, resolution, seed, few)
+    if graph.count() <= few:
+        return labels
+    return _pass(graph, resolution, seed + 7919, few, written(labels.select(F.col("node_id").alias("v"), F.col("label").cast("long").alias("c")), "labels"))
+
+
+def _pass(graph: DataFrame, resolution: float, seed: int, few: int, communities: DataFrame | None = None) -> DataFrame:
     spark = graph.sparkSession
-    small, places, communities = shrunk(graph, resolution, seed, few)
+    small, places, communities = shrunk(graph, resolution, seed, few, communities)
     if small.count() > max(few, FEW):  # nothing comes together any more: what is left are the communities
         ids = degrees(small).select(F.col("v").alias("c"))
         labels = places.select("node_id", F.col("v").alias("c")) if places is not None else ids.select(F.col("c").alias("node_id"), "c")

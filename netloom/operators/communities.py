@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from netloom.operators.blocked import written
 
 #: Rounds of moving and of refinement at each level.
-MOVES, MERGES = 8, 4
+MOVES, MERGES = 12, 4
 #: A gain below this is none: sums depend on their order.
 LEAST = 1e-9
 
@@ -94,12 +94,12 @@ def contracted(graph: DataFrame, parts: DataFrame) -> DataFrame:
     return written(graph.join(at("i"), "i").join(at("j"), "j").groupBy(F.col("i2").alias("i"), F.col("j2").alias("j")).agg(F.sum("w").alias("w")), "contracted")
 
 
-def shrunk(graph: DataFrame, gamma: float, seed: int, few: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def shrunk(graph: DataFrame, gamma: float, seed: int, few: int, communities: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(graph, places, communities): the graph contracted until it has at most ``few`` edges or no parts
     come together any more; (node_id, v) says which of its nodes a node went into, and (v, c) which
-    community each of its nodes was in (both None where nothing was done)."""
-    places = communities = None
-    level = 0
+    community each of its nodes was in (both None where nothing was done).  ``communities`` (v, c) are
+    those that nodes begin in, else each is its own."""
+    places, level = None, 0
     while graph.count() > few:
         nodes = degrees(graph).withColumn("r", F.lit(0))
         if communities is None:
