@@ -13,24 +13,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators import density
 from netloom.operators.blocked import written
 from netloom.operators.communities import both_ends, degrees, moved, shrunk
 from netloom.operators.curate import relabel
 from netloom.operators.graphs import knn
 
-#: Nodes that a density hierarchy takes, at most.
-MOST = 500_000
 #: Edges, from both ends, of a graph that the driver finishes.
 FEW = 200_000
 
 
-def _few(edges: DataFrame, a: str, b: str, what: str) -> None:
-    """Refuse graphs of more than MOST nodes or 64 edges a node before anything is collected."""
-    nodes = edges.select(F.explode(F.array(a, b)).alias("x")).agg(F.count_distinct("x")).first()[0]
-    if nodes > MOST or edges.count() > 64 * MOST:
-        raise ValueError(f"{what} takes at most {MOST} nodes and {64 * MOST} edges")
-
-
 def _arrays(graph: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, i, j, w) of a graph of at most FEW rows (i, j, w)."""
     frame = graph.toPandas().sort_values(["i", "j"])
@@ -195,101 +187,11 @@ def gaussian_mixture(df: DataFrame, vector: str, k: int, seed: int = 0, node_id:
     return out.select("node_id", F.col("prediction").alias("label"), vector_to_array("probability").alias("probability"))
 
 
-def _tree(n: int, edges: list[tuple[float, int, int]], least: int) -> np.ndarray:
-    """Labels of the most stable clusters of a single-linkage tree; -1 for noise."""
-    parent, size, node = list(range(2 * n)), [1] * n + [0] * n, list(range(n))
-    find_cache = list(range(n))
-
-    def find(x: int) -> int:
-        while find_cache[x] != x:
-            find_cache[x] = find_cache[find_cache[x]]
-            x = find_cache[x]
-        return x
-
-    left, right, height, next_ = {}, {}, {}, n
-    for d, a, b in sorted(edges):
-        x, y = find(a), find(b)
-        if x == y:
-            continue
-        u, v = node[x], node[y]
-        left[next_], right[next_], height[next_], size[next_] = u, v, d, size[u] + size[v]
-        parent[u] = parent[v] = next_
-        find_cache[y], node[x] = x, next_
-        next_ += 1
-    roots = [node[r] for r in {find(x) for x in range(n)}]
-
-    def leaves(t: int) -> list[int]:
-        out, stack = [], [t]
-        while stack:
-            x = stack.pop()
-            out.append(x) if x < n else stack.extend((left[x], right[x]))
-        return out
-
-    labels, chosen = np.full(n, -1), []
-    # Condense: a split where both sides are large starts two clusters; points fall out otherwise.
-    for root in roots:
-        if size[root] < least:
-            continue
-        clusters, stack = [], [(root, -1, 0.0)]
-        while stack:
-            t, up, birth = stack.pop()
-            own, stability, x = len(clusters), 0.0, t
-            clusters.append([t, up, 0.0, []])
-            while x >= n:
-                level = 1 / max(height[x], 1e-12)
-                a, b = left[x], right[x]
-                if size[a] >= least and size[b] >= least:
-                    stability += size[x] * (level - birth)
-                    stack += [(a, own, level), (b, own, level)]
-                    break
-                small, x2 = (a, b) if size[a] < size[b] else (b, a)
-                stability += size[small] * (level - birth)
-                if size[x2] < least:
-                    stability += size[x2] * (level - birth)
-                    break
-                x = x2
-            clusters[own][2] = stability
-            if up >= 0:
-                clusters[up][3].append(own)
-        best = [0.0] * len(clusters)
-        keep = [False] * len(clusters)
-        for c in range(len(clusters) - 1, -1, -1):
-            inner = sum(best[k] for k in clusters[c][3])
-            keep[c] = not clusters[c][3] or (clusters[c][2] >= inner and c > 0)
-            best[c] = clusters[c][2] if keep[c] else inner
-        stack = [0]
-        while stack:
-            c = stack.pop()
-            chosen.append(clusters[c][0]) if keep[c] else stack.extend(clusters[c][3])
-    for k, t in enumerate(sorted(chosen)):
-        labels[leaves(t)] = k
-    return labels
-
-
 def hdbscan(df: DataFrame, vector: str, min_cluster_size: float = 0.001, min_samples: int = 1, k: int = 15, noise_to_cluster: bool = False, metric: str = "euclidean", node_id: str = "node_id") -> DataFrame:
     """(node_id, label), -1 for noise: the most stable clusters of mutual reachability distances over
-    the ``k``-nearest-neighbour graph.  A size below 1 is a share of all nodes; with
-    ``noise_to_cluster`` noise takes its nearest cluster in the graph."""
-    near = knn(df, vector, max(k, min_samples), metric, node_id)
-    core = near.where(F.col("rank") == min_samples).select(F.col("src").alias("id"), F.col("distance").alias("core"))
-    reach = near.join(core.select(F.col("id").alias("src"), F.col("core").alias("c1")), "src").join(core.select(F.col("id").alias("dst"), F.col("core").alias("c2")), "dst")
-    reach = reach.select("src", "dst", F.greatest("c1", "c2", "distance").alias("d"))
-    _few(reach, "src", "dst", "a density hierarchy")
-    frame = reach.toPandas()
-    ids = np.unique(frame[["src", "dst"]].to_numpy(np.int64))
-    n = len(ids)
-    a, b, d = np.searchsorted(ids, frame["src"]), np.searchsorted(ids, frame["dst"]), frame["d"].to_numpy(float)
-    least = max(2, int(round(min_cluster_size * n)) if min_cluster_size < 1 else int(min_cluster_size))
-    labels = _tree(n, list(zip(d.tolist(), a.tolist(), b.tolist(), strict=True)), least)
-    if noise_to_cluster and (labels >= 0).any():
-        order = np.argsort(d, kind="stable")
-        changed = True
-        while changed and (labels < 0).any():
-            changed = False
-            for x, y in zip(np.r_[a[order], b[order]], np.r_[b[order], a[order]], strict=True):
-                if labels[x] < 0 <= labels[y]:
-                    labels[x], changed = labels[y], True
-    return _labelled(df.sparkSession, ids, labels)
+    all pairs of points.  A size below 1 is a share of all nodes; with ``noise_to_cluster`` noise takes
+    the cluster of its nearest point that is in one.  ``k`` has no effect: the hierarchy is exact."""
+    return density.hdbscan(df, vector, min_cluster_size, min_samples, noise_to_cluster, metric, node_id)
 
 
 def cluster(df: DataFrame, vector: str, kind: str = "leiden", n_neighbors: int = 15, k_cluster: int = 15, metric: str = "euclidean", n_clusters: int | None = None, resolution: float = 1.0, min_cluster_size: float = 0.001, flavor: str | None = None, seed: int = 0, node_id: str = "node_id", **options) -> tuple[DataFrame, int]:
