@@ -13,9 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.ranks import running
-
-#: Subjects of a Cox model, at most: a cohort's, and the model runs on the driver.
-COX_MOST = 100_000
+from netloom.operators import cox as models
 
 
 def support_filter(df: DataFrame, columns: Sequence[str], support: int = 1) -> list[str]:
@@ -217,34 +215,64 @@ def c_index(score: np.ndarray, time: np.ndarray, event: np.ndarray) -> float:
     return (good + tied / 2) / pairs if pairs else float("nan")
 
 
+def _alphas(slope: float, l1: float, n_alphas: int) -> np.ndarray:
+    """Falling penalties, from one that leaves no coefficient."""
+    return slope / max(l1, 0.05) * np.logspace(0, -2, n_alphas)
+
+
 def cox(df: DataFrame, duration: str, event: str, columns: Sequence[str], key: str, l1_ratios: Sequence[float] = (0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 1.0), n_alphas: int = 20, folds: int = 5, seed: int = 0) -> dict:
     """{'params', 'coef', 'score'}: the elastic-net Cox model of the best cross-validated concordance.
 
-    Subjects, at most ``COX_MOST``, come to the driver with the chosen columns only."""
-    own = df.select(F.col(key).alias("key"), F.col(duration).cast("double").alias("t"), (F.col(event).cast("int") != 0).alias("e"), *(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns))).na.drop()
-    frame = own.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(folds))).orderBy("key").limit(COX_MOST + 1).toPandas()
-    if len(frame) > COX_MOST:
-        raise ValueError(f"a Cox model takes at most {COX_MOST} subjects")
-    x, t, e, fold = frame[[f"x{i}" for i in range(len(columns))]].to_numpy(float), frame["t"].to_numpy(float), frame["e"].to_numpy(bool), frame["fold"].to_numpy()
-    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    order = np.argsort(-t, kind="stable")
-    slope = np.abs(_cox_terms(x[order], t[order], e[order].astype(float), np.zeros(x.shape[1]))[0] @ x[order]).max() / max(len(x), 1)
+    Subjects lie in blocks (``cox``).  One block is fitted on the driver, more in passes over them, all
+    folds and l1 ratios of an alpha together; both fit the same model."""
+    blocks = models.cohort(df, duration, event, columns, key, folds, seed)
+    small = blocks.limit(2).collect() if blocks.limit(2).count() < 2 else None
+    best, beta, score = _cox_here(small, columns, l1_ratios, n_alphas, folds) if small is not None else _cox_passes(blocks, len(columns), l1_ratios, n_alphas, folds)
+    rows = [(c, float(b), float(np.exp(b))) for c, b in zip(columns, beta, strict=True)]
+    return {"params": {"alpha": best[1], "l1_ratio": best[2], "cv_score": best[0]}, "score": score, "coef": df.sparkSession.createDataFrame(rows, "variable string, coef double, hr double")}
+
+
+def _better(best: tuple | None, found: Sequence[float], alpha: float, l1: float) -> tuple:
+    mean = np.nanmean(found) if not np.isnan(found).all() else -1.0
+    return (float(mean), float(alpha), float(l1)) if best is None or mean > best[0] + 1e-12 else best
+
+
+def _cox_here(rows: list, columns: Sequence[str], l1_ratios: Sequence[float], n_alphas: int, folds: int) -> tuple[tuple, np.ndarray, float]:
+    t, e, fold, x = models.opened(rows[0]) if rows else (np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros((0, len(columns))))
+    slope = np.abs(_cox_terms(x, t, e, np.zeros(x.shape[1]))[0] @ x).max() / max(len(x), 1)
     best = None
     for l1 in l1_ratios:
-        alphas = slope / max(l1, 0.05) * np.logspace(0, -2, n_alphas)
         betas = [None] * folds
-        for alpha in alphas:
+        for alpha in _alphas(slope, l1, n_alphas):
             found = []
             for k in range(folds):
                 inn = fold != k
                 betas[k] = cox_fit(x[inn], t[inn], e[inn], alpha, l1, betas[k])
                 found.append(c_index(x[~inn] @ betas[k], t[~inn], e[~inn]))
-            mean = np.nanmean(found) if not np.isnan(found).all() else -1.0
-            if best is None or mean > best[0] + 1e-12:
-                best = (float(mean), float(alpha), float(l1))
+            best = _better(best, found, alpha, l1)
     beta = cox_fit(x, t, e, best[1], best[2])
-    rows = [(c, float(b), float(np.exp(b))) for c, b in zip(columns, beta, strict=True)]
-    return {"params": {"alpha": best[1], "l1_ratio": best[2], "cv_score": best[0]}, "score": c_index(x @ beta, t, e), "coef": df.sparkSession.createDataFrame(rows, "variable string, coef double, hr double")}
+    return best, beta, c_index(x @ beta, t, e)
+
+
+def _cox_passes(blocks: DataFrame, p: int, l1_ratios: Sequence[float], n_alphas: int, folds: int) -> tuple[tuple, np.ndarray, float]:
+    from netloom.operators.survival import concordances
+
+    n, gradient, _ = models.sums(blocks, [(np.zeros(p), -1)])[0]
+    slope, each = np.abs(gradient).max() / max(n, 1), [(l1, k) for l1 in l1_ratios for k in range(folds)]
+    betas, scores = [np.zeros(p)] * len(each), {}
+    for step in range(n_alphas):
+        alphas = [_alphas(slope, l1, n_alphas)[step] for l1, _ in each]
+        betas = models.fits(blocks, [(alpha, l1, k) for alpha, (l1, k) in zip(alphas, each, strict=True)], betas)
+        held = models.scored(blocks, [(i, beta, k) for i, (beta, (_, k)) in enumerate(zip(betas, each, strict=True))])
+        for r in concordances(held, "s", "t", "e", ["model"]).collect():
+            l1 = each[r["model"]][0]
+            scores.setdefault((l1, step), []).append(float("nan") if r["cindex"] is None else r["cindex"])
+    best = None
+    for l1 in l1_ratios:
+        for step, alpha in enumerate(_alphas(slope, l1, n_alphas)):
+            best = _better(best, scores.get((l1, step), [float("nan")]), alpha, l1)
+    beta = models.fits(blocks, [(best[1], best[2], -1)], [np.zeros(p)])[0]
+    return best, beta, concordances(models.scored(blocks, [(0, beta, -1)]), "s", "t", "e").first()["cindex"]
 
 
 def find_survival_variable(df: DataFrame, duration: str, event: str, columns: Sequence[str]) -> DataFrame:
@@ -253,19 +281,12 @@ def find_survival_variable(df: DataFrame, duration: str, event: str, columns: Se
 
     rows = []
     for c in columns:
-        coef = cox_fit(*_single(df, duration, event, c), 1e-6, 0.0)[0]
+        blocks = models.cohort(df, duration, event, [c])
+        coef = models.fits(blocks, [(1e-6, 0.0, -1)], [np.zeros(1)])[0][0] if not blocks.isEmpty() else 0.0
         rows.append((c, float(coef), concordance(df.withColumn("_s", F.col(f"`{c}`") * float(np.sign(coef) or 1)), "_s", duration, event).first()["cindex"]))
     return df.sparkSession.createDataFrame(rows, "variable string, coef double, cindex double").orderBy(F.col("cindex").desc())
 
 
-def _single(df: DataFrame, duration: str, event: str, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    frame = df.select(F.col(duration).cast("double").alias("t"), (F.col(event).cast("int") != 0).alias("e"), F.col(f"`{column}`").cast("double").alias("x")).na.drop().limit(COX_MOST + 1).toPandas()
-    if len(frame) > COX_MOST:
-        raise ValueError(f"a Cox model takes at most {COX_MOST} subjects")
-    x = frame[["x"]].to_numpy(float)
-    return (x - x.mean()) / (x.std() or 1), frame["t"].to_numpy(float), frame["e"].to_numpy(bool)
-
-
 def boosted(*_, **__):
     """Not computed: there is no definition to compute."""
     raise NotImplementedError("boosted models aren't defined")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from netloom.functions import stats
-from netloom.operators import differential, regress, risk, survival
+from netloom.operators import cox, differential, regress, risk, survival
 
 
 def test_distribution_functions():
@@ -167,15 +167,52 @@ def test_cox_and_univariate(spark):
         regress.boosted()
 
 
-def test_single_cox_models_never_drop_subjects(spark, monkeypatch):
-    from netloom.operators import regress
-
-    df = spark.createDataFrame([(float(i + 1), i % 2, float(i % 7)) for i in range(30)], "t double, e int, x double")
-    monkeypatch.setattr(regress, "COX_MOST", 30)
-    assert regress.find_survival_variable(df, "t", "e", ["x"]).count() == 1
-    monkeypatch.setattr(regress, "COX_MOST", 29)
-    with pytest.raises(ValueError, match="at most 29 subjects"):
-        regress.find_survival_variable(df, "t", "e", ["x"])
+@pytest.mark.parametrize("times", [1000, 7, 1])
+def test_cox_across_blocks(spark, monkeypatch, times):
+    """Passes over blocks of falling time against the fit of all subjects at once; times repeat, within
+    and across blocks."""
+    rng = np.random.default_rng(times)
+    x = rng.normal(size=(300, 3))
+    t = np.ceil(rng.exponential(1 / np.exp(x @ [0.8, 0.0, -0.5])) * times) if times > 1 else np.ones(300)
+    e = rng.random(300) < 0.7
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(t[i]), int(e[i])) for i in range(300)], "id long, a double, b double, c double, t double, e int")
+    monkeypatch.setattr(cox, "BLOCK", 23)
+    blocks = cox.cohort(df, "t", "e", ["a", "b", "c"], "id", 3)
+    assert blocks.count() >= 300 / 23
+    rows = [cox.opened(r) for r in blocks.collect()]
+    t2, e2, fold, x2 = (np.concatenate(v) for v in zip(*rows, strict=True))
+    settings = [(0.01, 0.5, -1), (0.05, 1.0, -1), (0.02, 0.1, 1)]
+    for (alpha, l1, out), beta in zip(settings, cox.fits(blocks, settings, [np.zeros(3)] * 3), strict=True):
+        inn = fold != out
+        assert beta == pytest.approx(regress.cox_fit(x2[inn], t2[inn], e2[inn], alpha, l1), abs=1e-5)
+
+
+def test_cox_models_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 2))
+    t = np.ceil(rng.exponential(1 / np.exp(x[:, 0])) * 20)
+    df = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), float(t[i]), 1) for i in range(120)], "id long, a double, b double, t double, e int")
+    fit = lambda: regress.cox(df, "t", "e", ["a", "b"], "id", l1_ratios=(0.5,), n_alphas=2, folds=2)
+    here = fit()
+    monkeypatch.setattr(cox, "BLOCK", 40)
+    there = fit()
+    assert there["params"] == pytest.approx(here["params"]) and there["score"] == pytest.approx(here["score"])
+    assert [r["coef"] for r in there["coef"].collect()] == pytest.approx([r["coef"] for r in here["coef"].collect()], abs=1e-5)
+
+
+@pytest.mark.parametrize("times,scores,ranges", [(1000, 1000, 16), (9, 5, 4), (50, 1000, 8), (1000, 3, 8), (1, 40, 4), (60, 60, 2)])
+def test_concordance_by_ranges(spark, monkeypatch, times, scores, ranges):
+    """Against all pairs, with repeated times and scores, in two groups at once."""
+    monkeypatch.setattr(survival, "RANGES", ranges)
+    rng = np.random.default_rng(times + scores)
+    t, v, e, g = rng.integers(0, times, 400), rng.integers(0, scores, 400), rng.random(400) < 0.6, rng.integers(0, 2, 400)
+    df = spark.createDataFrame([(float(v[i]), float(t[i]), int(e[i]), int(g[i])) for i in range(400)] + [(None, 1.0, 1, 0)], "v double, t double, e int, g int")
+    for r in survival.concordances(df, "v", "t", "e", ["g"]).collect():
+        own = g == r["g"]
+        later = (t[own][None] > t[own][:, None]) | ((t[own][None] == t[own][:, None]) & ~e[own][None])
+        pairs = later & e[own][:, None]
+        want = (pairs & (v[own][:, None] > v[own][None])).sum(), (pairs & (v[own][:, None] == v[own][None])).sum(), pairs.sum()
+        assert (r["concordant"], r["tied"], r["comparable"]) == want
 
 
 def orders(n, m):
