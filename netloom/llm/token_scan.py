@@ -106,14 +106,19 @@ def scan(files: DataFrame, separator: int, block_bytes: int = BLOCK_BYTES) -> Da
         .repartition(partitions(spark), "file", "block")
         .mapInArrow(search, "file string, block long, upto long, ends array<long>")
     )
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last_end = F.element_at("ends", -1) + 1
-    stitched = found.withColumn("seps", F.size("ends")).withColumn("last_end", F.when(F.col("seps") > 0, last_end)).select(
-        "file", "ends", "upto",
+    # The prefix scan runs over three numbers a block; the separators' places stay where they are.
+    found = saved(found, "token-ends")
+    seps = F.size("ends")
+    short = found.select("file", "block", seps.alias("seps"), F.when(seps > 0, F.element_at("ends", -1) + 1).alias("last_end"))
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    scanned = short.select(
+        "file", "block",
         F.coalesce(F.sum("seps").over(before), F.lit(0)).cast("long").alias("ordinal"),
         F.coalesce(F.max("last_end").over(before), F.lit(0)).alias("begun"),
-        F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("last"),
+        F.lead("block").over(order).isNull().alias("last"),
     )
+    stitched = found.join(scanned, ["file", "block"])
     # Each document's start is the last separator before it, in this block or in an earlier one;
     # a file's last block adds the document that no separator ends.
     ends = F.when(F.col("last"), F.concat("ends", F.array(F.col("upto")))).otherwise(F.col("ends"))

@@ -85,6 +85,17 @@ def test_scan_of_foreign_files(spark, tmp_path, separator, kind):
         assert sorted(map(tuple, token_scan.scan(files, separator, block).collect())) == sorted(want)
 
 
+def test_prefix_scan_sorts_no_places(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(np.array([1, 9, 2, 9], "<u2").tobytes())
+    plan = token_scan.scan(spark.createDataFrame([(f"file://{tmp_path}/x.bin",)], "file string"), 9)._jdf.queryExecution().optimizedPlan()
+    scans, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        scans += [node.output().mkString(" ")] if node.nodeName() == "Window" else []
+    assert scans and not any("ends#" in out for out in scans)
+
+
 def test_cut_token_raises(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="ends within a token"):
