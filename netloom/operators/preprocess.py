@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.model import KEYS
+from netloom.operators import across, blocked
 
 
 def rescale(df: DataFrame, columns: Sequence[str], low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -56,76 +58,132 @@ def aggregate(samples: Sequence[DataFrame], columns: Sequence[str] | None = None
 
 # ---- batch correction ----------------------------------------------------------------------------
 
-#: Points of a batch that matching uses, those with the smallest md5 of their id; neighbours; rounds.
-ANCHORS, NEAREST, ROUNDS = 2000, 20, 4
-
-
-def _principal(x: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    mean = x.mean(0)
-    return mean, np.linalg.svd(x - mean, full_matrices=False)[2][:dims].T
-
-
-def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    k, step = min(k, len(b)), max((1 << 22) // max(len(b), 1), 1)
-    out = np.empty((len(a), k), np.int64)
-    for i in range(0, len(a), step):
-        own = a[i : i + step]
-        d = (own * own).sum(1)[:, None] + (b * b).sum(1) - 2 * own @ b.T
-        out[i : i + step] = np.argpartition(d, k - 1, 1)[:, :k]
-    return out
-
-
-def mutual_pairs(a: np.ndarray, b: np.ndarray, k: int = NEAREST) -> np.ndarray:
-    """(i, j) such that each is among the other's k nearest."""
-    there = np.arange(len(a))[:, None] * len(b) + _nearest(a, b, k)
-    back = _nearest(b, a, k) * len(b) + np.arange(len(b))[:, None]
-    return np.stack(np.divmod(np.intersect1d(there, back), len(b)), 1)
-
-
-def batch_correct(df: DataFrame, columns: Sequence[str], batch: str = "patient", node_id: str = "node_id", max_dims: int = 100, anchors: int = ANCHORS) -> DataFrame:
-    """The columns without batch effects: batches join a common space one by one (the largest
-    first), each moved along vectors between mutual nearest neighbours, smoothed by a Gaussian.
-
-    Matching uses at most ``anchors`` points a batch, which alone reach the driver; every row is
-    then corrected in place on the executors, so rows keep their ids.  The number of batches is
-    that of a cohort's patients.
+#: Neighbours that are matched; rounds; the matched share of a batch from which two are merged.
+NEAREST, ROUNDS, LEAST = 20, 4, 0.1
+
+
+def _principal(points: DataFrame, dims: int) -> np.ndarray | None:
+    """Principal axes of the vectors, as columns; None where all components are kept, as turning
+    changes no distance."""
+    if dims >= points.select(F.size("v")).first()[0]:
+        return None
+    return PCA(k=dims, inputCol="x").fit(points.select(array_to_vector("v").alias("x"))).pc.toArray()
+
+
+def mutual_matches(points: DataFrame, k: int = NEAREST, axes: np.ndarray | None = None) -> DataFrame:
+    """(src, dst, here, there), written, from both ends: points (id, batch, v) of different batches,
+    each among the other's ``k`` nearest of all other batches."""
+    asked = points.select(F.lit(0).cast("long").alias("grp"), F.col("batch").alias("side"), F.lit(True).alias("ask"), "id", "v", F.lit(None).cast("array<double>").alias("w"))
+    near = blocked.written(across.nearest(across.packed(asked, axes), k).select("src", "dst", "here", "there"), "near")
+    back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return blocked.written(near.join(back, ["src", "dst"]), "matches")
+
+
+def alignment(matches: DataFrame, sizes: dict[int, int]) -> dict[tuple[int, int], float]:
+    """The score of each two batches (i < j) that match: the larger of their shares of matched points."""
+    ends = matches.groupBy("here", "there").agg(F.countDistinct("src").alias("n"))
+    scores: dict[tuple[int, int], float] = {}
+    for r in ends.collect():
+        pair = (min(r["here"], r["there"]), max(r["here"], r["there"]))
+        scores[pair] = max(scores.get(pair, 0.0), r["n"] / sizes[r["here"]])
+    return scores
+
+
+def merges(scores: dict[tuple[int, int], float], part: dict[int, int], sizes: dict[int, int]) -> dict[int, int]:
+    """Which part (a batch's part is ``part[batch]``) moves onto which: each part prefers the one that
+    aligns best with it, so parts form trees; every other level moves onto its parents, at once."""
+    best: dict[tuple[int, int], float] = {}
+    for (i, j), s in scores.items():
+        if part[i] != part[j]:
+            pair = (min(part[i], part[j]), max(part[i], part[j]))
+            best[pair] = max(best.get(pair, 0.0), s)
+    weight: dict[int, int] = {}
+    for b, p in part.items():
+        weight[p] = weight.get(p, 0) + sizes[b]
+    chosen: dict[int, tuple] = {}
+    for pair in best:
+        # A strict order of the pairs, so that choices form no cycle longer than two.
+        key = (-best[pair], pair)
+        for p in pair:
+            chosen[p] = min(chosen.get(p, key), key)
+    parent = {p: sum(key[1]) - p for p, key in chosen.items()}
+    for p in list(parent):
+        q = parent.get(p)
+        if q is not None and parent.get(q) == p:
+            del parent[min(p, q, key=lambda v: (-weight[v], v))]
+
+    def depth(p: int) -> int:
+        steps = 0
+        while p in parent:
+            p, steps = parent[p], steps + 1
+        return steps
+
+    odd = {p: depth(p) % 2 for p in parent}
+    level = 1 if 2 * sum(odd.values()) >= len(odd) else 0
+    return {p: parent[p] for p in parent if odd[p] == level}
+
+
+def _moved(points: DataFrame, matches: DataFrame, part: dict[int, int], moves: dict[int, int], dim: int) -> DataFrame:
+    """The points after all parts in ``moves`` went along their smoothed vectors of matches; written."""
+    spark = points.sparkSession
+    # A row a batch.
+    parts = spark.createDataFrame([(b, p, moves.get(p)) for b, p in part.items()], "batch long, part long, onto long")
+    here = parts.select(F.col("batch").alias("here"), F.col("part").alias("grp"), "onto").where("onto is not null")
+    there = parts.select(F.col("batch").alias("there"), F.col("part").alias("onto"))
+    used = matches.join(here, "here").join(there, ["there", "onto"])
+    at = points.select(F.col("id").alias("src"), F.col("v").alias("p"))
+    to = points.select(F.col("id").alias("dst"), F.col("v").alias("q"))
+    vectors = used.join(to, "dst").join(at, "src").select("grp", "src", "dst", "p", F.zip_with("q", "p", lambda q, p: q - p).alias("u"))
+    # At most NEAREST a point, summed in the order of their ids.
+    gathered = vectors.groupBy("grp", "src").agg(F.first("p").alias("v"), F.sort_array(F.collect_list(F.struct("dst", "u"))).alias("all"))
+    total = F.aggregate("all", F.array_repeat(F.lit(0.0), dim), lambda s, e: F.zip_with(s, e["u"], lambda a, b: a + b))
+    sources = blocked.written(gathered.select("grp", F.lit(1).cast("long").alias("side"), F.lit(False).alias("ask"), F.col("src").alias("id"), "v", F.concat(total, F.array(F.size("all").cast("double"))).alias("w")), "sources")
+    spread = reduce(Column.__add__, (F.var_pop(F.get("v", F.lit(j))) for j in range(dim)))
+    widths = {r["grp"]: r["s"] + 1e-12 for r in sources.groupBy("grp").agg(spread.alias("s")).collect()}
+    asked = points.join(parts.where("onto is not null"), "batch").select(F.col("part").alias("grp"), F.lit(0).cast("long").alias("side"), F.lit(True).alias("ask"), "id", "v", F.lit(None).cast("array<double>").alias("w"))
+    shift = across.kernel_means(across.packed(asked.unionByName(sources)), widths, dim)
+    moved = F.when(F.col("move").isNull(), F.col("v")).otherwise(F.zip_with("v", "move", lambda a, b: a + b))
+    return blocked.written(points.join(shift, "id", "left").select("id", "batch", moved.alias("v")), "moved")
+
+
+def batch_correct(df: DataFrame, columns: Sequence[str], batch: str = "patient", node_id: str = "node_id", max_dims: int = 100, k: int = NEAREST, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
+    """The columns without batch effects.  Batches whose points are mutually nearest neighbours are
+    merged in the order of their alignment, each moved along the vectors between matches, smoothed
+    by a Gaussian as wide as the matched points are spread.
+
+    All points are searched, matched and moved on the cluster, by pairs of blocks (``across``).  Matches
+    across a gap are the closest points and understate it, so all is repeated ``rounds`` times.  The
+    driver holds a number a batch and a score each two batches that match.  Batches that share fewer
+    than ``least`` of their points with any other stay, as do rows without a batch or with a null or
+    non-finite value.
     """
-    x = F.array(*(F.col(f"`{c}`").cast("double") for c in columns)).alias("_x")
-    order = Window.partitionBy(batch).orderBy(F.md5(F.col(node_id).cast("string").cast("binary")), node_id)
-    some = df.select(F.col(batch).alias("_b"), x, F.row_number().over(order).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(batch)).alias("_n")).where(F.col("_r") <= anchors)
-    local = some.toPandas()
-    points = {b: np.stack(g["_x"].to_list()) for b, g in local.groupby("_b")}
-    sizes = local.groupby("_b")["_n"].first().to_dict()
-    mean, axes = _principal(np.vstack(list(points.values())), min(max_dims, len(columns)))
-    moves: dict = {}
-    placed: np.ndarray | None = None
-    for b in sorted(points, key=lambda b: (-sizes[b], str(b))):
-        own = points[b]
-        # Matches across a gap are the closest points and understate it, so they are sought again.
-        for _ in range(ROUNDS if placed is not None else 0):
-            pairs = mutual_pairs((own - mean) @ axes, (placed - mean) @ axes)
-            if not len(pairs):
-                break
-            at, vector = own[pairs[:, 0]], placed[pairs[:, 1]] - own[pairs[:, 0]]
-            moves.setdefault(b, []).append((at, vector, np.median(((at - at.mean(0)) ** 2).sum(1)) + 1e-12))
-            own = _moved(own, *moves[b][-1])
-        placed = own if placed is None else np.vstack([placed, own])
-    shared = df.sparkSession.sparkContext.broadcast(moves)
-
-    def correct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = frame[list(columns)].to_numpy(float)
-            for b, at in frame.groupby(batch).indices.items():
-                for move in shared.value.get(b, ()):
-                    values[at] = _moved(values[at], *move)
-            frame[list(columns)] = values
-            yield frame
-
-    doubled = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in columns})
-    return doubled.mapInPandas(correct, doubled.schema)
-
-
-def _moved(x: np.ndarray, at: np.ndarray, vector: np.ndarray, width: float) -> np.ndarray:
-    d = (x * x).sum(1)[:, None] + (at * at).sum(1) - 2 * x @ at.T
-    w = np.exp(-(d - d.min(1, keepdims=True)) / width)
-    return x + (w / w.sum(1, keepdims=True)) @ vector
+    if not columns:
+        raise ValueError("no columns to correct")
+    names = [*df.columns]
+    row, vector, code = (next(n for n in (f"{'_' * i}{stem}" for i in range(1, len(names) + 2)) if n not in names) for stem in ("row", "vector", "code"))
+    doubled = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in columns}).withColumn(vector, F.array(*(F.col(f"`{c}`").cast("double") for c in columns)))
+    # Rows are numbered in an order of their own, whatever partitions they came in, and kept so.
+    order = [F.col(f"`{node_id}`"), F.col(f"`{batch}`"), F.col(vector)]
+    rows = blocked.written(doubled.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "rows")
+    whole = ~F.exists(vector, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.col(f"`{batch}`").isNotNull()
+    fit = rows.where(whole)
+    counts = fit.groupBy(F.col(f"`{batch}`").alias("_b")).count()
+    # A row a batch.
+    codes = blocked.written(counts.withColumn(code, F.row_number().over(Window.orderBy(F.desc("count"), F.col("_b").cast("string"))).cast("long")), "batches")
+    sizes = {r[code]: r["count"] for r in codes.collect()}
+    if len(sizes) < 2:
+        return rows.select(*(F.col(f"`{c}`") for c in names))
+    points = blocked.written(fit.join(codes, F.col(f"`{batch}`") == F.col("_b")).select(F.col(row).alias("id"), F.col(code).alias("batch"), F.col(vector).alias("v")), "points")
+    axes = _principal(points, max_dims)
+    for _ in range(rounds):
+        matches = mutual_matches(points, k, axes)
+        scores = {pair: s for pair, s in alignment(matches, sizes).items() if s >= least}
+        part = {b: b for b in sizes}
+        while moves := merges(scores, part, sizes):
+            points = _moved(points, matches, part, moves, len(columns))
+            part = {b: moves.get(p, p) for b, p in part.items()}
+        if len(set(part.values())) == len(part):
+            break
+    fixed = points.select(F.col("id").alias(row), F.col("v").alias(code))
+    new = {c: F.coalesce(F.get(code, F.lit(i)), F.col(f"`{c}`")) for i, c in enumerate(columns)}
+    return rows.join(fixed, row, "left").withColumns(new).select(*(F.col(f"`{c}`") for c in names))

@@ -142,18 +142,6 @@ def test_imputation_searches_all_rows(spark, monkeypatch):
     assert got[62] == 8.0 and got[63] == 9.0
 
 
-def test_batches_are_matched_with_all_placed_ones(spark, monkeypatch):
-    from netloom.operators import preprocess
-
-    seen, real = [], preprocess.mutual_pairs
-    monkeypatch.setattr(preprocess, "ROUNDS", 1)
-    monkeypatch.setattr(preprocess, "mutual_pairs", lambda a, b, k=20: seen.append(len(b)) or real(a, b, k))
-    rows = [(f"p{i % 6}", i, float(i % 11) + i % 6, float(i % 7)) for i in range(60)]
-    df = spark.createDataFrame(rows, "patient string, node_id long, x double, y double")
-    assert preprocess.batch_correct(df, ["x", "y"], anchors=10).count() == 60
-    assert seen == [10, 20, 30, 40, 50]
-
-
 def test_binarize_keeps_other_values(spark):
     text = spark.createDataFrame([("O",), ("F",), ("P",), (None,)], "s string").select(clean.binarize(F.col("s"), "O", "F").alias("y"))
     assert [r["y"] for r in text.collect()] == ["0", "1", "P", None]
