@@ -20,6 +20,8 @@ PACKED = "block long, grp long, side long, ask boolean, n int, ids binary, x bin
 FOUND = "src long, dst long, here long, there long, d double"
 #: Kernel weights below e^-40 of the largest are less than a double's rounding.
 NEGLIGIBLE = 40.0
+#: So few blocks all meet: bounds would save less work than finding them takes, and change no answer.
+FEW = 32
 
 
 def packed(points: DataFrame, axes: np.ndarray | None = None) -> DataFrame:
@@ -78,17 +80,17 @@ def _farthest(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.nda
 
 
 def _compared(boxes: DataFrame, choose, schema: str) -> DataFrame:
-    """``choose(askers, others)`` of some hundreds of boxes a side, each two sides under their own key."""
-    sides = max(1, -(-boxes.count() // blocked.BOXES))
-    dealt = boxes.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(sides)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(sides - 1))
+    """``choose(askers, others)`` of some hundreds of a grp's boxes a side, each two sides under their own key."""
+    counts = boxes.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(blocked.BOXES)).cast("int").alias("sides"))
+    dealt = boxes.join(counts, "grp").withColumn("deal", F.pmod(F.xxhash64("block"), F.col("sides")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("sides") - 1)
     askers = dealt.where("ask").select("*", F.col("deal").alias("g"), F.explode(every).alias("h"), F.lit(True).alias("asks"))
     others = dealt.select("*", F.explode(every).alias("g"), F.col("deal").alias("h"), F.lit(False).alias("asks"))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return choose(rows[rows["asks"]].reset_index(drop=True), rows[~rows["asks"]].reset_index(drop=True))
 
-    return askers.unionByName(others).groupBy("g", "h").applyInPandas(one, schema)
+    return askers.unionByName(others).groupBy("grp", "g", "h").applyInPandas(one, schema)
 
 
 def _eligible(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
@@ -130,7 +132,10 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray]:
 
 def bounded(own: DataFrame, k: int) -> DataFrame:
     """Blocks with ``bound``, a squared distance for each point within which its ``k`` nearest lie, and
-    ``reach``, the largest; written.  Both are null where no block alone holds ``k`` points."""
+    ``reach``, the largest; written.  Both are null where no block alone holds ``k``
+    points, and where there are few blocks."""
+    if own.count() <= FEW:
+        return own.withColumns({"bound": F.lit(None).cast("binary"), "reach": F.lit(None).cast("double")})
 
     def search(one: pd.Series, two: pd.Series) -> pd.DataFrame:
         (a, x), (b, y) = _opened(one), _opened(two)
@@ -159,15 +164,16 @@ def _met(own: DataFrame, more: Mapping[int, float] | None = None) -> DataFrame:
     return _compared(own.select("block", "grp", "side", "ask", "low", "high", "reach"), choose, "a long, b long")
 
 
-def nearest(own: DataFrame, k: int) -> DataFrame:
+def nearest(own: DataFrame, k: int, itself: bool = False) -> DataFrame:
     """(src, dst, here, there, d): of every asking point the ``k`` nearest of other sides, their sides and
-    squared distances; ties go to the smaller id."""
-    own = bounded(own, k)
+    squared distances; ties go to the smaller id.  No point finds its own id; with ``itself`` the other
+    sides may hold it."""
+    own = bounded(own, k + 1 if itself else k)
 
     def search(one: pd.Series, two: pd.Series) -> pd.DataFrame:
         (a, x), (b, y) = _opened(one), _opened(two)
         bound = np.full(len(a), np.inf) if one["bound"] is None else np.frombuffer(one["bound"])
-        rows, ids, d = blocked.candidates(x, np.full(len(a), -1), y, b, bound, k, "euclidean")
+        rows, ids, d = blocked.candidates(x, a, y, b, bound, k, "euclidean")
         return pd.DataFrame({"src": a[rows.astype(np.int64)], "dst": ids.astype(np.int64), "here": np.int64(one["side"]), "there": np.int64(two["side"]), "d": d.astype(float)})
 
     found = _meet(own.select("block", "side", "ids", "x", "bound"), _met(own), search, FOUND)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.model import KEYS
-from netloom.operators import blocked
+from netloom.operators import across, blocked
 
 
 def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
@@ -114,16 +114,30 @@ def knn(nodes: DataFrame, vector: str, k: int, metric: str = "euclidean", node_i
 
 
 def link_isolated(nodes: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", k: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The edges, and for each node without any those to its ``k`` nearest nodes of its network."""
-    ends = edges.select(*keys, F.explode(F.array("source", "target")).alias("node_id")).distinct()
-    at = nodes.select(*keys, "node_id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    alone = at.join(ends, [*keys, "node_id"], "left_anti")
-    other = at.select(*keys, F.col("node_id").alias("target"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-    near = alone.join(other, [*keys]).where("node_id <> target").withColumn("d", d)
-    order = Window.partitionBy(*keys, "node_id").orderBy("d", "target")
-    best = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    linked = best.select(*keys, F.col("node_id").alias("source"), "target")
-    linked = linked.select(*keys, F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
-    return edges.select(*keys, "source", "target").unionByName(linked)
+    """The edges, and for each node without any those to its ``k`` nearest nodes of its network; equal
+    distances go to the smaller id.  Nodes without finite coordinates take no part.
 
+    Blocks of isolated nodes meet the near blocks of their network's nodes (``across``).
+    """
+    edges = edges.select(*keys, "source", "target")
+    at = nodes.select(*keys, "node_id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("x", "y")]
+    order = [*keys, "node_id"]
+    # Numbers follow the ids within a network and are kept.
+    own = blocked.written(at.where(finite[0] & finite[1]).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "numbered")
+    ends = edges.select(*keys, F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    alone = blocked.written(own.join(ends, order, "left_anti"), "alone")
+    if alone.isEmpty():
+        return edges
+    # A network's number is that of its first isolated node.
+    marked = alone.groupBy(*keys).agg(F.min("id").alias("grp"))
+    vector = F.array("x", "y").alias("v")
+
+    def side(rows: DataFrame, number: int) -> DataFrame:
+        return rows.join(marked, [*keys]).select("grp", F.lit(number).cast("long").alias("side"), F.lit(number == 0).alias("ask"), "id", vector, F.lit(None).cast("array<double>").alias("w"))
+
+    found = across.nearest(across.packed(side(alone, 0).unionByName(side(own, 1))), k, itself=True).select("src", "dst")
+    first = own.select(*keys, F.col("id").alias("src"), F.col("node_id").alias("n"))
+    second = own.select(F.col("id").alias("dst"), F.col("node_id").alias("m"))
+    linked = found.join(first, "src").join(second, "dst").select(*keys, F.least("n", "m").alias("source"), F.greatest("n", "m").alias("target")).distinct()
+    return edges.unionByName(linked)

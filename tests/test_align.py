@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from netloom.operators import across, blocked, preprocess
+from netloom.operators import across, blocked, graphs, preprocess
 
 POINT = "grp long, side long, ask boolean, id long, v array<double>, w array<double>"
 
@@ -13,6 +13,7 @@ def small(monkeypatch):
     monkeypatch.setattr(blocked, "BLOCK", 16)
     monkeypatch.setattr(blocked, "BOXES", 3)
     monkeypatch.setattr(blocked, "SLAB", 100)
+    monkeypatch.setattr(across, "FEW", 0)
 
 
 def squared(x, y):
@@ -144,3 +145,23 @@ def test_fewer_principal_components(spark):
     x[::2] += [0, 3]
     got = corrected(spark, x, batch, max_dims=1, rounds=2)
     assert abs(got[::2, 1].mean() - got[1::2, 1].mean()) < 0.1
+
+
+def test_isolated_nodes_of_many_networks(spark, small):
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for net, n in (("one", 150), ("two", 40), ("three", 3), ("four", 1)):
+        xy = rng.integers(0, 12, (n, 2)).astype(float)
+        rows += [(net, "0", i, float(a), float(b)) for i, (a, b) in enumerate(xy)]
+        d = squared(xy, xy)
+        np.fill_diagonal(d, np.inf)
+        for i in range(n):
+            if net != "one" or i >= 20:
+                want |= {(net, min(i, j), max(i, j)) for j in np.lexsort((np.arange(n), d[i]))[:2].tolist() if j != i}
+    rows += [("two", "0", 99, None, 1.0), ("two", "0", 98, float("nan"), 1.0)]
+    nodes = spark.createDataFrame(rows, "patient string, sample string, node_id long, x double, y double").repartition(5)
+    edges = spark.createDataFrame([("one", "0", i, i + 1) for i in range(0, 20, 2)], "patient string, sample string, source long, target long")
+    got = [(r["patient"], r["source"], r["target"]) for r in graphs.link_isolated(nodes, edges).collect()]
+    assert sorted(got) == sorted([*want, *(("one", i, i + 1) for i in range(0, 20, 2))])
+    full = graphs.link_isolated(nodes.where("patient = 'one' and node_id < 20"), edges)
+    assert full.count() == 10 and full.columns == ["patient", "sample", "source", "target"]
