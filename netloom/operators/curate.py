@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of a block; blocks of the smallest cluster that share a key.
+from netloom.operators import blocked
+
+#: Points of a block; blocks of a side that share a key, at most.
 SLICE, GROUP = 4096, 64
 
 
@@ -46,12 +48,17 @@ def _packed(df: DataFrame, coords: Sequence[str], label: str) -> DataFrame:
 
 def _closest(df: DataFrame, coords: Sequence[str], label: str, own: DataFrame) -> DataFrame:
     """(p, d, other): the nearest outside point of each point in ``own``, p being its coordinates.
-    Blocks of the small cluster meet blocks of the others under numbers of their groups; neither
-    side is collected."""
-    inside, outside = _packed(own, coords, label).select("block", F.col("x").alias("own")), _packed(df, coords, label).drop("block")
-    slices = max(1, -(-inside.count() // GROUP))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
-    pairs = inside.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(slices))).join(outside.withColumn("g", every), "g")
+    Groups of blocks of the small cluster meet groups of the others' blocks, each two under one key and
+    small enough to keep all tasks busy; neither side is collected."""
+    inside, outside = (blocked.written(_packed(d, coords, label), "sides") for d in (own, df))
+    counts = inside.count(), outside.count()
+    tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, min(GROUP, int((counts[0] * counts[1] / tasks) ** 0.5)))
+    g, h = (max(1, -(-n // size)) for n in counts)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    inside = inside.select("block", F.col("x").alias("own"), F.pmod(F.xxhash64("block"), F.lit(g)).alias("g"), every(h).alias("h"))
+    outside = outside.select("x", "lab", every(g).alias("g"), F.pmod(F.xxhash64("block"), F.lit(h)).alias("h"))
+    pairs = inside.join(outside, ["g", "h"])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -70,27 +77,50 @@ def _closest(df: DataFrame, coords: Sequence[str], label: str, own: DataFrame) -
     return found.groupBy("p", "block", "place").agg(F.min(F.struct("d", "other")).alias("m")).select("p", "block", "place", "m.d", "m.other")
 
 
+def _move(df: DataFrame, coords: Sequence[str], label: str, size_thresh: float | None = None, size_perc: float = 25, ratio: float = 0.1, n_neigh_max: int = 10, force: bool = False) -> tuple[int, int] | None:
+    """The smallest cluster and the one it joins; None where it stays."""
+    least = smallest(df, label, size_thresh, size_perc, ratio).first()
+    if least is None or least["clusters"] <= 1 or not (force or least["n"] < least["threshold"]):
+        return None
+    mine = F.col(label) == least["label"]
+    near = _closest(df.where(~mine), coords, label, df.where(mine))
+    votes = near.orderBy("d", "p", "block", "place").limit(min(n_neigh_max, least["n"])).groupBy("other").agg(F.count(F.lit(1)).alias("v"))
+    return least["label"], votes.orderBy(F.col("v").desc(), "other").first()["other"]
+
+
+def _renamed(df: DataFrame, label: str, names: dict[int, int]) -> DataFrame:
+    """Labels under the names of the clusters that took them in; a row a merged cluster."""
+    if not names:
+        return df
+    kind = df.schema[label].dataType
+    pairs = F.create_map(*(F.lit(v).cast(kind) for pair in names.items() for v in pair))
+    return df.withColumn(label, F.coalesce(F.try_element_at(pairs, F.col(label)), F.col(label)))
+
+
 def merge_smallest(df: DataFrame, coords: Sequence[str], label: str = "label", size_thresh: float | None = None, size_perc: float = 25, ratio: float = 0.1, n_neigh_max: int = 10, force: bool = False) -> tuple[DataFrame, bool]:
     """(labels, merged): the smallest cluster joins the one that most of its ``n_neigh_max`` closest
     outside neighbours belong to (of equals the lowest label), if it is small enough or forced.
 
     Neighbours that are equally near count in the order of their points' coordinates.
     """
-    least = smallest(df, label, size_thresh, size_perc, ratio).first()
-    if least is None or least["clusters"] <= 1 or not (force or least["n"] < least["threshold"]):
-        return df, False
-    mine = F.col(label) == least["label"]
-    near = _closest(df.where(~mine), coords, label, df.where(mine))
-    votes = near.orderBy("d", "p", "block", "place").limit(min(n_neigh_max, least["n"])).groupBy("other").agg(F.count(F.lit(1)).alias("v"))
-    to = votes.orderBy(F.col("v").desc(), "other").first()["other"]
-    return df.withColumn(label, F.when(mine, F.lit(to)).otherwise(F.col(label))), True
+    move = _move(df, coords, label, size_thresh, size_perc, ratio, n_neigh_max, force)
+    return (df, False) if move is None else (_renamed(df, label, dict([move])), True)
 
 
 def merge_until(df: DataFrame, coords: Sequence[str], label: str = "label", at_most: int | None = None, force: bool = False, relabelled: bool = True, **options) -> DataFrame:
-    """Merge until nothing is small enough, or ``at_most`` clusters are left."""
+    """Merge until nothing is small enough, or ``at_most`` clusters are left.
+
+    The points are written once and stay as they are: a merge only adds to the names of clusters,
+    so plans don't grow with the number of merges.
+    """
     if force and at_most is None:
         raise ValueError("forced merging needs a number of clusters to stop at")
+    own, names = blocked.written(df, "points"), {}
     while True:
-        df, merged = merge_smallest(df, coords, label, force=force, **options)
-        if not merged or (at_most is not None and df.select(label).distinct().count() <= at_most):
-            return relabel(df, label) if relabelled else df
+        now = _renamed(own, label, names)
+        move = _move(now, coords, label, force=force, **options)
+        if move is not None:
+            names = {**{a: move[1] if b == move[0] else b for a, b in names.items()}, move[0]: move[1]}
+            now = _renamed(own, label, names)
+        if move is None or (at_most is not None and now.select(label).distinct().count() <= at_most):
+            return relabel(now, label) if relabelled else now

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from netloom.operators import graphs, neighbors
+from netloom.operators import blocked, graphs, neighbors
 from netloom.sources import fixtures
 
 K = ("patient", "sample")
@@ -135,8 +135,8 @@ def test_delaunay_keeps_flat_triangles_at_the_rim():
 
 
 def test_knn_blocks_in_groups(spark, monkeypatch):
-    monkeypatch.setattr(graphs, "BLOCK", 5)
-    monkeypatch.setattr(graphs, "GROUP", 2)
+    monkeypatch.setattr(blocked, "BLOCK", 5)
+    monkeypatch.setattr(blocked, "BOXES", 2)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(60, 3))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, v array<double>").repartition(3)

@@ -161,3 +161,16 @@ def test_merging_in_blocks(spark, monkeypatch):
     votes = [label for _, label in near]
     want = min(set(votes), key=lambda v: (-votes.count(v), v))
     assert merged and {r["label"] for r in out.where("id >= 30").collect()} == {want}
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_merges_only_rename_clusters(spark, kind):
+    from netloom.operators import blocked
+
+    rows = [(i, float(c * 10 + i % 7), c) for c, n in enumerate((1, 2, 3, 30, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, f"node_id long, x double, label {kind}")
+    out = curate.merge_until(df, ["x"], at_most=2, force=True)
+    # 0 joins 1, both join 2, all these join 3.
+    assert sorted((r["label"], r["count"]) for r in out.groupBy("label").count().collect()) == [(0, 36), (1, 40)]
+    few, many = (blocked.written(df, "p").transform(lambda d: curate._renamed(d, "label", {i: 4 for i in range(n)}))._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (1, 4))
+    assert few == many
