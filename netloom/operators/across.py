@@ -130,6 +130,12 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row["x"]).reshape(len(ids), -1)
 
 
+def _within(x: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows of x that come within their squared bound of a box."""
+    gap = np.maximum(np.maximum(low - x, x - high), 0)
+    return np.nonzero((gap * gap).sum(1) * (1 - 1e-9) <= bound)[0]
+
+
 def bounded(own: DataFrame, k: int) -> DataFrame:
     """Blocks with ``bound``, a squared distance for each point within which its ``k`` nearest lie, and
     ``reach``, the largest; written.  Both are null where no block alone holds ``k``
@@ -173,10 +179,16 @@ def nearest(own: DataFrame, k: int, itself: bool = False) -> DataFrame:
     def search(one: pd.Series, two: pd.Series) -> pd.DataFrame:
         (a, x), (b, y) = _opened(one), _opened(two)
         bound = np.full(len(a), np.inf) if one["bound"] is None else np.frombuffer(one["bound"])
+        # Only points near the other block's box can have answers there, and only those near theirs are any.
+        near = _within(x, bound, np.frombuffer(two["low"]), np.frombuffer(two["high"]))
+        a, x, bound = a[near], x[near], bound[near]
+        if len(a):
+            close = _within(y, np.full(len(y), bound.max()), x.min(0), x.max(0))
+            b, y = b[close], y[close]
         rows, ids, d = blocked.candidates(x, a, y, b, bound, k, "euclidean")
         return pd.DataFrame({"src": a[rows.astype(np.int64)], "dst": ids.astype(np.int64), "here": np.int64(one["side"]), "there": np.int64(two["side"]), "d": d.astype(float)})
 
-    found = _meet(own.select("block", "side", "ids", "x", "bound"), _met(own), search, FOUND)
+    found = _meet(own.select("block", "side", "ids", "x", "low", "high", "bound"), _met(own), search, FOUND)
     order = Window.partitionBy("src").orderBy("d", "dst")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
