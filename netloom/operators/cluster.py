@@ -1,19 +1,19 @@
 """Clustering of embeddings and of their neighbour graphs.
 
 Graphs of more than ``FEW`` edges are contracted on the cluster until they have no more
-(``communities``); only what is left of them is finished on the driver.  Mixtures and spectral cuts
-are Spark's own.
+(``communities``); only what is left of them is finished on the driver.  Spectral cuts take products
+on the cluster above ``FEW`` edges (``spectrum``); mixtures are Spark's own.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, PowerIterationClustering
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators import density
+from netloom.operators import density, spectrum
 from netloom.operators.blocked import written
 from netloom.operators.communities import both_ends, degrees, moved, shrunk
 from netloom.operators.curate import relabel
@@ -171,11 +171,15 @@ def ecg(edges: DataFrame, min_weight: float = 0.05, ensemble: int = 20, resoluti
     return _labelled(spark, ids, leiden_labels(n, i, j, w * (min_weight + (1 - min_weight) * together / max(ensemble, 1)), resolution, seed))
 
 
-def spectral(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:
-    """(node_id, label) by power iteration on the graph."""
-    pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").cast("double").alias("weight")).distinct()
-    model = PowerIterationClustering(k=k, maxIter=iterations, initMode="degree", weightCol="weight")
-    return model.assignClusters(pairs).select(F.col("id").alias("node_id"), F.col("cluster").alias("label"))
+def spectral(edges: DataFrame, k: int, seed: int = 0, few: int | None = None) -> DataFrame:
+    """(node_id, label): a cut into at most ``k`` parts by the leading eigenvectors of the normalised
+    graph, discretised by turning them (``spectrum``).  Edges must weigh more than 0 to count."""
+    graph = both_ends(edges.where("weight > 0"))
+    if graph.isEmpty():
+        return graph.select(F.col("i").alias("node_id"), F.lit(0).alias("label"))
+    rows, _ = spectrum.leading(graph, k, seed, FEW if few is None else few)
+    labels = spectrum.discretised(rows).table(edges.sparkSession)
+    return relabel(labels.select(F.col("v").alias("node_id"), F.get("x", F.lit(0)).cast("long").alias("label")))
 
 
 def gaussian_mixture(df: DataFrame, vector: str, k: int, seed: int = 0, node_id: str = "node_id") -> DataFrame:
@@ -204,7 +208,7 @@ def cluster(df: DataFrame, vector: str, kind: str = "leiden", n_neighbors: int =
     k = min(k_cluster, n_neighbors)
     if kind in ("leiden", "ecg", "spectral"):
         edges = knn_edges(df, vector, k, metric, node_id)
-        labels = leiden(edges, resolution, seed) if kind == "leiden" else ecg(edges, resolution=resolution, seed=seed, **options) if kind == "ecg" else spectral(edges, n_clusters or 10)
+        labels = leiden(edges, resolution, seed) if kind == "leiden" else ecg(edges, resolution=resolution, seed=seed, **options) if kind == "ecg" else spectral(edges, n_clusters or 10, seed)
     elif kind == "hdbscan":
         labels = hdbscan(df, vector, min_cluster_size, k=k, metric=metric, node_id=node_id, **options)
     elif kind == "gmm":
