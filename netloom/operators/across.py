@@ -130,14 +130,15 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row["x"]).reshape(len(ids), -1)
 
 
-def _within(x: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Rows of x that come within their squared bound of a box."""
+def _within(x: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Rows of x that come within their bound of a box."""
     gap = np.maximum(np.maximum(low - x, x - high), 0)
-    return np.nonzero((gap * gap).sum(1) * (1 - 1e-9) <= bound)[0]
+    d = gap.sum(1) if metric == "manhattan" else (gap * gap).sum(1) * (0.5 if metric == "cosine" else 1)
+    return np.nonzero(d * (1 - 1e-9) <= bound)[0]
 
 
-def bounded(own: DataFrame, k: int) -> DataFrame:
-    """Blocks with ``bound``, a squared distance for each point within which its ``k`` nearest lie, and
+def bounded(own: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """Blocks with ``bound``, a distance (squared if Euclidean) for each point within which its ``k`` nearest lie, and
     ``reach``, the largest; written.  Both are null where no block alone holds ``k``
     points, and where there are few blocks."""
     if own.count() <= FEW:
@@ -148,7 +149,7 @@ def bounded(own: DataFrame, k: int) -> DataFrame:
         d = np.empty(len(x))
         step = max(1, blocked.SLAB // len(y))
         for i in range(0, len(x), step):
-            near, room = blocked.table(x[i : i + step], y, "euclidean")
+            near, room = blocked.table(x[i : i + step], y, metric)
             d[i : i + step] = np.partition(near, k - 1, 1)[:, k - 1] + room
         return pd.DataFrame({"block": [int(one["block"])], "bound": [d.tobytes()], "reach": [float(d.max())]})
 
@@ -156,7 +157,7 @@ def bounded(own: DataFrame, k: int) -> DataFrame:
     return blocked.written(own.join(bounds, "block", "left"), "bounded")
 
 
-def _met(own: DataFrame, more: Mapping[int, float] | None = None) -> DataFrame:
+def _met(own: DataFrame, more: Mapping[int, float] | None = None, metric: str = "euclidean") -> DataFrame:
     """(a, b) of all blocks whose boxes come within the asking one's reach, widened by its grp's ``more``."""
     more = more or {}
 
@@ -164,31 +165,31 @@ def _met(own: DataFrame, more: Mapping[int, float] | None = None) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         reach = a["reach"].astype(float).fillna(np.inf).to_numpy() + np.array([more.get(int(g), 0.0) for g in a["grp"]])
-        i, j = np.nonzero(_eligible(a, b) & (blocked.gaps(*blocked._boxes(a), *blocked._boxes(b), "euclidean") <= reach[:, None]))
+        i, j = np.nonzero(_eligible(a, b) & (blocked.gaps(*blocked._boxes(a), *blocked._boxes(b), metric) <= reach[:, None]))
         return pd.DataFrame({"a": a["block"].to_numpy(np.int64)[i], "b": b["block"].to_numpy(np.int64)[j]})
 
     return _compared(own.select("block", "grp", "side", "ask", "low", "high", "reach"), choose, "a long, b long")
 
 
-def nearest(own: DataFrame, k: int, itself: bool = False) -> DataFrame:
+def nearest(own: DataFrame, k: int, itself: bool = False, metric: str = "euclidean") -> DataFrame:
     """(src, dst, here, there, d): of every asking point the ``k`` nearest of other sides, their sides and
-    squared distances; ties go to the smaller id.  No point finds its own id; with ``itself`` the other
-    sides may hold it."""
-    own = bounded(own, k + 1 if itself else k)
+    distances (squared if Euclidean; for the cosine vectors are packed at unit length); ties go to the
+    smaller id.  No point finds its own id; with ``itself`` the other sides may hold it."""
+    own = bounded(own, k + 1 if itself else k, metric)
 
     def search(one: pd.Series, two: pd.Series) -> pd.DataFrame:
         (a, x), (b, y) = _opened(one), _opened(two)
         bound = np.full(len(a), np.inf) if one["bound"] is None else np.frombuffer(one["bound"])
         # Only points near the other block's box can have answers there, and only those near theirs are any.
-        near = _within(x, bound, np.frombuffer(two["low"]), np.frombuffer(two["high"]))
+        near = _within(x, bound, np.frombuffer(two["low"]), np.frombuffer(two["high"]), metric)
         a, x, bound = a[near], x[near], bound[near]
         if len(a):
-            close = _within(y, np.full(len(y), bound.max()), x.min(0), x.max(0))
+            close = _within(y, np.full(len(y), bound.max()), x.min(0), x.max(0), metric)
             b, y = b[close], y[close]
-        rows, ids, d = blocked.candidates(x, a, y, b, bound, k, "euclidean")
+        rows, ids, d = blocked.candidates(x, a, y, b, bound, k, metric)
         return pd.DataFrame({"src": a[rows.astype(np.int64)], "dst": ids.astype(np.int64), "here": np.int64(one["side"]), "there": np.int64(two["side"]), "d": d.astype(float)})
 
-    found = _meet(own.select("block", "side", "ids", "x", "low", "high", "bound"), _met(own), search, FOUND)
+    found = _meet(own.select("block", "side", "ids", "x", "low", "high", "bound"), _met(own, metric=metric), search, FOUND)
     order = Window.partitionBy("src").orderBy("d", "dst")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators import blocked, layout
 from netloom.operators.graphs import knn
+from netloom.sources.io import exists
 
-#: Points that a UMAP layout, which runs on the driver, takes at most.
-UMAP_MOST = 50_000
+#: Points of a layout that runs on the driver.
+FEW = 50_000
 
 
 def reducer_name(kind: str, **params) -> str:
@@ -50,34 +51,19 @@ def biplot(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(ranges)).select(*(c for c in scores.columns if c != "scores"), (x / F.nullif("_x", F.lit(0.0))).alias("x"), (y / F.nullif("_y", F.lit(0.0))).alias("y"))
 
 
-def fuzzy_weights(neighbors: DataFrame) -> pd.DataFrame:
-    """(src, dst, w) of a kNN table: exponential membership whose sum per node is log2 k, made
-    symmetric by fuzzy union."""
-    frame = neighbors.select("src", "dst", "rank", "distance").toPandas().sort_values(["src", "rank"])
-    out = []
-    for src, own in frame.groupby("src"):
-        d = own["distance"].to_numpy(float)
-        near, target, lo, hi = d[d > 0].min(initial=np.inf), np.log2(max(len(d), 2)), 1e-12, 1e12
-        near = near if np.isfinite(near) else 0.0
-        for _ in range(64):
-            s = np.sqrt(lo * hi)
-            lo, hi = (s, hi) if np.exp(-np.maximum(d - near, 0) / s).sum() < target else (lo, s)
-        out.append(pd.DataFrame({"src": src, "dst": own["dst"].to_numpy(), "w": np.exp(-np.maximum(d - near, 0) / hi)}))
-    one = pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "w": []})
-    both = one.merge(one.rename(columns={"src": "dst", "dst": "src", "w": "v"}), how="outer", on=["src", "dst"]).fillna(0)
-    both["w"] = both["w"] + both["v"] - both["w"] * both["v"]
-    return both[["src", "dst", "w"]]
-
-
-def umap(df: DataFrame, vector: str = "vector", n_components: int = 2, n_neighbors: int = 15, metric: str = "manhattan", min_dist: float = 0.0, epochs: int = 200, seed: int = 0, node_id: str = "node_id") -> DataFrame:
+def umap(df: DataFrame, vector: str = "vector", n_components: int = 2, n_neighbors: int = 15, metric: str = "manhattan", min_dist: float = 0.0, epochs: int = 200, seed: int = 0, node_id: str = "node_id", few: int | None = None) -> DataFrame:
     """(node_id, embedding): a fuzzy kNN graph laid out by spectral initialisation and sampled
-    gradient steps.  The graph is built on the cluster; the layout runs on the driver and takes at
-    most ``UMAP_MOST`` nodes."""
-    if df.limit(UMAP_MOST + 1).count() > UMAP_MOST:
-        raise ValueError(f"a layout takes at most {UMAP_MOST} nodes; reduce with PCA instead")
-    graph = fuzzy_weights(knn(df, vector, n_neighbors, metric, node_id))
-    ids = np.unique(graph[["src", "dst"]].to_numpy())
-    i, j, w = np.searchsorted(ids, graph["src"]), np.searchsorted(ids, graph["dst"]), graph["w"].to_numpy()
+    gradient steps.  Layouts of at most ``few`` (``FEW``) nodes run on the driver, larger ones on the
+    cluster (``layout``)."""
+    graph = blocked.written(layout.fuzzy(knn(df, vector, n_neighbors, metric, node_id)), "fuzzy")
+    few = FEW if few is None else few
+    if graph.select("i").distinct().count() > few:
+        return layout.spread(graph, n_components, min_dist, epochs, seed)
+    graph = graph.toPandas().sort_values(["i", "j"])
+    if not len(graph):
+        return df.sparkSession.createDataFrame([], "node_id long, embedding array<double>")
+    ids = np.unique(graph["i"].to_numpy())
+    i, j, w = np.searchsorted(ids, graph["i"]), np.searchsorted(ids, graph["j"]), graph["w"].to_numpy()
     rng, n = np.random.default_rng(seed), len(ids)
     degree = np.sqrt(np.maximum(np.bincount(i, w, n), 1e-12))
     y = np.linalg.qr(rng.normal(size=(n, n_components + 1)))[0] if n > n_components else rng.normal(size=(n, n_components + 1))
@@ -85,11 +71,8 @@ def umap(df: DataFrame, vector: str = "vector", n_components: int = 2, n_neighbo
         z = y / degree[:, None]
         z = np.stack([np.bincount(i, w * z[j, c], n) for c in range(z.shape[1])], 1) / degree[:, None] + y
         y = np.linalg.qr(z)[0] if n > n_components else z
-    y = y[:, 1:] / (np.abs(y[:, 1:]).max() or 1) * 10 + rng.normal(scale=1e-4, size=(n, n_components))
-    # The curve 1 / (1 + a d^2b) closest to a plateau of min_dist and exponential decay.
-    x = np.linspace(0, 3, 300)[1:]
-    goal = np.where(x < min_dist, 1, np.exp(-(x - min_dist)))
-    a, b = min(((a, b) for a in np.linspace(0.2, 3, 57) for b in np.linspace(0.4, 1.6, 49)), key=lambda p: ((1 / (1 + p[0] * x ** (2 * p[1])) - goal) ** 2).sum())
+    y = y[:, 1:] / (np.abs(y[:, 1:]).max(initial=0) or 1) * 10 + rng.normal(scale=1e-4, size=(n, n_components))
+    a, b = layout.curve(min_dist)
     for epoch in range(epochs):
         rate = 1 - epoch / epochs
         on = rng.random(len(w)) < w / w.max()
@@ -110,14 +93,63 @@ def umap(df: DataFrame, vector: str = "vector", n_components: int = 2, n_neighbo
     return df.sparkSession.createDataFrame(rows, "node_id long, embedding array<double>")
 
 
-def reduce(df: DataFrame, columns: list[str], kind: str = "umap", node_id: str = "node_id", **options) -> DataFrame:
-    """(node_id, embedding) by 'umap', 'pca' or 'none'."""
+def fitted_pca(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
+    """(variable, mean, scale, loadings): what a component analysis of standardised columns learns from
+    rows without a null or NaN.  A column that doesn't vary has no say."""
+    own = assembled(df, columns).where(~F.exists("vector", F.isnan))
+    _, loadings = pca(own.select("node_id", *(F.get("vector", F.lit(i)).alias(f"c{i}") for i in range(len(columns)))), [f"c{i}" for i in range(len(columns))], k)
+    at = lambda i: F.get("vector", F.lit(i))
+    found = own.agg(*(f(at(i)).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
+    load = {r["variable"]: r["loadings"] for r in loadings.collect()}
+    rows = [(c, found[f"m{i}"], found[f"s{i}"] or 0.0, load[f"c{i}"]) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "variable string, mean double, scale double, loadings array<double>")
+
+
+def projected(df: DataFrame, fitted: DataFrame, node_id: str = "node_id") -> DataFrame:
+    """(node_id, embedding): rows projected by what ``fitted_pca`` learned."""
+    rows = {r["variable"]: r for r in fitted.collect()}
+    columns = list(rows)
+    scaled = [(F.get("vector", F.lit(i)) - F.lit(rows[c]["mean"])) * F.lit(1 / rows[c]["scale"] if rows[c]["scale"] else 0.0) for i, c in enumerate(columns)]
+    scores = [sum((x * F.lit(rows[c]["loadings"][j]) for x, c in zip(scaled, columns, strict=True)), F.lit(0.0)) for j in range(len(rows[columns[0]]["loadings"]))]
+    return assembled(df, columns, node_id).where(~F.exists("vector", F.isnan)).select("node_id", F.array(*scores).alias("embedding"))
+
+
+def _modelled(df: DataFrame, columns: list[str], kind: str, node_id: str, model: str, **options) -> DataFrame:
+    """Applies the model saved at a path, or fits and saves it first."""
+    spark, place = df.sparkSession, model.rstrip("/")
+    wanted = [kind, *columns]
+    if not exists(spark, f"{place}/settings/_SUCCESS"):
+        own = assembled(df, columns, node_id)
+        if kind == "umap":
+            layout_ = umap(own, **options).join(own, "node_id").select("node_id", "vector", "embedding")
+            layout_.write.mode("overwrite").parquet(f"{place}/fitted")
+        elif kind == "pca":
+            fitted_pca(df.withColumnRenamed(node_id, "node_id"), columns, options.get("n_components", 2)).write.mode("overwrite").parquet(f"{place}/fitted")
+        settings = [(wanted, options.get("n_neighbors", 15), options.get("metric", "manhattan"))]
+        spark.createDataFrame(settings, "reducer array<string>, n_neighbors int, metric string").write.mode("overwrite").parquet(f"{place}/settings")
+        if kind == "umap":
+            return spark.read.parquet(f"{place}/fitted").select("node_id", "embedding")
+    settings = spark.read.parquet(f"{place}/settings").first()
+    if settings["reducer"] != wanted:
+        raise ValueError(f"the model at {model} is of {settings['reducer']}")
+    if kind == "none":
+        return assembled(df, columns, node_id).select("node_id", F.col("vector").alias("embedding"))
+    fitted = spark.read.parquet(f"{place}/fitted")
+    return projected(df, fitted, node_id) if kind == "pca" else layout.placed(fitted, assembled(df, columns, node_id), settings["n_neighbors"], settings["metric"])
+
+
+def reduce(df: DataFrame, columns: list[str], kind: str = "umap", node_id: str = "node_id", model: str | None = None, **options) -> DataFrame:
+    """(node_id, embedding) by 'umap', 'pca' or 'none'.  With ``model``, a path, what is learned is saved
+    there once, and later calls apply it to other tables: they project by its components, or place
+    nodes in its layout.  A finished model of another kind or of other columns raises."""
+    if kind not in ("umap", "pca", "none"):
+        raise ValueError("a reducer is 'umap', 'pca' or 'none'")
+    if model is not None:
+        return _modelled(df, columns, kind, node_id, model, **options)
     own = assembled(df, columns, node_id)
     if kind == "none":
         return own.select("node_id", F.col("vector").alias("embedding"))
     if kind == "pca":
         scores, _ = pca(df, columns, options.get("n_components", 2), keep=(node_id,))
         return scores.select(F.col(node_id).alias("node_id"), F.col("scores").alias("embedding"))
-    if kind != "umap":
-        raise ValueError("a reducer is 'umap', 'pca' or 'none'")
     return umap(own, **options)

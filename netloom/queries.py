@@ -584,6 +584,13 @@ def umap_embedding(spark, d):
     return reduce.reduce(_vectors(spark, d), list(FEATURES), "umap", n_neighbors=10, epochs=50)
 
 
+@query()
+def reducer_applied(spark, d):
+    path = scratch(spark, "model")
+    reduce.reduce(_vectors(spark, d), list(FEATURES), "pca", model=path, n_components=2)
+    return reduce.reduce(_vectors(spark, d), list(FEATURES), "pca", model=path)
+
+
 @query()
 def leiden_labels(spark, d):
     return cluster.leiden(cluster.knn_edges(_vectors(spark, d), "embedding", 15))

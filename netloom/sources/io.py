@@ -23,7 +23,7 @@ def _format(extension: str) -> str:
     return extension
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -41,7 +41,7 @@ def read_files(spark: SparkSession, folder: str, kind: str, levels: Sequence[str
     reader = spark.read.option("mergeSchema", "true") if _format(extension) == "parquet" else spark.read.option("header", "true").option("inferSchema", "true")
     reader = reader.format(extension).option("pathGlobFilter", f"{kind}_*.{extension}")
     files = [f"{folder.rstrip('/')}/{kind}_" + "_".join(f"{level}-{i}" for level, i in zip(levels, own, strict=True)) + f".{extension}" for own in index or ()]
-    files = [f for f in files if _exists(spark, f)]
+    files = [f for f in files if exists(spark, f)]
     # Where none of the networks asked for is there, the folder tells the columns of no rows.
     table = reader.load([_escaped(f) for f in files] if files else folder)
     name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
@@ -100,6 +100,6 @@ def keyed(folder: str, name: str, params: Mapping) -> str:
 
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame], recompute: bool = False) -> DataFrame:
     """Read a table if a finished one is there, else compute, write and read it."""
-    if recompute or not _exists(spark, f"{path}/_SUCCESS"):
+    if recompute or not exists(spark, f"{path}/_SUCCESS"):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
