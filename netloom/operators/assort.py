@@ -6,13 +6,19 @@ edge once per pair however many ways it matches.  Matrices are long: (keys, i, j
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from netloom.functions import ranks
 from netloom.functions.ranks import hash_key, ranked
 from netloom.model import KEYS, label_sets
+from netloom.operators.blocked import written
 
 SHUFFLES = 50
 
@@ -79,11 +85,31 @@ def assortativity(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return sums.select(*keys, ((t * tr - s) / F.nullif(t * t - s, F.lit(0.0))).alias("assort"))
 
 
-def randomized(labels: DataFrame, n_shuffle: int = SHUFFLES, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, node_id, shuffled): each node's label sets under ``n_shuffle`` permutations of the
-    network's nodes; labels of one node stay together.  Permutation k orders ids by md5 of k and id,
-    so any partitioning and any engine gives the same."""
-    labels = labels.join(labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), [*keys])
+def _places(ids: list[str], prefix: str) -> np.ndarray:
+    """The order of ids by md5 of prefix and id."""
+    digests = b"".join(hashlib.md5(f"{prefix}:{i}".encode()).digest() for i in ids)
+    high, low = np.frombuffer(digests, ">u8").reshape(-1, 2).T
+    return np.lexsort((low, high))
+
+
+def _randomized_whole(labels: DataFrame, n_shuffle: int, keys: Sequence[str]) -> DataFrame:
+    """Networks of at most LARGE nodes, all permutations of one in a task."""
+    own = labels.select(*keys, "node_id", "labels", F.col("node_id").cast("string").alias("_id"))
+    shuffled = T.StructField("shuffled", T.ArrayType(labels.schema["labels"].dataType))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node_id")
+        ids, sets = frame["_id"].to_list(), frame["labels"].to_list()
+        base, at = _places(ids, "base"), np.empty((len(ids), n_shuffle), np.int64)
+        for k in range(n_shuffle):
+            at[_places(ids, str(k)), k] = base
+        return frame.assign(shuffled=[[sets[i] for i in row] for row in at]).drop(columns=["labels", "_id"])
+
+    return own.groupBy(*keys).applyInPandas(one, T.StructType([*own.select(*keys, "node_id").schema.fields, shuffled]))
+
+
+def _randomized_sliced(labels: DataFrame, n_shuffle: int, keys: Sequence[str]) -> DataFrame:
+    """Networks of any size, ranked by slices of the hash."""
     base = ranked(labels.withColumn("_key", hash_key(F.lit("base"), F.col("node_id"))), keys, "_key", "node_id", "_place", "_size").select(*keys, "_place", "labels")
     every = labels.select(*keys, "node_id", "_size", F.explode(F.sequence(F.lit(0), F.lit(n_shuffle - 1))).alias("k"))
     every = ranked(every.withColumn("_key", hash_key(F.col("k"), F.col("node_id"))), [*keys, "k"], "_key", "node_id", "_place", "_size")
@@ -91,6 +117,19 @@ def randomized(labels: DataFrame, n_shuffle: int = SHUFFLES, keys: Sequence[str]
     return moved.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "labels"))), lambda x: x["labels"]).alias("shuffled"))
 
 
+def randomized(labels: DataFrame, n_shuffle: int = SHUFFLES, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, node_id, shuffled): each node's label sets under ``n_shuffle`` permutations of the
+    network's nodes; labels of one node stay together.  Permutation k orders ids by md5 of k and id,
+    so any partitioning and any engine gives the same.  A small network's permutations are made in one
+    task, those of large networks by slices; a first count tells whether there are any."""
+    sizes = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.where(F.col("_size") > ranks.LARGE)
+    if large.isEmpty():
+        return _randomized_whole(labels, n_shuffle, keys)
+    small = _randomized_whole(labels.join(large.select(*keys), [*keys], "left_anti"), n_shuffle, keys)
+    return small.unionByName(_randomized_sliced(labels.join(large, [*keys]), n_shuffle, keys))
+
+
 def randomized_counts(labels: DataFrame, edges: DataFrame, n_shuffle: int = SHUFFLES, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, k, i, j, n).  Edges are joined once for all permutations."""
     ends = _ends(randomized(labels, n_shuffle, keys), edges, keys)
@@ -122,12 +161,13 @@ def pair_name(attributes: Sequence[str], prefix: str = "", medfix: str = " - ",
 
 def sample_stats(nodes: DataFrame, edges: DataFrame, attributes: Sequence[str], keys: Sequence[str] = KEYS, n_shuffle: int = SHUFFLES, labels: DataFrame | None = None) -> DataFrame:
     """One wide row per network: totals, proportions, and raw, MEAN, STD and Z of the assortativity
-    and of every pair."""
+    and of every pair.  Both short tables of matrices are written once."""
     labels = label_sets(nodes, attributes, keys) if labels is None else labels
     size = len(attributes)
     share = [(F.count_if(F.array_contains("labels", i)) / F.count(F.lit(1))).alias(f"% {a}") for i, a in enumerate(attributes)]
     totals = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("# total"), *share)
-    matrix, random = mixing_matrix(labels, edges, size, keys), randomized_matrices(labels, edges, size, n_shuffle, keys)
+    matrix = written(mixing_matrix(labels, edges, size, keys), "matrices")
+    random = written(randomized_matrices(labels, edges, size, n_shuffle, keys), "random")
     mixed = zscore(matrix.where("i >= j"), random.where("i >= j"), [*keys, "i", "j"])
     whole = zscore(assortativity(matrix, keys), assortativity(random, [*keys, "k"]), keys, "assort")
     whole = whole.select(*keys, F.col("raw").alias("assort"), *(F.col(k).alias(f"assort {k.upper()}" if k != "z" else "assort Z") for k in ("mean", "std", "z")))
