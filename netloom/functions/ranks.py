@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.blocked import written
+
 
 def hash_key(*parts: Column) -> Column:
     """md5 of parts joined by colons: a shuffle that any engine can repeat."""
@@ -43,8 +45,10 @@ def running(df: DataFrame, by: Sequence[str], value: str, sums: Mapping[str, str
     the rows before it only).  Values are distinct within ``by`` and not null.
 
     A group's values are cut into ranges at approximate quantiles, so RANGES tasks share a group of
-    any size; what lies before a range is a sum of its few predecessors' sums.
+    any size; what lies before a range is a sum of its few predecessors' sums.  The rows are gone
+    through several times, so they are written first.
     """
+    df = written(df, "running")
     borders = F.percentile_approx(value, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(ACCURACY)).alias("_cuts")
     if by:
         cut = df.join(df.groupBy(*by).agg(borders), [*by])

@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,15 +97,15 @@ def _randomized_whole(labels: DataFrame, n_shuffle: int, keys: Sequence[str]) ->
     own = labels.select(*keys, "node_id", "labels", F.col("node_id").cast("string").alias("_id"))
     shuffled = T.StructField("shuffled", T.ArrayType(labels.schema["labels"].dataType))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node_id")
-        ids, sets = frame["_id"].to_list(), frame["labels"].to_list()
+    def one(rows: pa.Table) -> pa.Table:
+        ids, sets = rows["_id"].to_pylist(), rows["labels"].combine_chunks()
         base, at = _places(ids, "base"), np.empty((len(ids), n_shuffle), np.int64)
         for k in range(n_shuffle):
             at[_places(ids, str(k)), k] = base
-        return frame.assign(shuffled=[[sets[i] for i in row] for row in at]).drop(columns=["labels", "_id"])
+        ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(n_shuffle))
+        return rows.select([*keys, "node_id"]).append_column("shuffled", pa.ListArray.from_arrays(ends, sets.take(pa.array(at.ravel()))))
 
-    return own.groupBy(*keys).applyInPandas(one, T.StructType([*own.select(*keys, "node_id").schema.fields, shuffled]))
+    return own.groupBy(*keys).applyInArrow(one, T.StructType([*own.select(*keys, "node_id").schema.fields, shuffled]))
 
 
 def _randomized_sliced(labels: DataFrame, n_shuffle: int, keys: Sequence[str]) -> DataFrame:
