@@ -76,6 +76,26 @@ def test_large_networks_are_ranked_in_slices(spark, monkeypatch):
     assert sorted(map(str, assort.randomized(labels_of(nodes), 9, K).collect())) == one
 
 
+def test_permutations_are_never_broadcast(spark, monkeypatch):
+    """Arrays of permutations are far longer than Spark's estimates, which once broadcast them."""
+    from netloom.functions import ranks
+
+    nodes = spark.createDataFrame([("0", s, v, v % 2 == 0, v % 3 == 0, v == 5) for s in "st" for v in range(9)], "patient string, sample string, node_id long, a boolean, b boolean, c boolean")
+    edges = spark.createDataFrame([("0", s, a, b) for s in "st" for a, b in ((0, 1), (1, 2), (2, 3), (3, 0), (5, 5), (5, 6), (5, 6), (8, 99))], "patient string, sample string, source long, target long")
+    counts = assort.randomized_counts(labels_of(nodes), edges, 7, K)
+    assert "Broadcast" not in counts._jdf.queryExecution().executedPlan().toString()
+    one = sorted(map(tuple, counts.collect()))
+    ends = assort._ends(assort.randomized(labels_of(nodes), 7, K), edges, K, wide=True)
+    assert "Broadcast" not in ends._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, assort._counted_sliced(labels_of(nodes), edges, 7, K).collect())) == one
+    for name, module in (("LARGE", ranks), ("LINKS", assort)):
+        with monkeypatch.context() as m:
+            m.setattr(module, name, 3)
+            assert sorted(map(tuple, assort.randomized_counts(labels_of(nodes), edges, 7, K).collect())) == one
+    monkeypatch.setattr(assort, "HELD", 16)
+    assert sorted(map(tuple, assort.randomized_counts(labels_of(nodes), edges, 7, K).collect())) == one
+
+
 def test_sample_stats_columns(spark):
     nodes, edges = fixtures.cohort(spark)
     row = {r["sample"]: r.asDict() for r in assort.sample_stats(nodes, edges, ["a", "b", "c"], K, 10).collect()}["high"]
