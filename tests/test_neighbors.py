@@ -144,3 +144,31 @@ def test_knn_blocks_in_groups(spark, monkeypatch):
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(d[i])[:4])}
+
+
+def test_rounded_distances_tie(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "BLOCK", 2)
+    at = [(0, 0.0), (1, 1.0000002), (2, 1.0000001), (3, -1.0000003), (4, 1.5)]
+    df = spark.createDataFrame([(i, [v]) for i, v in at], "node_id long, v array<double>")
+    first = lambda digits: [r["dst"] for r in graphs.knn(df, "v", 2, digits=digits).where("src = 0").orderBy("rank").collect()]
+    assert first(None) == [2, 1] and first(6) == [1, 2]
+
+
+@pytest.mark.parametrize("metric", blocked.METRICS)
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_copies_are_searched_once(spark, monkeypatch, metric, few):
+    monkeypatch.setattr(graphs, "VECTORS", few)
+    rng = np.random.default_rng(3)
+    x = np.array([[0, 0], [1, 0], [0, 2], [1, 1], [3, 3]], float)[rng.choice(5, 160, p=[0.4, 0.3, 0.2, 0.08, 0.02])]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node_id long, v array<double>")
+    searched, blocks = [], blocked.blocks
+    monkeypatch.setattr(blocked, "blocks", lambda own, *rest: searched.append(own.count()) or blocks(own, *rest))
+    got = {(r["src"], r["rank"]): (r["dst"], round(r["distance"], 9)) for r in graphs.knn(df, "v", 3, metric).collect()}
+    assert searched[0] <= 5 * 4
+    flat = blocked.flat(x, metric)
+    want = {}
+    for i in range(len(x)):
+        d = blocked.exact(np.repeat(flat[i : i + 1], len(x), 0), flat, metric)
+        order = [j for j in np.lexsort((np.arange(len(x)), d)) if j != i][:3]
+        want |= {(i, r + 1): (j, round(float(np.sqrt(d[j]) if metric == "euclidean" else d[j]), 9)) for r, j in enumerate(order)}
+    assert got == want
