@@ -40,6 +40,18 @@ def test_cohort_round_trip(spark, tmp_path):
         assert back.where("sample = 'low'").count() == 12 and back.schema["patient"].dataType.simpleString() == "string"
 
 
+def test_cohort_of_many_networks_is_few_files(spark, tmp_path):
+    nodes = spark.range(3000).selectExpr("lpad(id % 1000, 4, '0') AS patient", "'a' AS sample", "id AS node_id", "id / 2 AS x")
+    path = tmp_path / "many"
+    io.write_cohort(nodes, str(path))
+    assert len(list(path.rglob("*.parquet"))) <= 8
+    back = io.read_cohort(spark, str(path))
+    assert back.exceptAll(nodes.select(*back.columns)).isEmpty() and back.count() == 3000
+    assert sorted(r["node_id"] for r in back.where("patient = '0007'").collect()) == [7, 1007, 2007]
+    nodes.limit(20).write.partitionBy("patient", "sample").parquet(str(tmp_path / "folders"))
+    assert io.read_cohort(spark, str(tmp_path / "folders")).count() == 20
+
+
 def test_cached(spark, tmp_path):
     calls = []
 
