@@ -15,6 +15,10 @@ from netloom.model import KEYS
 from netloom.operators import across, blocked
 
 
+#: Groups whose largest values are sent to all tasks.
+GROUPS = 100_000
+
+
 def rescale(df: DataFrame, columns: Sequence[str], low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Each column moved to low..high by its own extremes; null where a column is constant."""
     extremes = df.agg(*(f(F.col(f"`{c}`").cast("double")).alias(f"_{k}_{i}") for i, c in enumerate(columns) for k, f in (("min", F.min), ("max", F.max))))
@@ -42,8 +46,9 @@ def transform(df: DataFrame, columns: Sequence[str], method: str = "clr", groups
         raise ValueError("method must be 'clr' or 'logp1'")
     row_max = F.greatest(*values) if len(values) > 1 else values[0]
     if groups:
-        most = df.groupBy(*groups).agg(F.max(row_max).alias("_most"))
-        df = df.join(most, [*groups])
+        most = blocked.written(df.groupBy(*groups).agg(F.max(row_max).alias("_most")), "most")
+        # A few large groups would leave most tasks of a shuffle without rows.
+        df = df.join(F.broadcast(most) if most.count() <= GROUPS else most.hint("merge"), [*groups])
     else:
         df = df.join(F.broadcast(df.agg(F.max(row_max).alias("_most"))))
     names = [c for c in df.columns if c != "_most"]

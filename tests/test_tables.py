@@ -174,3 +174,19 @@ def test_merges_only_rename_clusters(spark, kind):
     assert sorted((r["label"], r["count"]) for r in out.groupBy("label").count().collect()) == [(0, 36), (1, 40)]
     few, many = (blocked.written(df, "p").transform(lambda d: curate._renamed(d, "label", {i: 4 for i in range(n)}))._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (1, 4))
     assert few == many
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_large_groups_are_not_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(preprocess, "GROUPS", most)
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i % 3), float(1 + i % 5 + 10 * (i % 2))) for i in range(40)], "id int, g string, x double, y double")
+    out = preprocess.transform(df, ["x", "y"], groups=["g"])
+    rows = {r["id"]: r for r in out.collect()}
+    for g in range(2):
+        own = [i for i in range(40) if i % 2 == g]
+        largest = max(1 + i % 5 + 10 * g for i in own)
+        for i in own:
+            x, y = np.log(i % 3 or largest / 1e5), np.log(1 + i % 5 + 10 * g)
+            assert rows[i]["x"] == pytest.approx(x - (x + y) / 2) and rows[i]["y"] == pytest.approx(y - (x + y) / 2)
+    if most:
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
