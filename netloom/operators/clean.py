@@ -8,11 +8,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators import across, blocked
+
 #: Distinct rows of a block that imputation pairs with others.
 BLOCK = 2000
+#: Patterns of gaps that are searched two by two.
+PATTERNS = 16
 
 
 def finite(column: str) -> Column:
@@ -67,16 +71,97 @@ def impute(df: DataFrame, columns: Sequence[str], k: int = 5, categorical: Seque
     """Fill nulls with means of the ``k`` nearest of all rows by inverse distance, or the column's mean
     where no row compares; categorical columns are rounded.
 
-    Equal rows are one with a count.  Blocks of rows with gaps meet blocks of all rows; each pair
-    leaves the nearest of every gap, and the nearest of these fill it.  Ties go to the smaller md5.
+    Equal rows are one with a count.  Rows with gaps search the rows of each other pattern of gaps, or
+    meet all rows where there are more than PATTERNS patterns; the nearest of what is found fill a gap.
+    Ties go to the smaller md5.
     """
-    spark = df.sparkSession
     values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns]
     key = F.md5(F.concat_ws(",", *(F.coalesce(v.cast("string"), F.lit("")) for v in values)).cast("binary"))
     rows = df.select(key.alias("key"), F.array(*values).alias("x")).groupBy("key").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    # Numbers follow the md5 and are kept.
+    rows = blocked.written(rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("id", F.monotonically_increasing_id()), "distinct")
+    means = df.agg(*(F.avg(v) for v in values)).first()
+    pattern = F.transform("x", lambda v: v.isNotNull())
+    patterns = [tuple(r["p"]) for r in rows.select(pattern.alias("p")).distinct().limit(PATTERNS + 1).collect()]
+    infinite = rows.where(F.exists("x", lambda v: F.abs(v) == float("inf")))
+    filled = _paired(rows, k) if len(patterns) > PATTERNS or not infinite.isEmpty() else _searched(rows, patterns, k)
+    filled = filled.groupBy(F.col("key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("_filled"))
+    # Maps are longer than they are taken for, so they are not broadcast.
+    joined = df.withColumn("_own", key).join(filled.hint("merge"), F.col("_own") == F.col("_key"), "left")
+    new = {c: F.coalesce(v, F.element_at("_filled", F.lit(i)), F.lit(means[i]).cast("double")) for i, (c, v) in enumerate(zip(columns, values, strict=True))}
+    return joined.withColumns({c: F.rint(v) if c in categorical else v for c, v in new.items()}).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def _searched(rows: DataFrame, patterns: Sequence[tuple[bool, ...]], k: int) -> DataFrame:
+    """(key, j, v) of the gaps of distinct rows.  Rows with one pattern of gaps search those with another in
+    the columns that both have, by near blocks (``across``); of equal donors the first ``k`` will do."""
+    spark = rows.sparkSession
+    meets, scales, gaps = [], {}, []
+    for g in patterns:
+        for h in patterns:
+            common, lacking = [a and b for a, b in zip(g, h, strict=True)], [j for j, (a, b) in enumerate(zip(g, h, strict=True)) if b and not a]
+            if any(common) and lacking:
+                grp = len(scales)
+                scales[grp] = len(g) / sum(common)
+                meets += [(list(g), grp, True, common), (list(h), grp, False, common)]
+                gaps.append((grp, lacking))
+    empty = "key string, j int, v double"
+    if not meets:
+        return spark.createDataFrame([], empty)
+    # A row for each two patterns.
+    meeting = spark.createDataFrame(meets, "pattern array<boolean>, grp long, ask boolean, common array<boolean>")
+    projected = F.zip_with("x", "common", lambda v, c: F.when(c, v).otherwise(0.0))
+    points = rows.withColumn("pattern", F.transform("x", lambda v: v.isNotNull())).join(F.broadcast(meeting), "pattern").select("grp", F.when(F.col("ask"), 0).otherwise(1).cast("long").alias("side"), "ask", "id", projected.alias("v"), F.lit(None).cast("array<double>").alias("w"))
+    place = F.row_number().over(Window.partitionBy("grp", "v").orderBy("id"))
+    donors = points.where(~F.col("ask")).withColumn("place", place).where(F.col("place") <= k).drop("place")
+    own = across.bounded(across.packed(points.where("ask").unionByName(donors)), k)
+
+    def search(one: pd.Series, two: pd.Series) -> pd.DataFrame:
+        (a, x), (b, y) = across._opened(one), across._opened(two)
+        bound = np.full(len(a), np.inf) if one["bound"] is None else np.frombuffer(one["bound"])
+        near = across._within(x, bound, np.frombuffer(two["low"]), np.frombuffer(two["high"]))
+        a, x, bound = a[near], x[near], bound[near]
+        if len(a):
+            close = across._within(y, np.full(len(y), bound.max()), x.min(0), x.max(0))
+            b, y = b[close], y[close]
+        src, dst, ds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        step = max(1, blocked.SLAB // max(1, len(y)))
+        for i in range(0, len(a) if len(b) else 0, step):
+            d, room = blocked.table(x[i : i + step], y, "euclidean")
+            limit = np.minimum(bound[i : i + step], np.partition(d, k - 1, 1)[:, k - 1]) if k <= len(b) else bound[i : i + step]
+            # Squares a little apart may have the same root.
+            r, c = np.nonzero(d <= ((limit + room) * (1 + 1e-12))[:, None])
+            e = np.sqrt(blocked.exact(x[i + r], y[c], "euclidean") * scales[int(one["grp"])])
+            order = np.lexsort((b[c], e, r))
+            r, c, e = r[order], c[order], e[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(x[i : i + step])))[r] < k
+            src.append(a[i + r[keep]])
+            dst.append(b[c[keep]])
+            ds.append(e[keep])
+        return pd.DataFrame({"grp": np.int64(one["grp"]), "src": np.concatenate(src), "dst": np.concatenate(dst), "d": np.concatenate(ds)})
+
+    found = across._meet(own.select("block", "grp", "ids", "x", "low", "high", "bound"), across._met(own), search, "grp long, src long, dst long, d double")
+    lacking = spark.createDataFrame(gaps, "grp long, js array<int>")
+    given = rows.select(F.col("id").alias("dst"), "x", "n")
+    each = found.join(F.broadcast(lacking), "grp").join(given, "dst").select("src", F.explode("js").alias("j"), "d", "dst", "x", "n").select("src", "j", F.struct("d", "dst", F.get("x", F.col("j")).alias("v"), F.least("n", F.lit(k)).alias("n")).alias("e"))
+    near = each.groupBy("src", "j").agg(F.array_sort(F.collect_list("e")).alias("near"))
+
+    def add(s: Column, e: Column) -> Column:
+        times = F.least(e["n"], s["left"])
+        zero = F.get("near", F.lit(0))["d"] == 0
+        w = times * F.when(zero, F.when(e["d"] == 0, 1.0).otherwise(0.0)).otherwise(1.0 / F.nullif(e["d"], F.lit(0.0)))
+        return F.struct((s["left"] - times).alias("left"), (s["w"] + w).alias("w"), (s["wv"] + w * e["v"]).alias("wv"))
+
+    start = F.struct(F.lit(k).cast("long").alias("left"), F.lit(0.0).alias("w"), F.lit(0.0).alias("wv"))
+    settled = near.select("src", "j", F.aggregate("near", start, add, lambda s: s["wv"] / s["w"]).alias("v"))
+    return settled.join(rows.select(F.col("id").alias("src"), "key"), "src").select("key", "j", "v")
+
+
+def _paired(rows: DataFrame, k: int) -> DataFrame:
+    """The same where gaps have many patterns: all blocks of rows with gaps meet all blocks of rows."""
+    spark, rows = rows.sparkSession, rows.select("key", "x", "n")
     gap = F.exists("x", lambda v: v.isNull())
     sizes = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(gap).alias("gaps")).first()
-    means = df.agg(*(F.avg(v) for v in values)).first()
     n_all, n_gaps = (max(-(-int(sizes[c]) // BLOCK), 1) for c in ("all", "gaps"))
     packed = lambda t, n, name: t.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias(f"{name}_block")).agg(F.sort_array(F.collect_list(F.struct("key", "x", "n"))).alias(name))
     pairs = packed(rows.where(gap), n_gaps, "a").crossJoin(packed(rows, n_all, "b")).repartition(min(n_gaps * n_all, 10_000), "a_block", "b_block")
@@ -100,11 +185,7 @@ def impute(df: DataFrame, columns: Sequence[str], k: int = 5, categorical: Seque
 
     found = pairs.mapInPandas(nearest, "key string, j int, d double, donor string, v double, n long")
     deal = F.pmod(F.xxhash64("key"), F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_gaps)))
-    filled = found.groupBy(deal).applyInPandas(settled, "key string, j int, v double")
-    filled = filled.groupBy(F.col("key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("_filled"))
-    joined = df.withColumn("_own", key).join(filled, F.col("_own") == F.col("_key"), "left")
-    new = {c: F.coalesce(v, F.element_at("_filled", F.lit(i)), F.lit(means[i]).cast("double")) for i, (c, v) in enumerate(zip(columns, values, strict=True))}
-    return joined.withColumns({c: F.rint(v) if c in categorical else v for c, v in new.items()}).select(*(F.col(f"`{c}`") for c in df.columns))
+    return found.groupBy(deal).applyInPandas(settled, "key string, j int, v double")
 
 
 def dummies(df: DataFrame, columns: dict[str, Sequence], thresh: float = 0, drop_first: bool = True) -> DataFrame:

@@ -73,6 +73,27 @@ def test_imputation(spark):
     assert {r["b"] for r in clean.impute(df, ["a", "b"], k=2, categorical=["b"]).where("id = 3").collect()} == {6.0}
 
 
+def test_imputation_searches_near_blocks(spark, monkeypatch):
+    """By patterns of gaps and near blocks as by all pairs, with copies and ties, and not all pairs."""
+    from netloom.operators import across, blocked
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.uniform(0, 50, (400, 3)), 1)
+    x[:, 1] //= 10
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x = np.concatenate([x, x[:60], x[:20]])
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "id int, a double, b double, c double")
+    rows = lambda: {r["id"]: (r["a"], r["b"], r["c"]) for r in clean.impute(df, ["a", "b", "c"], k=4).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(clean, "PATTERNS", 0)
+        want = rows()
+    monkeypatch.setattr(blocked, "BLOCK", 40)
+    monkeypatch.setattr(across, "FEW", 2)
+    monkeypatch.setattr(clean, "_paired", None)
+    got = rows()
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
 def test_dummies(spark):
     df = spark.createDataFrame([(1, "x", "p"), (2, None, "q"), (3, "y", None)], "id int, u string, v string")
     rows = {r["id"]: r.asDict() for r in clean.dummies(df, {"u": ["x", "y", "z"], "v": ["p", "q"]}).collect()}
