@@ -105,3 +105,32 @@ def test_equal_points_and_few_points(spark):
     assert named(cluster.hdbscan(frame(spark, np.eye(3)), "v", 5), 3).tolist() == [-1, -1, -1]
     assert cluster.hdbscan(frame(spark, np.eye(3)).where("node_id < 0"), "v", 5).count() == 0
     assert named(cluster.hdbscan(frame(spark, np.eye(1)), "v", 5), 1).tolist() == [-1]
+
+
+@pytest.mark.parametrize("dim", [2, 12])
+def test_links_between_blocks_hold_the_tree(dim):
+    """Trees within two blocks and between them hold the tree of all points; copies weigh their cores."""
+    rng = np.random.default_rng(dim)
+    x, y = rng.normal(size=(40, dim)), rng.normal(size=(30, dim))
+    y[:10] = x[:10]
+    a, b, c, e = np.arange(40), 100 + np.arange(30), rng.uniform(0, 0.5, 40), rng.uniform(0, 0.5, 30)
+    c[:5] = e[:5] = 0
+    whole = density.spanning(np.r_[a, b], np.r_[x, y], np.r_[c, e], "euclidean")
+    own = [t[k].to_numpy() for t in (density.spanning(a, x, c, "euclidean"), density.spanning(b, y, e, "euclidean")) for k in "abw"]
+    links = density.crossing(a, x, c, b, y, e, "euclidean")
+    assert len(links[0]) == 69 and (links[2] == np.maximum(np.maximum(((x[links[0]] - y[links[1] - 100]) ** 2).sum(1), c[links[0]]), e[links[1] - 100])).all()
+    together = [np.concatenate([own[k], own[3 + k], links[k]]) for k in range(3)]
+    keep = density.thinned(*together)
+    assert len(keep) == 69 and sorted(together[2][keep]) == sorted(whole["w"])
+
+
+def test_squares_are_thinned_together(spark, monkeypatch):
+    """Many blocks, several to a side: the same clusters, from not many more edges than points."""
+    monkeypatch.setattr(blocked, "BLOCK", 8)
+    monkeypatch.setattr(blocked, "LEAST_SIDES", 4)
+    monkeypatch.setattr(blocked, "SIDE", 2)
+    monkeypatch.setattr(density, "SIDES", 2)
+    x = cohort(3, 200)
+    assert (named(cluster.hdbscan(frame(spark, x), "v", 8, 2), 200) == brute(x, 8, 2)).all()
+    edges, own = density.tree_edges(frame(spark, x), "v", 2, "euclidean", "node_id")
+    assert own.count() >= 20 and edges.count() <= 5 * 200
