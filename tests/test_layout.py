@@ -128,3 +128,19 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "node_id long, vector array<double>")
     for few in (0, 100):
         assert reduce.umap(df, epochs=2, few=few).count() == 0
+
+
+def test_epochs_send_little_to_the_driver(spark, monkeypatch):
+    """The pool is that of the least hashes though few rows are asked; no epoch broadcasts its places."""
+    state = spark.range(3000).select(F.col("id").alias("v"), F.array(F.rand(1), F.rand(2)).alias("y")).cache()
+    monkeypatch.setattr(layout, "POOL", 50)
+    every = [r["v"] for r in state.orderBy(F.xxhash64("v", F.lit(4), F.lit(7)), "v").collect()]
+    assert [r["v"] for r in layout._pool(state, 3000, 4, 7)] == every[:50]
+    # Where the bound lets too few through, or there are few nodes, all are asked.
+    assert [r["v"] for r in layout._pool(state, 10**9, 4, 7)] == every[:50]
+    assert len(layout._pool(state.limit(20), 20, 4, 7)) == 20
+    plans, write = [], layout.written
+    monkeypatch.setattr(layout, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    _, df = blobs(spark, 60)
+    layout.spread(layout.fuzzy(graphs.knn(df, "vector", 6, "manhattan")), epochs=1)
+    assert "SortMergeJoin" in plans[-1] and "Broadcast" not in plans[-1]
