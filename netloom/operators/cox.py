@@ -71,10 +71,15 @@ def _each(blocks: DataFrame, make, width: int, extra: DataFrame | None = None) -
             for row in frame.itertuples():
                 yield pd.DataFrame({"block": [row.block], "out": [np.asarray(make(row), float).tobytes()]})
 
-    rows = (blocks if extra is None else blocks.join(extra, "block")).mapInPandas(run, "block long, out binary").toPandas().sort_values("block")
+    rows = (blocks if extra is None else _beside(blocks, extra)).mapInPandas(run, "block long, out binary").toPandas().sort_values("block")
     return np.stack([np.frombuffer(v) for v in rows["out"]]).reshape(len(rows), -1, width)
 
 
+def _beside(blocks: DataFrame, told: DataFrame) -> DataFrame:
+    """Blocks with the numbers told to them.  Those go to all tasks, so that blocks never pass the driver."""
+    return blocks.join(F.broadcast(told), "block")
+
+
 def _told(blocks: DataFrame, order: list[int], values: np.ndarray) -> DataFrame:
     """(block, told): some numbers for each block."""
     rows = [(b, v.tobytes()) for b, v in zip(order, np.ascontiguousarray(values), strict=True)]
@@ -148,7 +153,7 @@ def sums(blocks: DataFrame, models: list[tuple[np.ndarray, int]]) -> list[tuple[
                     out[i, 1:] += (x * h[:, None]).T @ x
         yield pd.DataFrame({"n": [n.tobytes()], "out": [out.tobytes()]})
 
-    rows = blocks.join(_told(blocks, order, told), "block").mapInPandas(total, "n binary, out binary").collect()
+    rows = _beside(blocks, _told(blocks, order, told)).mapInPandas(total, "n binary, out binary").collect()
     n = sum(np.frombuffer(r["n"]) for r in rows)
     out = sum(np.frombuffer(r["out"]).reshape(len(models), p + 1, p) for r in rows)
     return [(int(n[i]), out[i, 0], out[i, 1:]) for i in range(len(models))]

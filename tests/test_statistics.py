@@ -273,3 +273,12 @@ def test_no_window_over_a_whole_column(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert windows and all("_range" in line for line in windows)
+
+
+def test_blocks_of_subjects_never_pass_the_driver(spark):
+    """Not the blocks but the few numbers told to them are broadcast, small as the blocks may be."""
+    blocks = spark.createDataFrame([(b, bytes(8)) for b in range(3)], "block long, t binary").cache()
+    blocks.count()
+    met = cox._beside(blocks, cox._told(blocks, [0, 1, 2], np.arange(6.0).reshape(3, 2)))
+    assert "BuildRight" in met._jdf.queryExecution().executedPlan().toString()
+    assert [np.frombuffer(r["told"]).tolist() for r in met.orderBy("block").collect()] == [[0, 1], [2, 3], [4, 5]]
