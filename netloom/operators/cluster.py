@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import density, spectrum
 from netloom.operators.blocked import written
-from netloom.operators.communities import both_ends, degrees, moved, shrunk
+from netloom.operators.communities import both_ends, connected, degrees, moved, settled, shrunk
 from netloom.operators.curate import relabel
 from netloom.operators.graphs import knn
 
@@ -40,64 +40,14 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inner.join(degree).select((F.col("inside") / m - F.lit(float(resolution)) * F.col("d2") / (4 * m * m)).alias("modularity"))
 
 
-def _moved(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, gamma: float, rng: np.random.Generator, label: np.ndarray, fixed: np.ndarray | None = None) -> np.ndarray:
-    """Local moving: nodes join the neighbouring community of the largest gain, until none moves.
-    With ``fixed``, nodes only join communities within the same fixed one."""
-    order = np.argsort(i, kind="stable")
-    i, j, w = i[order], j[order], w[order]
-    start = np.searchsorted(i, np.arange(n + 1))
-    degree = np.bincount(i, w, n)
-    total, label = max(degree.sum(), 1e-300), label.copy()
-    volume = np.bincount(label, degree, n)
-    queue, waiting = list(rng.permutation(n)), np.ones(n, bool)
-    while queue:
-        later = []
-        for v in queue:
-            waiting[v] = False
-            to, own = j[start[v] : start[v + 1]], w[start[v] : start[v + 1]]
-            some = to != v
-            if fixed is not None:
-                some &= fixed[to] == fixed[v]
-            to, own = to[some], own[some]
-            if not len(to):
-                continue
-            volume[label[v]] -= degree[v]
-            found, at = np.unique(np.r_[label[v], label[to]], return_inverse=True)
-            gain = np.bincount(at[1:], own, len(found)) - gamma * degree[v] * volume[found] / total
-            stay = gain[at[0]]
-            best = found[gain.argmax()] if gain.max() > stay + 1e-12 else label[v]
-            volume[best] += degree[v]
-            if best != label[v]:
-                label[v] = best
-                for u in to[label[to] != best]:
-                    if not waiting[u]:
-                        waiting[u] = True
-                        later.append(u)
-        queue = later
-    return label
-
-
-def connected(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The labels, with each community's connected pieces told apart: that never lowers modularity."""
-    piece, inner = np.arange(len(label)), label[i] == label[j]
-    a, b = i[inner], j[inner]
-    while True:
-        least = piece.copy()
-        np.minimum.at(least, a, piece[b])
-        least = least[least]
-        if (least == piece).all():
-            return np.unique(piece, return_inverse=True)[1]
-        piece = least
-
-
 def leiden_labels(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0, levels: int = 50, start: np.ndarray | None = None) -> np.ndarray:
     """Communities by local moving, refinement within communities and aggregation, in turn; ``start``
     are the communities that nodes begin in, else each is its own."""
     rng, whole, ends = np.random.default_rng(seed), np.arange(n), (i, j)
     label = np.arange(n) if start is None else start
     for _ in range(levels):
-        moved = np.unique(_moved(n, i, j, w, resolution, rng, label), return_inverse=True)[1]
-        refined = np.unique(_moved(n, i, j, w, resolution, rng, np.arange(n), moved), return_inverse=True)[1]
+        moved = np.unique(settled(n, i, j, w, resolution, rng, label), return_inverse=True)[1]
+        refined = np.unique(settled(n, i, j, w, resolution, rng, np.arange(n), moved), return_inverse=True)[1]
         m = int(refined.max()) + 1 if n else 0
         if m == n:
             return connected(moved[whole], *ends)
@@ -166,7 +116,7 @@ def ecg(edges: DataFrame, min_weight: float = 0.05, ensemble: int = 20, resoluti
     ids, i, j, w = _arrays(graph)
     n, together = len(ids), np.zeros(len(w))
     for r in range(ensemble):
-        own = _moved(n, i, j, w, resolution, np.random.default_rng(seed + r), np.arange(n))
+        own = settled(n, i, j, w, resolution, np.random.default_rng(seed + r), np.arange(n))
         together += own[i] == own[j]
     return _labelled(spark, ids, leiden_labels(n, i, j, w * (min_weight + (1 - min_weight) * together / max(ensemble, 1)), resolution, seed))
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import cluster, reduce, screen
+from netloom.operators import cluster, communities, reduce, screen
 
 
 def blobs(spark, n=90):
@@ -128,3 +128,42 @@ def test_nothing_comes_together(spark):
     labels = cluster.leiden(edges, resolution=1e6, few=10)
     assert labels.select("label").distinct().count() == labels.count() == 61
     assert cluster.leiden(edges.where("false")).count() == 0
+
+
+def planned(monkeypatch, *modules):
+    """The plans of all tables that the modules write from now on."""
+    plans = []
+    for module in modules:
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or f(df, name))
+    return plans
+
+
+def ring(spark, n=48, size=12):
+    """(graph, nodes): cliques along a ring, all of a clique and its successor in one community."""
+    edges = [(i, j, 1.0) for i in range(n) for j in range(i + 1, n) if i // size == j // size] + [(i, (i + 1) % n, 1.0) for i in range(size - 1, n, size)]
+    graph = communities.both_ends(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    nodes = communities.degrees(graph).select(F.lit(0).alias("r"), "v", "k", (F.col("v") / F.lit(2 * size)).cast("long").alias("c"))
+    return edges, graph, nodes
+
+
+def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
+    _, graph, nodes = ring(spark)
+    plans = planned(monkeypatch, communities)
+    communities.moved(graph, nodes, 1.0, 0, rounds=1)
+    communities.contracted(graph, communities.refined(graph, nodes, 1.0, 0, rounds=1).select("v", "part"))
+    assert {"moved", "inner", "refined", "contracted"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
+@pytest.mark.parametrize("group", [1_000_000, 10])
+def test_refined_parts(spark, monkeypatch, group):
+    """Whole cliques come together in one step within tasks; in rounds, what does is connected."""
+    monkeypatch.setattr(communities, "GROUP", group)
+    edges, graph, nodes = ring(spark)
+    rows = communities.refined(graph, nodes, 1.0, 0).collect()
+    part, community = ({r["v"]: r[n] for r in rows} for n in ("part", "c"))
+    assert len(rows) == 48 and all(community[v] == v // 24 == community[p] for v, p in part.items())
+    if group > 10:
+        assert len(set(part.values())) == 4 and all(p // 12 == v // 12 for v, p in part.items())
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    assert split_communities(frame(edges, "src long, dst long, weight double"), frame(list(part.items()), "node_id long, label long")) == []
