@@ -167,3 +167,12 @@ def test_refined_parts(spark, monkeypatch, group):
         assert len(set(part.values())) == 4 and all(p // 12 == v // 12 for v, p in part.items())
     frame = lambda rows, names: spark.createDataFrame(rows, names)
     assert split_communities(frame(edges, "src long, dst long, weight double"), frame(list(part.items()), "node_id long, label long")) == []
+
+
+def test_ensembles_send_no_table_to_the_driver(spark, monkeypatch):
+    edges, _, _ = ring(spark)
+    plans = planned(monkeypatch, cluster, communities)
+    monkeypatch.setattr(cluster, "_leiden", lambda graph, *_: graph)
+    weighted = cluster.ecg(spark.createDataFrame(edges, "src long, dst long, weight double"), ensemble=2, few=10)
+    assert weighted.count() == 2 * len(edges) and weighted.agg(F.max("w")).first()[0] == 1.0
+    assert "weighted" in {name for name, _ in plans} and not [name for name, plan in plans if "Broadcast" in plan]
