@@ -176,3 +176,13 @@ def test_ensembles_send_no_table_to_the_driver(spark, monkeypatch):
     weighted = cluster.ecg(spark.createDataFrame(edges, "src long, dst long, weight double"), ensemble=2, few=10)
     assert weighted.count() == 2 * len(edges) and weighted.agg(F.max("w")).first()[0] == 1.0
     assert "weighted" in {name for name, _ in plans} and not [name for name, plan in plans if "Broadcast" in plan]
+
+
+def test_labels_of_a_setting_stay_on_the_cluster(spark, monkeypatch):
+    plans, composition = [], screen.niches.composition
+    monkeypatch.setattr(screen.niches, "composition", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or composition(df, *a))
+    nodes = spark.range(12).select(F.col("id").alias("node_id"), (F.col("id") % 3).alias("sample"))
+    labels = spark.range(12).select(F.col("id").alias("node_id"), (F.col("id") % 2).cast("int").alias("label"))
+    table, names = screen.features(nodes, labels, "sample", "obs")
+    assert names == ["niche_0", "niche_1"] and {tuple(r) for r in table.collect()} == {(k, 0.5, 0.5) for k in range(3)}
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
