@@ -78,8 +78,13 @@ def _principal(points: DataFrame, dims: int) -> np.ndarray | None:
 def mutual_matches(points: DataFrame, k: int = NEAREST, axes: np.ndarray | None = None) -> DataFrame:
     """(src, dst, here, there), written, from both ends: points (id, batch, v) of different batches,
     each among the other's ``k`` nearest of all other batches."""
-    asked = points.select(F.lit(0).cast("long").alias("grp"), F.col("batch").alias("side"), F.lit(True).alias("ask"), "id", "v", F.lit(None).cast("array<double>").alias("w"))
-    near = blocked.written(across.nearest(across.packed(asked, axes), k).select("src", "dst", "here", "there"), "near")
+    dim = points.select(F.size("v")).first()[0] if axes is None else axes.shape[1]
+    if dim < blocked.PRODUCTS:
+        found = across.nearest_others(across.leaves(points.withColumnRenamed("batch", "side"), k, axes), k)
+    else:
+        asked = points.select(F.lit(0).cast("long").alias("grp"), F.col("batch").alias("side"), F.lit(True).alias("ask"), "id", "v", F.lit(None).cast("array<double>").alias("w"))
+        found = across.nearest(across.packed(asked, axes), k)
+    near = blocked.written(found.select("src", "dst", "here", "there"), "near")
     back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return blocked.written(near.join(back, ["src", "dst"]), "matches")
 

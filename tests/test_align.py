@@ -165,3 +165,71 @@ def test_isolated_nodes_of_many_networks(spark, small):
     assert sorted(got) == sorted([*want, *(("one", i, i + 1) for i in range(0, 20, 2))])
     full = graphs.link_isolated(nodes.where("patient = 'one' and node_id < 20"), edges)
     assert full.count() == 10 and full.columns == ["patient", "sample", "source", "target"]
+
+
+@pytest.fixture
+def tiny(monkeypatch):
+    for name, n in (("LEAF", 16), ("CHUNK", 2), ("SPLIT", 100), ("STEP", 2), ("PIECE", 5)):
+        monkeypatch.setattr(across, name, n)
+    monkeypatch.setattr(blocked, "BOXES", 3)
+
+
+def sided(spark, x, side, parts=3):
+    return spark.createDataFrame([(i, int(s), [float(c) for c in v]) for i, (s, v) in enumerate(zip(side, x, strict=True))], "id long, side long, v array<double>").repartition(parts)
+
+
+@pytest.mark.parametrize("case", ["mixed", "apart", "copies", "few"])
+def test_nearest_of_other_sides_among_leaves(spark, tiny, case):
+    rng = np.random.default_rng(5)
+    x, side = rng.normal(size=(300, 4)).round(1), rng.choice([0, 0, 0, 1, 2], 300)
+    if case == "apart":
+        x += side[:, None] * 20.0
+    elif case == "copies":
+        x[rng.permutation(300)[:150]] = 0.5
+    elif case == "few":
+        x, side = x[:7], np.array([0, 0, 0, 0, 1, 1, 0])
+    got = {}
+    for r in across.nearest_others(across.leaves(sided(spark, x, side), 4), 4).collect():
+        assert r["here"] == side[r["src"]] and r["there"] == side[r["dst"]]
+        got.setdefault(r["src"], []).append(r["dst"])
+    d = squared(x, x)
+    d[side[:, None] == side] = np.inf
+    for i in range(len(x)):
+        order = np.lexsort((np.arange(len(x)), d[i]))[:4]
+        assert sorted(got[i]) == sorted(order[np.isfinite(d[i][order])].tolist())
+
+
+def test_leaves_met_grow_with_the_points(spark, monkeypatch):
+    """Four times the points meet some four times the leaves, not sixteen times: sides share their leaves."""
+    for name, n in (("LEAF", 16), ("CHUNK", 2)):
+        monkeypatch.setattr(across, name, n)
+    rng, met, written = np.random.default_rng(6), [], blocked.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocked, "written", counted)
+    for n in (1500, 6000):
+        points = sided(spark, rng.uniform(size=(n, 2)), rng.integers(0, 5, n)).withColumnRenamed("side", "batch")
+        preprocess.mutual_matches(points, 4)
+    assert len(met) == 2 and met[1] < 6 * met[0]
+
+
+def test_sums_of_a_block_are_added_before_they_are_shuffled(spark, small, monkeypatch):
+    rng, rows, written = np.random.default_rng(8), [], blocked.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "sums":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocked, "written", counted)
+    points = [(1, 0, True, i, [float(c) for c in v], None) for i, v in enumerate(rng.normal(size=(40, 3)))]
+    points += [(1, 1, False, i, [float(c) for c in v], [1.0, 2.0, 3.0, 1.0]) for i, v in enumerate(rng.normal(size=(200, 3)))]
+    moves = across.kernel_means(across.packed(spark.createDataFrame(points, POINT)), {1: 5.0}, 3).collect()
+    assert len(moves) == 40 and rows == [40]
+    assert all(np.allclose(r["move"], [1.0, 2.0, 3.0]) for r in moves)
