@@ -227,6 +227,7 @@ def test_sums_of_a_block_are_added_before_they_are_shuffled(spark, small, monkey
             rows.append(out.count())
         return out
 
+    monkeypatch.setattr(across, "ADDED", 16)
     monkeypatch.setattr(blocked, "written", counted)
     points = [(1, 0, True, i, [float(c) for c in v], None) for i, v in enumerate(rng.normal(size=(40, 3)))]
     points += [(1, 1, False, i, [float(c) for c in v], [1.0, 2.0, 3.0, 1.0]) for i, v in enumerate(rng.normal(size=(200, 3)))]
