@@ -8,6 +8,7 @@ on the cluster above ``FEW`` edges (``spectrum``); mixtures are Spark's own.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import density, spectrum
 from netloom.operators.blocked import written
-from netloom.operators.communities import both_ends, connected, degrees, moved, settled, shrunk
+from netloom.operators.communities import blocks, both_ends, connected, degrees, edges_of, met, moved_together, settled, shrunk
 from netloom.operators.curate import relabel
 from netloom.operators.graphs import knn
 
@@ -107,12 +108,19 @@ def ecg(edges: DataFrame, min_weight: float = 0.05, ensemble: int = 20, resoluti
     over an ensemble; the weighted graph is then clustered."""
     spark, graph, few = edges.sparkSession, both_ends(edges), FEW if few is None else few
     if graph.count() > few:
-        runs = degrees(graph).select(F.explode(F.sequence(F.lit(0), F.lit(ensemble - 1))).alias("r"), "v", "k", F.col("v").alias("c"))
-        nodes = moved(graph, written(runs, "runs"), resolution, seed)
-        at = lambda end, out: nodes.select(F.col("v").alias(end), "r", F.col("c").alias(out)).hint("merge")
-        met = graph.join(at("i", "x"), "i").join(at("j", "y"), ["j", "r"])
-        share = met.groupBy("i", "j").agg(F.first("w").alias("w"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("share"))
-        return _leiden(written(share.select("i", "j", (F.col("w") * (min_weight + (1 - min_weight) * F.col("share"))).alias("w")), "weighted"), resolution, seed, few)
+        near, needed, size = blocks(graph)
+        runs = degrees(graph).select("v", "k", F.array_repeat("v", ensemble).alias("c"))
+        nodes = moved_together(near, needed, size, written(runs, "runs"), resolution, seed)
+
+        def weigh(near: pa.Table, known: pa.Table) -> pa.Table:
+            known = known.sort_by("v")
+            v, c = known["v"].to_numpy(), known["c"].combine_chunks().flatten().to_numpy().reshape(-1, ensemble)
+            i, j, w = edges_of(near, v)
+            together = sum(((c[i, r] == c[j, r]).astype(float) for r in range(ensemble)), np.zeros(len(w)))
+            return pa.table({"i": v[i], "j": v[j], "w": w * (min_weight + (1 - min_weight) * together / ensemble)})
+
+        weighted = met(near, needed, nodes.select("v", "c"), weigh, "i long, j long, w double")
+        return _leiden(written(weighted.unionByName(graph.where("i = j")), "weighted"), resolution, seed, few)
     ids, i, j, w = _arrays(graph)
     n, together = len(ids), np.zeros(len(w))
     for r in range(ensemble):

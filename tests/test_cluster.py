@@ -186,3 +186,29 @@ def test_labels_of_a_setting_stay_on_the_cluster(spark, monkeypatch):
     table, names = screen.features(nodes, labels, "sample", "obs")
     assert names == ["niche_0", "niche_1"] and {tuple(r) for r in table.collect()} == {(k, 0.5, 0.5) for k in range(3)}
     assert len(plans) == 1 and "Broadcast" not in plans[0]
+
+
+def test_runs_move_together(spark, monkeypatch):
+    """A round writes a row for each node, not for each node and run; in blocks nodes move as in one task."""
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(*rng.integers(0, 150, (2, 900)), rng.uniform(0.1, 2, 900), strict=True)] + [(200, 200, 1.0)]
+    graph = communities.both_ends(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    nodes = communities.degrees(graph).select("v", "k", F.array_repeat("v", 3).alias("c")).cache()
+    near, needed, m = communities.blocks(graph)
+    rows = []
+    monkeypatch.setattr(communities, "written", lambda df, name, f=communities.written: rows.append((out := f(df, name)).count()) or out)
+    found = []
+    for high in (communities.HIGH, 0):
+        monkeypatch.setattr(communities, "HIGH", high)
+        found.append({r["v"]: (r["k"], tuple(r["c"])) for r in communities.moved_together(near, needed, m, nodes, 1.0, 0, rounds=3).collect()})
+    assert rows == [nodes.count()] * 4 and found[0] == found[1]
+    assert found[0][200] == (1.0, (200, 200, 200)) and len({tuple(c[r] for _, c in found[0].values()) for r in range(3)}) == 3
+    # The first round by hand: who gains, in its turn, goes where the gain is largest.
+    w, k, total = {}, {r["v"]: r["k"] for r in nodes.collect()}, sum(r["k"] for r in nodes.collect())
+    for r in graph.where("i <> j").collect():
+        w.setdefault(r["i"], {})[r["j"]] = r["w"]
+    once = {r["v"]: r["c"] for r in communities.moved_together(near, needed, m, nodes, 1.0, 0, rounds=1).collect()}
+    for v in k:
+        best = max(((x - k[v] * k[u] / total, -u) for u, x in w.get(v, {}).items()), default=(0.0, -v))
+        turns = [communities._turns(np.array([v]), r, 0)[0] for r in range(3)]
+        assert list(once[v]) == [-best[1] if t and best[0] > communities.LEAST else v for t in turns]
