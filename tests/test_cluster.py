@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netloom import queries
 from netloom.operators import cluster, communities, reduce, screen
 
 
@@ -212,3 +213,24 @@ def test_runs_move_together(spark, monkeypatch):
         best = max(((x - k[v] * k[u] / total, -u) for u, x in w.get(v, {}).items()), default=(0.0, -v))
         turns = [communities._turns(np.array([v]), r, 0)[0] for r in range(3)]
         assert list(once[v]) == [-best[1] if t and best[0] > communities.LEAST else v for t in turns]
+
+
+def test_the_whole_grid(spark, monkeypatch, tmp_path):
+    """The query screens all settings over all components; a mixture is fitted once for all graphs."""
+    seen, kinds, fitted = [], [], cluster.cluster
+    whole = screen.screen
+    monkeypatch.setattr(screen, "screen", lambda nodes, columns, status, settings, folder, **options: seen.append((columns, settings, options)) or nodes)
+    queries.QUERIES["screen_parameters"](spark, "/root/testdata/sf0.001")
+    (columns, settings, options), parts = seen[0], {}
+    assert columns == [f"f{i}" for i in range(64)] and not options and len(settings) == len({tuple(s.items()) for s in settings}) == 40_500
+    for s in settings:
+        assert s["k_cluster"] <= s["n_neighbors"]
+        parts.setdefault(s["clusterer_type"], set()).add(s["clust_size_param"])
+    assert {k: len(v) for k, v in parts.items()} == {"hdbscan": 2, "spectral": 17, "ecg": 4, "leiden": 5, "gmm": 17} and {s["normalize"] for s in settings} == set(screen.niches.METHODS) - {"counts"}
+    monkeypatch.setattr(cluster, "cluster", lambda df, vector, kind, **options: kinds.append((kind, sorted(options))) or fitted(df, vector, kind, **options))
+    df = blobs(spark).withColumn("sample", F.col("node_id") % 12)
+    status = df.selectExpr("sample as key", "cast(sample % 2 as int) as y").distinct()
+    small = screen.grid(["none"], [2], [8], ["euclidean"], [4, 5], {"gmm": [3], "ecg": [2]}, ["obs", "clr"])
+    rows = whole(df, ["f0", "f1", "f2"], status, small, str(tmp_path), logistic={"folds": 2, "most_folds": 2, "test_size": 0}).collect()
+    assert len(rows) == 8 and sorted(kinds) == [("ecg", ["edges", "ensemble"])] * 2 + [("gmm", ["n_clusters"])]
+    assert all(r["n_clusters"] >= 3 and r["score_roc_auc"] is not None and 1e-4 <= r["penalty"] <= 1e4 for r in rows)

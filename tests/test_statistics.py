@@ -282,3 +282,27 @@ def test_blocks_of_subjects_never_pass_the_driver(spark):
     met = cox._beside(blocks, cox._told(blocks, [0, 1, 2], np.arange(6.0).reshape(3, 2)))
     assert "BuildRight" in met._jdf.queryExecution().executedPlan().toString()
     assert [np.frombuffer(r["told"]).tolist() for r in met.orderBy("block").collect()] == [[0, 1], [2, 3], [4, 5]]
+
+
+def test_logistic_tables(spark):
+    """Models fitted in a task are those that Spark fits."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3))
+    y = (x[:, 0] - x[:, 1] / 2 + rng.normal(size=80) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, y int")
+    options = {"c_values": (0.05, 1.0), "l1_ratios": (0.0, 0.5), "folds": 3, "most_folds": 4}
+    want = regress.logistic(df, "y", ["a", "b", "c"], "id", **options)
+    score = want["scores"].first()
+    tables = df.select(F.explode(F.array(F.lit("t"), F.lit("u"))).alias("name"), "id", "y", F.array("a", "b", "c").alias("x"))
+    got = regress.logistic_tables(tables, "name", "y", "x", "id", **options).collect()
+    assert sorted(r["name"] for r in got) == ["t", "u"]
+    for r in got:
+        assert (r["penalty"], r["l1_ratio"], r["n_coeffs"]) == (want["params"]["C"], want["params"]["l1_ratio"], want["model"].coefficients.numNonzeros())
+        assert [r["score_roc_auc"], r["score_ap"], r["score_mcc"]] == pytest.approx([score["auc"], score["ap"], score["mcc"]])
+    train = np.ones(80, bool)
+    beta, base = regress.elastic_nets(x, y, train[None], np.array([0.02]), np.array([0.5]))
+    p = 1 / (1 + np.exp(-(x @ beta[0] + base[0])))
+    slope = x.T @ (p - y) / 80 + 0.01 * beta[0]
+    assert abs((p - y).sum()) < 1e-3 and all(abs(g + 0.01 * np.sign(b)) < 1e-4 if b else abs(g) <= 0.01 + 1e-4 for g, b in zip(slope, beta[0], strict=True))
